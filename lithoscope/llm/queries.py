@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import token_store
+from . import decontaminate, token_store
 from .common import table
 from .encoding import tokenizer_path
 
@@ -15,8 +16,21 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.encode_to_store(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = decontaminate.mark(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["last_word"] - s["first_word"] + 1)
+    return marked.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_store": op1_token_store}
+    return {f.__name__: f for f in (op1_token_store, op8_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
