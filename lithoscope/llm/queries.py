@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, token_store
+from . import ann, chat, decontaminate, token_store
 from .common import table
 from .encoding import tokenizer_path
 
@@ -50,8 +50,13 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return ann.search(vectors, vectors.where("id % 20 = 0"), k=20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op7_chat_format, op8_decontaminate)}
+    return {f.__name__: f for f in (op1_token_store, op7_chat_format, op8_decontaminate, op10_nearest)}
 
 
 def oracle_sql() -> dict[str, str]:
