@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, quality, token_store
+from . import ann, chat, decontaminate, language, quality, token_store
 from .common import fold, table
 from .encoding import tokenizer_path
 
@@ -65,13 +65,19 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = language.fit(docs, fold("doc_id", 3) != 1)
+    return language.predict(docs.select("doc_id", "text"), net).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     return ann.search(vectors, vectors.where("id % 20 = 0"), k=20)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op4_quality, op7_chat_format, op8_decontaminate, op10_nearest)}
+    return {f.__name__: f for f in (op1_token_store, op4_quality, op7_chat_format, op8_decontaminate, op9_language, op10_nearest)}
 
 
 def oracle_sql() -> dict[str, str]:
