@@ -4,9 +4,11 @@ Every vector is centred, scaled to length one and rotated; the signs of its
 coordinates are its code, kept as packed bits beside two correction scalars:
 the length of the centred vector and the inner product of the unit vector with
 its own code.  From these an unbiased estimate of any inner product follows, with
-a bound on its error that shrinks with the square root of the dimension.  In a
-block of vectors a query keeps those whose upper bound reaches the k-th largest
-lower bound; only they are ranked by the exact product.
+a bound on its error that shrinks with the square root of the number of bits
+(``ROTATIONS`` bits a dimension).  In a block of vectors the exact products of
+the ``FIRST`` most promising ones set a query's reach, the k-th best of them;
+every vector whose upper bound comes up to it is ranked by the exact product.
+The k-th best in the sample below is a reach to begin with.
 
 Work and memory: the index is a table of blocks of at most ``block_rows``
 vectors.  Queries are cut into blocks of at most ``query_rows`` too, and each
@@ -37,13 +39,17 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, staged
 
-BLOCK_ROWS, QUERY_ROWS, SAMPLE_ROWS, SIGMAS, SEED = 32_768, 4_096, 4_096, 4.0, 20
+BLOCK_ROWS, QUERY_ROWS, SAMPLE_ROWS = 32_768, 4_096, 4_096
+ROTATIONS, SIGMAS, FIRST, SEED = 2, 2.5, 64, 20
 
 
 def rotation(dim: int, seed: int = SEED) -> np.ndarray:
-    """A random orthogonal matrix, the same in every task."""
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
-    return q * np.sign(np.diag(r))
+    """Random orthogonal matrices side by side, the same in every task: each gives one bit a dimension."""
+    rng, turns = np.random.default_rng(seed), []
+    for _ in range(ROTATIONS):
+        q, r = np.linalg.qr(rng.standard_normal((dim, dim)))
+        turns.append(q * np.sign(np.diag(r)))
+    return np.concatenate(turns, axis=1) / np.sqrt(ROTATIONS)
 
 
 def encode(vectors: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,7 +57,7 @@ def encode(vectors: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[n
     centred = vectors - centre
     length = np.linalg.norm(centred, axis=1)
     unit = (centred / np.where(length > 0, length, 1)[:, None]) @ turn
-    return np.packbits(unit > 0, axis=1), length, np.abs(unit).sum(axis=1) / np.sqrt(vectors.shape[1])
+    return np.packbits(unit > 0, axis=1), length, np.abs(unit).sum(axis=1) / np.sqrt(turn.shape[1])
 
 
 def usable(df: DataFrame) -> DataFrame:
@@ -102,33 +108,40 @@ FOUND = "query_id long, vec_id long, score double"
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
-def _search_block(q_ids, queries, ids, vectors, codes, lengths, fits, centre, turn, k, sigmas):
+def _search_block(q_ids, queries, floor, ids, vectors, codes, lengths, fits, centre, turn, k, sigmas):
     """Best k of one block for each query: arrays of query number, id and score."""
-    dim, n = vectors.shape[1], len(ids)
-    signs = (np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1) / np.float32(np.sqrt(dim))
+    dim, n = turn.shape[1], len(ids)
     scale = lengths / np.where(fits > 0, fits, 1)
-    spread = lengths * np.sqrt(np.maximum(1 - fits**2, 0)) / np.where(fits > 0, fits, 1) / np.sqrt(max(dim - 1, 1))
-    out_q, out_id, out_s = [], [], []
-    step = max(1, (4 << 20) // max(n, 1))
+    spread = scale * np.sqrt(np.maximum(1 - fits**2, 0)) / np.sqrt(max(dim - 1, 1))
+    # one product gives the upper bounds: estimate of the centred part, its margin, and the part of the centre
+    right = np.empty((n, dim + 2), np.float32)
+    right[:, :dim] = (np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1) * (scale / np.sqrt(dim))[:, None]
+    right[:, dim], right[:, dim + 1] = sigmas * spread, 1
+    found = []
+    step = max(1, (2 << 20) // max(n, 1))
     for at in range(0, len(queries), step):
         q = queries[at : at + step]
-        estimate = ((q @ turn).astype(np.float32) @ signs.T) * scale.astype(np.float32)
-        estimate += (q @ centre).astype(np.float32)[:, None]
-        margin = (sigmas * np.linalg.norm(q, axis=1)).astype(np.float32)[:, None] * spread.astype(np.float32)
-        low = estimate - margin
-        reach = np.partition(low, n - k - 1, axis=1)[:, n - k - 1] if n > k else np.full(len(q), -np.inf, np.float32)  # one to spare for the query itself
-        who, which = np.nonzero(estimate + margin >= reach[:, None])
-        for part in range(0, len(who), 1 << 18):
-            a, b = who[part : part + (1 << 18)], which[part : part + (1 << 18)]
+        norm = np.linalg.norm(q, axis=1)
+        upper = np.concatenate([q @ turn, norm[:, None], (q @ centre)[:, None]], axis=1).astype(np.float32) @ right.T
+        reach = floor[at : at + step]
+        if n > FIRST:
+            # the k-th exact product among the most promising ones, one to spare for the query itself
+            first = np.argpartition(-upper, FIRST, axis=1)[:, :FIRST]
+            exact = (q[:, None, :] * vectors[first]).sum(axis=2)
+            reach = np.maximum(reach, np.partition(exact, FIRST - k - 1, axis=1)[:, FIRST - k - 1]) if FIRST > k else reach
+            np.put_along_axis(upper, first, np.inf, axis=1)  # they stay, so that k are found whatever the bounds say
+        who, which = np.nonzero(upper >= (reach - 1e-4 * norm * lengths.max(initial=0))[:, None])
+        parts = []
+        for part in range(0, len(who), 1 << 17):
+            a, b = who[part : part + (1 << 17)], which[part : part + (1 << 17)]
             score = (q[a] * vectors[b]).sum(axis=1)
             other = ids[b] != q_ids[at + a]
-            out_q.append(a[other] + at)
-            out_id.append(ids[b][other])
-            out_s.append(score[other])
-        if out_q:
-            kept = _first_k(np.concatenate(out_q), np.concatenate(out_id), np.concatenate(out_s), k)
-            out_q, out_id, out_s = [kept[0]], [kept[1]], [kept[2]]
-    return (out_q[0], out_id[0], out_s[0]) if out_q else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+            parts.append((a[other] + at, ids[b][other], score[other]))
+            if len(parts) > 8:
+                parts = [_first_k(*map(np.concatenate, zip(*parts)), k)]
+        if parts:
+            found.append(_first_k(*map(np.concatenate, zip(*parts)), k))
+    return tuple(map(np.concatenate, zip(*found))) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
 
 
 def _first_k(q, ids, score, k):
@@ -143,10 +156,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows: int
     spark = vectors.sparkSession
     bounded_batches(spark, block_rows)
     base = staged(usable(vectors), "vectors")
-    sample = base.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select("v").collect()
-    if not sample:
+    sample = np.array([r.v for r in base.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select("v").collect()])
+    if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    centre = np.array([r.v for r in sample]).mean(axis=0)
+    centre = sample.mean(axis=0)
     dim = len(centre)
     index = staged(build_index(base, centre, block_rows), "codes")
     asked = queries.select("id", F.col("v").cast("array<double>").alias("v")).where(F.size("v") == dim).select("id", "v")
@@ -155,18 +168,23 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows: int
     passes = None
     for b in range(blocks):
         rows = asked.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(blocks)) == b).collect()
-        found = _one_pass(index, rows, centre, k, sigmas)
+        found = _one_pass(index, rows, sample, centre, k, sigmas)
         passes = found if passes is None else passes.unionByName(found)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return passes.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _one_pass(index: DataFrame, rows: list, centre: np.ndarray, k: int, sigmas: float) -> DataFrame:
+def _one_pass(index: DataFrame, rows: list, sample: np.ndarray, centre: np.ndarray, k: int, sigmas: float) -> DataFrame:
     q_ids, q = np.array([r.id for r in rows], np.int64), np.array([r.v for r in rows]).reshape(len(rows), len(centre))
-    sent = index.sparkSession.sparkContext.broadcast((q_ids, q))
+    floor = np.full(len(q), -np.inf)
+    for at in range(0, len(q) if len(sample) > k + 1 else 0, 256):
+        part = q[at : at + 256] @ sample.T
+        # one to spare for the query itself, and a little for the order of summation
+        floor[at : at + 256] = np.partition(part, len(sample) - k - 1, axis=1)[:, len(sample) - k - 1] - 1e-9 * np.abs(part).max(axis=1)
+    sent = index.sparkSession.sparkContext.broadcast((q_ids, q, floor))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (q_ids, q), dim = sent.value, len(centre)
+        (q_ids, q, floor), dim = sent.value, len(centre)
         turn = rotation(dim)
         for batch in batches:
             for i in range(batch.num_rows):
@@ -174,7 +192,7 @@ def _one_pass(index: DataFrame, rows: list, centre: np.ndarray, k: int, sigmas:
                 ids = np.frombuffer(ids, "<i8")
                 n = len(ids)
                 got = _search_block(
-                    q_ids, q, ids, np.frombuffer(vectors).reshape(n, dim), np.frombuffer(codes, np.uint8).reshape(n, -1), np.frombuffer(lengths), np.frombuffer(fits), centre, turn, k, sigmas
+                    q_ids, q, floor, ids, np.frombuffer(vectors).reshape(n, dim), np.frombuffer(codes, np.uint8).reshape(n, -1), np.frombuffer(lengths), np.frombuffer(fits), centre, turn, k, sigmas
                 )
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[got[0]]), pa.array(got[1]), pa.array(got[2])], schema=_FOUND)
 
