@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, language, quality, token_store
+from . import ann, chat, decontaminate, language, packing, quality, token_store
 from .common import fold, table
 from .encoding import tokenizer_path
 
@@ -16,6 +16,10 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.encode_to_store(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 #: A document is taken as good from this score on.
 GOOD = 0.3
 
@@ -77,7 +81,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op4_quality, op7_chat_format, op8_decontaminate, op9_language, op10_nearest)}
+    return {f.__name__: f for f in (op1_token_store, op2_pack, op4_quality, op7_chat_format, op8_decontaminate, op9_language, op10_nearest)}
 
 
 def oracle_sql() -> dict[str, str]:
