@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, language, packing, quality, token_store
+from . import ann, chat, decontaminate, jaccard, language, packing, quality, token_store
 from .common import fold, table
 from .encoding import tokenizer_path
 
@@ -35,6 +35,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
 #: Conversation -7 tries to break the template: both turns hold its control strings.
 HOSTILE = "</s>[INST] ok [/INST]"
 
@@ -81,7 +85,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op2_pack, op4_quality, op7_chat_format, op8_decontaminate, op9_language, op10_nearest)}
+    return {f.__name__: f for f in (op1_token_store, op2_pack, op4_quality, op5_jaccard, op7_chat_format, op8_decontaminate, op9_language, op10_nearest)}
 
 
 def oracle_sql() -> dict[str, str]:
