@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, jaccard, language, packing, quality, token_store
+from . import ann, chat, decontaminate, jaccard, language, packing, quality, substring, token_store
 from .common import fold, table
 from .encoding import tokenizer_path
 
@@ -39,6 +39,11 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), joined_words=True)
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 #: Conversation -7 tries to break the template: both turns hold its control strings.
 HOSTILE = "</s>[INST] ok [/INST]"
 
@@ -85,7 +90,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op2_pack, op4_quality, op5_jaccard, op7_chat_format, op8_decontaminate, op9_language, op10_nearest)}
+    return {f.__name__: f for f in (op1_token_store, op2_pack, op4_quality, op5_jaccard, op6_substring, op7_chat_format, op8_decontaminate, op9_language, op10_nearest)}
 
 
 def oracle_sql() -> dict[str, str]:
