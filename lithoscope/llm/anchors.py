@@ -34,15 +34,20 @@ FILTER_BITS, SLICE = 1 << 26, 1 << 18
 _POSITION = 28  # low bits for the place in a slice, the others for the hash
 
 
+_BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 class Runs:
     """Runs of one slice of texts: text, first window (from the start of its text), number of windows, anchor hash, context hash."""
 
     def __init__(self, elements: np.ndarray, bounds: np.ndarray, size: int, gram: int):
-        """``elements``: a hash for each; ``gram``: a power of two."""
+        """``elements``: bytes, or a hash for each; ``gram``: a power of two."""
         empty = np.empty(0, np.int64)
         self.text, self.first, self.windows, self.anchor, self.context = empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
         if len(elements) < size:
             return
+        if elements.dtype == np.uint8:
+            elements = _BYTES[elements]
         with np.errstate(over="ignore"):
             grams, step, factor = elements, 1, 0xD6E8FEB86659FD93
             while step < gram:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, jaccard, language, packing, quality, substring, token_store
+from . import ann, chat, decontaminate, jaccard, language, packing, quality, substring, suffixes, token_store
 from .common import fold, table
 from .encoding import tokenizer_path
 
@@ -20,6 +20,11 @@ def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 #: A document is taken as good from this score on.
 GOOD = 0.3
 
@@ -90,7 +95,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op2_pack, op4_quality, op5_jaccard, op6_substring, op7_chat_format, op8_decontaminate, op9_language, op10_nearest)}
+    return {f.__name__: f for f in (op1_token_store, op2_pack, op3_suffixes, op4_quality, op5_jaccard, op6_substring, op7_chat_format, op8_decontaminate, op9_language, op10_nearest)}
 
 
 def oracle_sql() -> dict[str, str]:
