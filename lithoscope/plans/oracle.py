@@ -230,6 +230,14 @@ def oracle_sql() -> dict[str, str]:
         "time_parts": """SELECT o_orderkey, epoch_us(o_orderdate)/1e6+62135596800 AS seconds, dayofyear(o_orderdate) AS day, strftime(o_orderdate,'%Y-%m-%dT%H:%M:%S.%g')||'Z' AS iso,
             year(o_orderdate)%4=0 AND (year(o_orderdate)%100<>0 OR year(o_orderdate)%400=0) AS leap, epoch_us(o_orderdate)/1e6+62135596800+172800 AS later, true AS back FROM orders""",
     }
+    tone = lambda k: f"round((pow(sum(v*cos(2*pi()*{k}*i/n)),2)+pow(sum(v*sin(2*pi()*{k}*i/n)),2))*0.25,3) AS p{k}"
+    out["sig_spectrum"] = f"{WAVE}, d AS (SELECT sid, i, v-avg(v) OVER o AS v, count(*) OVER o AS n FROM w WINDOW o AS (PARTITION BY sid)) SELECT sid, {tone(1)}, {tone(2)}, {tone(3)} FROM d WHERE n>=8 GROUP BY sid"
+    out["stream_tumbling"] = "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS \"begin\", user_id AS sid, count(*) AS n, round(sum(value),4) AS total FROM events GROUP BY ALL"
+    out["stream_sliding"] = "SELECT time_bucket(INTERVAL 1 HOUR, ts)-k*INTERVAL 1 HOUR AS \"begin\", user_id AS sid, count(*) AS n, round(sum(value),4) AS total FROM events, (SELECT unnest([0,1]) AS k) GROUP BY ALL"
+    out["stream_segments"] = """WITH g AS (SELECT user_id AS sid, ts, CASE WHEN lag(ts) OVER o IS NULL OR ts-lag(ts) OVER o>INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS nw FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts)),
+        s AS (SELECT *, sum(nw) OVER (PARTITION BY sid ORDER BY ts) AS k FROM g) SELECT min(ts) AS "begin", max(ts) AS "end", sid, count(*) AS n FROM s GROUP BY sid, k"""
+    out["stream_ring_buffer"] = """WITH x AS (SELECT user_id AS sid, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS k FROM events)
+        SELECT sid, count(*) AS n, round(min_by(value,k),6) AS last, round(max_by(value,k),6) AS first FROM x WHERE k<=5 GROUP BY sid"""
     for name, symbol in (("eq", "="), ("ne", "<>"), ("gt", ">"), ("lt", "<"), ("ge", ">="), ("le", "<=")):
         out[f"cat_filter_{name}"] = _filter(symbol)
     return out

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,8 @@ from ..functions import geo, hazard, site, time
 from ..functions import ground_motion as gm
 from ..operators import catalogue as cat
 from ..operators import hazard as hz
-from ..operators import impact, waveform
+from ..operators import impact, records, waveform
+from ..streaming import streams
 from . import views
 
 EVENT = {"mag": 5.5, "lon": 13.0, "lat": 46.0}
@@ -369,5 +372,93 @@ def time_parts(spark, d):
     )
 
 
+# records
+
+
+@query
+def sig_spectrum(spark, d):
+    """Power at the first frequencies of each source's record."""
+
+    def kernel(x, delta):
+        power = np.abs(records.spectrum(x - x.mean(), delta)[1]) ** 2
+        return {"p1": power[1], "p2": power[2], "p3": power[3]}
+
+    long = records.from_samples(_w(spark, d), 0.5).where(F.size("data") >= 8)
+    out = records.apply(long, kernel, p1="double", p2="double", p3="double")
+    return out.select(F.col("sid").cast("long").alias("sid"), *(r(F.col(c), 3).alias(c) for c in ("p1", "p2", "p3")))
+
+
+@query
+def sig_response_spectrum(spark, d):
+    def kernel(x, delta):
+        return {k: v.tolist() for k, v in records.response_spectrum(x, delta, np.array([0.1, 0.5, 1.0])).items()}
+
+    return records.apply(records.from_samples(_w(spark, d), 0.01), kernel, sd="array<double>", sv="array<double>", sa="array<double>", psv="array<double>", psa="array<double>")
+
+
+@query
+def sig_bandpass(spark, d):
+    def kernel(x, delta):
+        y = records.bandpass(x, delta, 2.0, 20.0)
+        return {"rms": float(np.sqrt((y**2).mean())), "envelope": float(records.envelope(y).max())}
+
+    return records.apply(records.from_samples(_w(spark, d), 0.01), kernel, rms="double", envelope="double")
+
+
+@query
+def site_sh_transfer(spark, d):
+    """Amplification of each profile at three frequencies."""
+    freq = np.array([0.5, 1.0, 5.0])
+    size = F.size("layers")
+    one = lambda name: F.transform("layers", lambda x: x[name])
+    stacked = views.profiles(spark, d).select(F.col("site").alias("sid"), F.lit(0.0).alias("delta"), F.concat(*map(one, ("hl", "vs", "dn", "qs"))).alias("data")).where(size > 1)
+
+    def kernel(x, delta):
+        hl, vs, dn, qs = x.reshape(4, -1)
+        return {"amplitude": np.abs(records.sh_transfer(freq, hl, vs, dn, qs)).tolist()}
+
+    return records.apply(stacked, kernel, amplitude="array<double>").drop("delta")
+
+
+# streams
+
+
+def _stream(spark, d):
+    schema = views.table(spark, d, "events").schema
+    return streams.source(spark, f"{d}/events.parquet", schema).select(F.col("user_id").alias("sid"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("v"))
+
+
+def _folder(spark) -> str:
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = tempfile.mkdtemp(prefix="lithoscope-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
+
+
+@query
+def stream_tumbling(spark, d):
+    out = streams.run_to_end(streams.windowed(_stream(spark, d), "1 hour"), "complete", _folder(spark))
+    return out.select(F.col("begin").cast("timestamp_ntz").alias("begin"), "sid", "n", r(F.col("total"), 4).alias("total"))
+
+
+@query
+def stream_sliding(spark, d):
+    out = streams.run_to_end(streams.windowed(_stream(spark, d), "2 hours", "1 hour"), "complete", _folder(spark))
+    return out.select(F.col("begin").cast("timestamp_ntz").alias("begin"), "sid", "n", r(F.col("total"), 4).alias("total"))
+
+
+@query
+def stream_segments(spark, d):
+    out = streams.run_to_end(streams.merged_segments(_stream(spark, d), "30 minutes"), "complete", _folder(spark))
+    return out.select(F.col("begin").cast("timestamp_ntz").alias("begin"), F.col("end").cast("timestamp_ntz").alias("end"), "sid", "n")
+
+
+@query
+def stream_ring_buffer(spark, d):
+    out = streams.run_to_end(streams.last_values(_stream(spark, d), 5), "update", _folder(spark))
+    return out.select("sid", F.size("buffer").cast("long").alias("n"), r(F.element_at("buffer", -1)).alias("last"), r(F.element_at("buffer", 1)).alias("first"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(FOUND)
