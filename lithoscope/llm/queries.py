@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, jaccard, language, packing, quality, substring, suffixes, token_store
+from . import ann, chat, decontaminate, jaccard, language, oracle, packing, quality, substring, suffixes, token_store
 from .common import fold, table
 from .encoding import tokenizer_path
 
@@ -99,4 +99,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()
