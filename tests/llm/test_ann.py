@@ -8,7 +8,7 @@ def brute(rows, k=20):
     ids, v = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
     out = {}
     for q in np.flatnonzero(ids % 20 == 0):
-        score = (v * v[q]).sum(axis=1)
+        score = np.cumsum(v * v[q], axis=1)[:, -1]
         order = np.lexsort((ids, -score))
         out[int(ids[q])] = [(int(ids[i]), score[i]) for i in order if ids[i] != ids[q]][:k]
     return out
