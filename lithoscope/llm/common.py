@@ -14,13 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own_dir: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir``, or a new local one where it is unset."""
+    """The folder every executor sees: ``spark.checkpoint.dir``, or a local one where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="lithoscope-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if not found and not _own_dir:
+        _own_dir.append(tempfile.mkdtemp(prefix="lithoscope-"))
+    return found or _own_dir[0]
 
 
 def staging_path(spark: SparkSession, label: str) -> str:
