@@ -429,11 +429,7 @@ def _stream(spark, d):
 
 
 def _folder(spark) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="lithoscope-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lithoscope-")
 
 
 @query
