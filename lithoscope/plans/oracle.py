@@ -230,6 +230,18 @@ def oracle_sql() -> dict[str, str]:
         "time_parts": """SELECT o_orderkey, epoch_us(o_orderdate)/1e6+62135596800 AS seconds, dayofyear(o_orderdate) AS day, strftime(o_orderdate,'%Y-%m-%dT%H:%M:%S.%g')||'Z' AS iso,
             year(o_orderdate)%4=0 AND (year(o_orderdate)%100<>0 OR year(o_orderdate)%400=0) AS leap, epoch_us(o_orderdate)/1e6+62135596800+172800 AS later, true AS back FROM orders""",
     }
+    out["mesh_cells"] = f"""WITH s AS ({SITES}), b AS (SELECT min(lon) AS x0, max(lon) AS x1, min(lat) AS y0, max(lat) AS y1 FROM s),
+        n AS (SELECT floor((lon-x0)/0.25+1e-9)::BIGINT AS x, floor((lat-y0)/0.25+1e-9)::BIGINT AS y, count(*) AS n FROM s, b GROUP BY ALL),
+        g AS (SELECT x, y, floor((x1-x0)/0.25+1e-12)::BIGINT+1 AS nx FROM b, LATERAL (SELECT unnest(range(floor((x1-x0)/0.25+1e-12)::BIGINT+1)) AS x), LATERAL (SELECT unnest(range(floor((y1-y0)/0.25+1e-12)::BIGINT+1)) AS y))
+        SELECT y*nx+x AS id, coalesce(n, 0) AS n FROM g LEFT JOIN n USING (x, y)"""
+    out["grid_interpolation"] = f"""WITH l AS ({LOCS}), g AS (SELECT floor(lon*4+1e-9)::BIGINT AS x, floor(lat*4+1e-9)::BIGINT AS y, avg(depth) AS v FROM l GROUP BY ALL),
+        p AS (SELECT asset_id, floor(lon/0.25+1e-9)::BIGINT AS x, floor(lat/0.25+1e-9)::BIGINT AS y, lon/0.25 AS a, lat/0.25 AS b FROM ({SITES}))
+        SELECT asset_id, round((1-(a-p.x))*(1-(b-p.y))*g0.v+(a-p.x)*(1-(b-p.y))*g1.v+(1-(a-p.x))*(b-p.y)*g2.v+(a-p.x)*(b-p.y)*g3.v,6) AS value FROM p
+        LEFT JOIN g g0 ON g0.x=p.x AND g0.y=p.y LEFT JOIN g g1 ON g1.x=p.x+1 AND g1.y=p.y LEFT JOIN g g2 ON g2.x=p.x AND g2.y=p.y+1 LEFT JOIN g g3 ON g3.x=p.x+1 AND g3.y=p.y+1"""
+    out["exposure_group_by"] = """SELECT p_brand AS asset_id, min_by(p_size/10, p_partkey) FILTER (WHERE p_size>10) AS lon, min_by(p_size/5, p_partkey) FILTER (WHERE p_size>10) AS lat,
+        count(*)>1 OR max(p_size%3)>1 AS aggregated, count(*) AS n, max_by(p_type, p_partkey) AS last FROM part GROUP BY p_brand"""
+    out["exposure_taxonomies"] = "SELECT DISTINCT p_brand AS taxonomy FROM lineitem JOIN part ON l_partkey=p_partkey JOIN orders ON l_orderkey=o_orderkey"
+    out["exposure_branches"] = impact("n", """SELECT taxonomy, model_id, count(*) AS assets, sum(k)::BIGINT AS units FROM (SELECT taxonomy, model_id, floor(n*weight+1e-9)::BIGINT AS k FROM ty JOIN tm USING (taxonomy)) WHERE k>0 GROUP BY ALL""")
     tone = lambda k: f"round((pow(sum(v*cos(2*pi()*{k}*i/n)),2)+pow(sum(v*sin(2*pi()*{k}*i/n)),2))*0.25,3) AS p{k}"
     out["sig_spectrum"] = f"{WAVE}, d AS (SELECT sid, i, v-avg(v) OVER o AS v, count(*) OVER o AS n FROM w WINDOW o AS (PARTITION BY sid)) SELECT sid, {tone(1)}, {tone(2)}, {tone(3)} FROM d WHERE n>=8 GROUP BY sid"
     out["stream_tumbling"] = "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS \"begin\", user_id AS sid, count(*) AS n, round(sum(value),4) AS total FROM events GROUP BY ALL"

@@ -14,7 +14,7 @@ from ..functions import geo, hazard, site, time
 from ..functions import ground_motion as gm
 from ..operators import catalogue as cat
 from ..operators import hazard as hz
-from ..operators import impact, records, waveform
+from ..operators import exposure, impact, mesh, records, waveform
 from ..streaming import streams
 from . import views
 
@@ -186,6 +186,44 @@ def geo_in_polygon(spark, d):
     return views.sites(spark, d).where(geo.in_ring(ring, F.col("lon"), F.col("lat"))).select("asset_id", r(geo.polygon_area(ring) / 1e6, 3).alias("area"))
 
 
+@query
+def mesh_cells(spark, d):
+    """Sites by cell of a regular mesh over all of them."""
+    sites = views.sites(spark, d)
+    box = sites.agg(F.min("lon"), F.max("lon"), F.min("lat"), F.max("lat")).first()
+    step, origin = 0.25, (box[0], box[2])
+    x, y = mesh.cell("lon", origin[0], step).alias("x"), mesh.cell("lat", origin[1], step).alias("y")
+    grid = mesh.cartesian(spark, (box[0], box[1]), (box[2], box[3]), step, step).select("id", x, y)
+    return grid.join(sites.groupBy(x, y).agg(F.count("*").alias("n")), ["x", "y"], "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query
+def grid_interpolation(spark, d):
+    """Shaking on a regular grid of events, at the sites."""
+    grid = views.locations(spark, d).groupBy((F.floor(F.col("lon") * 4 + 1e-9) / 4).alias("lon"), (F.floor(F.col("lat") * 4 + 1e-9) / 4).alias("lat")).agg(F.avg("depth").alias("value"))
+    return mesh.grid_values(grid, views.sites(spark, d).drop("elevation"), (0.0, 0.0), 0.25).select("asset_id", r(F.col("value")).alias("value"))
+
+
+# exposure
+
+
+@query
+def exposure_group_by(spark, d):
+    parts = views.table(spark, d, "part").select("p_brand", F.when(F.col("p_size") > 10, F.col("p_size") / 10).alias("lon"), (F.col("p_size") / 5).alias("lat"), F.col("p_type").alias("taxonomy"), (F.col("p_size") % 3).alias("number"), F.col("p_partkey").alias("seq"))
+    out = exposure.grouped(parts, "p_brand")
+    return out.select("asset_id", "lon", "lat", "aggregated", F.size("typologies").cast("long").alias("n"), F.element_at("typologies", -1)["taxonomy"].alias("last"))
+
+
+@query
+def exposure_taxonomies(spark, d):
+    return exposure.taxonomies(views.typologies(spark, d))
+
+
+@query
+def exposure_branches(spark, d):
+    return exposure.branches(views.typologies(spark, d), views.taxonomy_map(spark, d)).groupBy("taxonomy", "model_id").agg(F.count("*").alias("assets"), F.sum("n").alias("units"))
+
+
 # hazard
 
 
