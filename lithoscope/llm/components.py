@@ -15,13 +15,16 @@ def components(links: DataFrame) -> DataFrame:
     label; the minimum is taken within tasks before rows are shuffled, and Spark
     splits the join of a node with very many links.
     """
-    both = staged(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "links")
-    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")), "labels")
+    pairs = links.select("a", "b").where("a <> b")
+    both = pairs.union(pairs.select("b", "a")).distinct()
+    # every node is its own neighbour, so that one aggregate sees its label and those around it
+    near = staged(both.union(both.select("a", F.col("a").alias("b")).distinct()), "links")
+    labels = near.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
-        lowered = labels.join(near, labels.node == near.a).select("node", "label", F.least("label", "near").alias("next"))
+        own = F.max(F.when(F.col("a") == F.col("b"), F.col("label")))
+        lowered = near.join(labels, near.b == labels.node).groupBy("a").agg(own.alias("label"), F.min("label").alias("next"))
         jump = labels.select(F.col("node").alias("via"), F.col("label").alias("further"))
-        moved = staged(lowered.join(jump, lowered.next == jump.via, "left").select("node", "label", F.least("next", "further").alias("next")), "labels")
-        labels = moved.select("node", F.col("next").alias("label"))
+        moved = staged(lowered.join(jump, lowered.next == jump.via).select(F.col("a").alias("node"), "label", F.least("next", "further").alias("next")), "labels")
         if moved.where("next <> label").isEmpty():
             return labels
+        labels = moved.select("node", F.col("next").alias("label"))

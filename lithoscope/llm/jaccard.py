@@ -20,8 +20,9 @@ The join runs in three steps, none of which lists all pairs of a group:
 3. Groups that still hold several components are searched for spanning pairs:
    in blocks of at most ``BLOCK`` members, sketches are compared and of all pairs
    that may link only those are kept that join two components.  They are checked
-   exactly; where some fail, the search is repeated without them.  When none
-   fails, every pair that could link is linked or in one component.
+   exactly; where some fail, the search is repeated without them, for eight
+   times as many.  When none fails, every pair that could link is linked or in
+   one component.
 
 So the links found connect the same documents as all links would.
 
@@ -166,37 +167,53 @@ SPANNING = "a long, b long, band int"
 _SPANNING = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("band", pa.int32())])
 
 
-def spanning_pairs(members: DataFrame, percent: int) -> DataFrame:
+def spanning_pairs(members: DataFrame, percent: int, forests: int) -> DataFrame:
     """a, b, band: of the pairs in a group that may link, enough to join all components that such pairs join.
 
     ``members``: key, i, j, side (0: in block i, 1: in block j), band, fp, label,
     n, bits, failed (partners already ruled out).  Rows of one (key, i, j) are
-    read in a row, 2 x BLOCK at most.
+    read in a row, 2 x BLOCK at most.  The likeliest pairs are taken first, and
+    ``forests`` spanning forests that share no pair.
     """
 
-    def search(rows: list[dict]) -> Iterator[tuple[int, int, int]]:
+    def candidates(rows: list[dict]) -> list[tuple[float, int, int]]:
+        """Pairs of rows in different components that the sketches do not rule out, the most alike first."""
         bits = np.array([r["bits"] for r in rows], np.int64).view(np.uint64)
         n, side = np.array([r["n"] for r in rows]), np.array([r["side"] for r in rows])
+        labels, same, found = np.array([r["label"] for r in rows]), rows[0]["i"] == rows[0]["j"], []
+        for k in range(len(rows)):
+            others = np.arange(k + 1, len(rows)) if same else np.flatnonzero(side == 1) if side[k] == 0 else np.empty(0, int)
+            others = others[labels[others] != labels[k]]
+            if len(others):
+                apart = np.bitwise_count(bits[others] ^ bits[k]).sum(axis=1, dtype=np.int64)
+                both = n[others] + n[k]
+                near = apart * (100 + percent) <= both * (100 - percent)
+                found += zip((apart / both)[near].tolist(), [k] * int(near.sum()), others[near].tolist())
         failed = [set(r["failed"] or ()) for r in rows]
-        root = {r["label"]: r["label"] for r in rows}
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        same = rows[0]["i"] == rows[0]["j"]
-        for k, row in enumerate(rows):
-            others = np.arange(k + 1, len(rows)) if same else np.flatnonzero(side == 1) if side[k] == 0 else ()
-            if not len(others):
-                continue
-            apart = np.bitwise_count(bits[others] ^ bits[k]).sum(axis=1, dtype=np.int64)
-            for o in others[apart * (100 + percent) <= (n[others] + n[k]) * (100 - percent)].tolist():
-                x, y = find(row["label"]), find(rows[o]["label"])
-                if x != y and rows[o]["fp"] not in failed[k] and row["fp"] not in failed[o]:
+        return sorted(f for f in found if rows[f[2]]["fp"] not in failed[f[1]] and rows[f[1]]["fp"] not in failed[f[2]])
+
+    def search(rows: list[dict]) -> Iterator[tuple[int, int, int]]:
+        left = candidates(rows)
+        for _ in range(forests):
+            root, rest = {r["label"]: r["label"] for r in rows}, []
+
+            def find(x: int) -> int:
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            for one in left:
+                a, b = rows[one[1]], rows[one[2]]
+                x, y = find(a["label"]), find(b["label"])
+                if x == y:
+                    rest.append(one)
+                else:
                     root[x] = y
-                    yield min(row["fp"], rows[o]["fp"]), max(row["fp"], rows[o]["fp"]), row["band"]
+                    yield min(a["fp"], b["fp"]), max(a["fp"], b["fp"]), a["band"]
+            if not rest:
+                return
+            left = rest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -222,8 +239,8 @@ def spanning_pairs(members: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, SPANNING).distinct()
 
 
-def link_classes(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) between fingerprints that connect what all links connect."""
+def linked_classes(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """node, label: the component of every fingerprint that is linked with another."""
     keyed = classes.select("fp", F.explode("sketches").alias("s")).select("fp", "s.band", F.explode("s.keys").alias("key"))
     by_key = Window.partitionBy("key").orderBy("fp")
     least = F.first("fp").over(by_key.rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -231,10 +248,11 @@ def link_classes(docs: DataFrame, classes: DataFrame, size: int, percent: int) -
 
     stars = groups.where("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b"), "band").distinct()
     checked = staged(verified(staged(may_link(stars, classes, percent), "pairs"), docs, classes, size, percent), "checked")
+    bits, searched, forests = classes.select("fp", "n", F.explode("sketches").alias("s")).select("fp", "n", "s.band", "s.bits"), groups, 1
+    labels = components(checked.where("linked"))
     while True:
-        linked, failed = checked.where("linked").select("a", "b"), checked.where("not linked")
-        label = F.coalesce("label", "fp").alias("label")
-        labelled = groups.join(components(linked).withColumnRenamed("node", "fp"), "fp", "left").select("key", "band", "fp", label)
+        failed, label = checked.where("not linked").select("a", "b"), F.coalesce("label", "fp").alias("label")
+        labelled = searched.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("key", "band", "fp", label)
         # groups of several components; those with the same members are searched once
         open_keys = (
             labelled.groupBy("key", "band")
@@ -248,7 +266,6 @@ def link_classes(docs: DataFrame, classes: DataFrame, size: int, percent: int) -
         block = F.pmod(F.xxhash64("fp", F.lit(3)), F.col("blocks")).cast("int")
         met = F.sequence(F.lit(0), F.col("blocks") - 1)
         ruled_out = failed.groupBy(F.col("a").alias("fp")).agg(F.collect_set("b").alias("failed"))
-        bits = classes.select("fp", "n", F.explode("sketches").alias("s")).select("fp", "n", "s.band", "s.bits")
         members = (
             labelled.join(open_keys, ["key", "band"])
             .withColumn("own", block)
@@ -257,11 +274,21 @@ def link_classes(docs: DataFrame, classes: DataFrame, size: int, percent: int) -
             .join(bits, ["fp", "band"])
             .join(ruled_out, "fp", "left")
         )
-        found = staged(spanning_pairs(members, percent).select("a", "b").distinct(), "pairs")
+        found = staged(spanning_pairs(members, percent, forests).select("a", "b").distinct(), "pairs")
         if found.isEmpty():
-            return linked
+            return labels
         fresh = staged(verified(found, docs, classes, size, percent), "checked")
-        checked = staged(checked.union(fresh), "checked")
+        checked = checked.union(fresh)
+        if not fresh.where("linked").isEmpty():
+            labels = components(checked.where("linked"))
+        wrong = fresh.where("not linked")
+        if wrong.isEmpty():
+            return labels
+        # a group is done once all pairs chosen in it hold; only those with one that does not are searched again, for more at a time
+        forests *= 8
+        one, other = (searched.select("key", F.col("fp").alias(p)) for p in ("a", "b"))
+        again = wrong.select("a", "b").join(one, "a").join(other, ["key", "b"]).select("key").distinct()
+        searched = staged(searched.join(again, "key", "left_semi"), "groups")
 
 
 def near_duplicates(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -270,7 +297,7 @@ def near_duplicates(docs: DataFrame, size: int, percent: int) -> DataFrame:
     rows = staged(sketched(docs, size, percent), "sets")
     full = rows.where("n > 0")
     classes = staged(full.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketches").alias("sketches")), "classes")
-    labels = components(link_classes(docs, classes, size, percent)).withColumnRenamed("node", "fp")
+    labels = linked_classes(docs, classes, size, percent).withColumnRenamed("node", "fp")
     joined = classes.select("fp", "doc_id").join(labels, "fp").withColumn("component_id", F.min("doc_id").over(Window.partitionBy("label")))
     known = classes.select("fp", "doc_id").join(joined.select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "doc_id").alias("component_id"))
     empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), "fp", F.col("doc_id").alias("component_id"))
