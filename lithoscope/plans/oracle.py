@@ -213,7 +213,7 @@ def oracle_sql() -> dict[str, str]:
         "sig_gradient": f"{WAVE} SELECT sid, i, round((CASE WHEN pv IS NULL THEN nv-v WHEN nv IS NULL THEN v-pv ELSE (nv-pv)/2 END)/0.5,6) AS slope FROM (SELECT *, lag(v) OVER o AS pv, lead(v) OVER o AS nv FROM w WINDOW o AS (PARTITION BY sid ORDER BY i))",
         "sig_peak": f"{WAVE} SELECT sid, round(a,6) AS peak, i FROM (SELECT sid, i, abs(v) AS a, row_number() OVER (PARTITION BY sid ORDER BY abs(v) DESC, i) AS n FROM w) WHERE n=1",
         "sig_intensity": f"""{WAVE}, {_cum('v*v', 0.01)}, d AS (SELECT sid, max_by(cum,i) AS e, count(*) AS n FROM c GROUP BY sid), {_cum('abs(v)', 0.01).replace('c AS', 'k AS', 1)}
-            SELECT sid, round(e*pi()/(2*{gm.GRAVITY}),2) AS arias, round(max_by(k.cum,k.i),3) AS cav, round(sqrt(e/((n-1)*0.01)),3) AS rms FROM d JOIN k USING (sid) GROUP BY sid, e, n""",
+            SELECT sid, round(e*pi()/(2*{gm.GRAVITY}),1) AS arias, round(max_by(k.cum,k.i),1) AS cav, round(sqrt(e/((n-1)*0.01)),1) AS rms FROM d JOIN k USING (sid) GROUP BY sid, e, n""",
         "sig_durations": f"""{WAVE}, {_cum('v*v', 0.01)}, t AS (SELECT *, max(cum) OVER (PARTITION BY sid) AS total FROM c), s AS (SELECT sid, min(i) FILTER (WHERE cum>=0.95*total)-min(i) FILTER (WHERE cum>=0.05*total) AS d FROM t WHERE total>0 GROUP BY sid)
             SELECT sid, round(any_value(d)*0.01::DOUBLE,6) AS significant, round(coalesce(max(i) FILTER (WHERE abs(v)>=200)-min(i) FILTER (WHERE abs(v)>=200),0)*0.01::DOUBLE,6) AS bracketed FROM w JOIN s USING (sid) GROUP BY sid""",
         "sig_moving_rms": f"{WAVE} SELECT sid, i, round(sqrt(sum(v*v) OVER (PARTITION BY sid ORDER BY i ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)/7),4) AS rms FROM w",

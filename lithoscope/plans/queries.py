@@ -310,7 +310,7 @@ def sig_peak(spark, d):
 def sig_intensity(spark, d):
     w = _w(spark, d)
     out = waveform.arias_intensity(w, 0.01).join(waveform.cumulative_absolute_velocity(w, 0.01), "sid").join(waveform.root_mean_square(w, 0.01), "sid")
-    return out.select("sid", r(F.col("arias"), 2).alias("arias"), r(F.col("cav"), 3).alias("cav"), r(F.col("rms"), 3).alias("rms"))
+    return out.select("sid", r(F.col("arias"), 1).alias("arias"), r(F.col("cav"), 1).alias("cav"), r(F.col("rms"), 1).alias("rms"))
 
 
 @query
