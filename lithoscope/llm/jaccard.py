@@ -3,7 +3,7 @@
 A document's set holds the hashes of its distinct word shingles.  Two sets of
 sizes a and b with ``100 * common >= percent * union`` differ in at most
 ``(a + b) * (100 - percent) / (100 + percent)`` members.  A sketch is a row of
-64-bit words; every member flips one bit of one word, so the number of bits in
+words of ``WORD_BITS`` bits; every member flips one bit of one word, so the number of bits in
 which two sketches differ never exceeds the number of members in which the sets
 differ.  With one word more than the largest difference allowed, two linked
 sets agree in a word at least: that is the join key.  Sets are sketched for size
@@ -13,7 +13,8 @@ only if equal.
 
 The join runs in three steps, none of which lists all pairs of a group:
 
-1. Documents with the same set form a class; only its smallest id goes on.
+1. Documents with the same set form a class; only its smallest id goes on, to be
+   sketched in a second pass over the texts.
 2. In every group of equal words the smallest member is paired with each other
    one; pairs are checked by Hamming distance, then exactly, and components of the
    links that hold are found.
@@ -48,7 +49,7 @@ from .common import bounded_batches, partitions, staged
 from .components import components
 from .words import mixed, shingle_sets
 
-RATIO, BLOCK, BLOOM_BITS = 1.5, 2048, 1 << 23
+RATIO, BLOCK, BLOOM_BITS, WORD_BITS = 1.5, 2048, 1 << 23, 8
 
 
 class Bands:
@@ -79,7 +80,7 @@ class Bands:
 def sketch(members: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Bit sketch (one bit flipped by each member) and the exclusive-or of the members' hashes, by word."""
     place = ((members >> np.uint64(32)) % np.uint64(words)).astype(np.int64)
-    flips = np.bincount(place * 64 + (members & np.uint64(63)).astype(np.int64), minlength=words * 64) & 1
+    flips = np.bincount(place * WORD_BITS + (members & np.uint64(WORD_BITS - 1)).astype(np.int64), minlength=-(-words * WORD_BITS // 64) * 64) & 1
     bits = np.packbits(flips.astype(np.uint8), bitorder="little").view("<u8")
     order = np.argsort(place, kind="stable")
     starts = np.searchsorted(place[order], np.arange(words))
@@ -89,19 +90,55 @@ def sketch(members: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     return bits, sums
 
 
-SETS = "doc_id long, n long, fp long, sketches array<struct<band:int,bits:array<long>,keys:array<long>>>"
+def _print(members: np.ndarray) -> np.int64:
+    return np.uint64(xxhash.xxh3_64_intdigest(members.tobytes())).astype(np.int64)
+
+
+def printed(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, n (members), fp (fingerprint of the set)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = shingle_sets(batch.column(1), size)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(map(_print, sets), pa.int64())], names=["doc_id", "n", "fp"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, fp long")
+
+
+def _place() -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(BLOOM_BITS))
+
+
+def _filter_of(ids: DataFrame):
+    """A broadcast bit filter of fixed size over the column doc_id."""
+    words = ids.select(_place().alias("p")).groupBy(F.expr("cast(p div 64 as int) w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("bits"))
+    seen = np.zeros(BLOOM_BITS // 64, np.int64)
+    for r in words.collect():  # BLOOM_BITS / 64 rows at most
+        seen[r.w] = r.bits
+    return ids.sparkSession.sparkContext.broadcast(seen)
+
+
+def _chosen(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), "text").withColumn("place", _place())
+
+
+def _hits(batch: pa.RecordBatch, seen: np.ndarray) -> pa.RecordBatch:
+    place = batch.column(2).to_numpy()
+    return batch.take(pa.array(np.flatnonzero(seen[place // 64] >> (place % 64) & 1)))
+
+
+SETS = "fp long, doc_id long, n long, sketches array<struct<band:int,bits:array<long>,keys:array<long>>>"
 _SKETCH = pa.list_(pa.struct([("band", pa.int32()), ("bits", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))]))
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("sketches", _SKETCH)])
 
 
-def sketched(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, n (members), fp (fingerprint of the set), sketches with their join keys (none for words left out)."""
+def sketched(docs: DataFrame, sent, size: int, percent: int) -> DataFrame:
+    """fp, doc_id, n, sketches with their join keys (none for words left out), of the documents that a filter may have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
         for batch in batches:
-            rows = []
-            for members in shingle_sets(batch.column(1), size):
+            batch, rows = _hits(batch, sent.value), []
+            for doc_id, members in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), size)):
                 made = []
                 for band in bands.of(len(members)) if len(members) else ():
                     words = bands.words(band)
@@ -110,10 +147,11 @@ def sketched(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     with np.errstate(over="ignore"):
                         keys = mixed(mixed(sums[used]) + used.astype(np.uint64) * np.uint64(64) + np.uint64(band))
                     made.append({"band": band, "bits": bits.view(np.int64), "keys": keys.view(np.int64)})
-                rows.append((len(members), np.uint64(xxhash.xxh3_64_intdigest(members.tobytes())).astype(np.int64), made))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], _SETS.field(i + 1).type) for i in range(3))], schema=_SETS)
+                if len(members):
+                    rows.append((_print(members), doc_id, len(members), made))
+            yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], pa.int64()) for i in range(3)), pa.array([r[3] for r in rows], _SKETCH)], names=["fp", "doc_id", "n", "sketches"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SETS)
+    return _chosen(docs).mapInArrow(run, SETS)
 
 
 def _bits_of(prefix: str) -> Column:
@@ -137,26 +175,17 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, p
     lets through in error falls to the join.
     """
     ends = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct().join(classes.select("fp", "doc_id"), "fp")
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(BLOOM_BITS))
-    words = ends.select(place.alias("p")).groupBy(F.expr("cast(p div 64 as int) w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("bits"))
-    seen = np.zeros(BLOOM_BITS // 64, np.int64)
-    for r in words.collect():  # BLOOM_BITS / 64 rows at most
-        seen[r.w] = r.bits
-    sent = docs.sparkSession.sparkContext.broadcast(seen)
+    sent = _filter_of(ends)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            place = batch.column(2).to_numpy()
-            hit = np.flatnonzero(sent.value[place // 64] >> (place % 64) & 1)
-            if len(hit):
-                batch = batch.take(pa.array(hit))
-                sets = [x.view(np.int64) for x in shingle_sets(batch.column(1), size)]
-                prints = [np.uint64(xxhash.xxh3_64_intdigest(x.tobytes())).astype(np.int64) for x in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "fp", "members"])
-
-    texts = docs.select(F.col("doc_id").cast("long"), "text").withColumn("place", place)
+            batch = _hits(batch, sent.value)
+            if batch.num_rows:
+                sets = shingle_sets(batch.column(1), size)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(_print, sets), pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["doc_id", "fp", "members"])
+
     # a repeated doc_id may stand for several sets, and one set for several rows
-    members = texts.mapInArrow(run, "doc_id long, fp long, members array<long>").join(ends, ["doc_id", "fp"]).dropDuplicates(["fp"]).select("fp", "members")
+    members = _chosen(docs).mapInArrow(run, "doc_id long, fp long, members array<long>").join(ends, ["doc_id", "fp"]).dropDuplicates(["fp"]).select("fp", "members")
     members = staged(members, "members")
     side = lambda p: members.select(F.col("fp").alias(p), F.col("members").alias(f"{p}_members"))
     common, both = F.size(F.array_intersect("a_members", "b_members")), F.size("a_members") + F.size("b_members")
@@ -294,12 +323,14 @@ def linked_classes(docs: DataFrame, classes: DataFrame, size: int, percent: int)
 def near_duplicates(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, fp (class of equal sets), component_id, for each row of ``docs`` (doc_id, text)."""
     bounded_batches(docs.sparkSession, 2000)
-    rows = staged(sketched(docs, size, percent), "sets")
+    rows = staged(printed(docs, size), "sets")
     full = rows.where("n > 0")
-    classes = staged(full.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketches").alias("sketches")), "classes")
+    firsts = staged(full.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "firsts")
+    # what the filter lets through besides is a class twice over, which does no harm
+    classes = staged(sketched(docs, _filter_of(firsts), size, percent), "classes")
     labels = linked_classes(docs, classes, size, percent).withColumnRenamed("node", "fp")
-    joined = classes.select("fp", "doc_id").join(labels, "fp").withColumn("component_id", F.min("doc_id").over(Window.partitionBy("label")))
-    known = classes.select("fp", "doc_id").join(joined.select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "doc_id").alias("component_id"))
+    joined = firsts.join(labels, "fp").withColumn("component_id", F.min("doc_id").over(Window.partitionBy("label")))
+    known = firsts.join(joined.select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "doc_id").alias("component_id"))
     empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), "fp", F.col("doc_id").alias("component_id"))
     return full.select("doc_id", F.col("n").alias("n_shingles"), "fp").join(known, "fp").select("doc_id", "n_shingles", "fp", "component_id").unionByName(empty)
 
