@@ -41,8 +41,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents and the sequences they are packed into."""
-    return packing.pack_documents(docs, tokenizer_path())
+    """The pieces of the documents and the sequences they are packed into; workers hold what earlier stages left, so they remember less."""
+    return packing.pack_documents(docs, tokenizer_path(), remembered=300_000, batch_rows=1000)
 
 
 STAGES = [

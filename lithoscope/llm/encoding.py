@@ -117,10 +117,11 @@ class WordEncoder:
 _encoders: dict[str, WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, remembered: int = REMEMBERED) -> WordEncoder:
     """The worker's own encoder, kept from task to task."""
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
+    _encoders[path].remembered = remembered
     return _encoders[path]
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, partitions, staged
-from .encoding import encoder
+from .encoding import REMEMBERED, encoder
 
 CAPACITY, UNITS, GAP, MOST_COLUMNS = 2048, 128, 5e-4, 6000
 TRUST = (0.9, 0.5, 0.0)
@@ -39,12 +39,15 @@ TRUST = (0.9, 0.5, 0.0)
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def cut_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens of every piece, and with ``with_ids`` its ids (little-endian, 4 bytes each)."""
-    bounded_batches(docs.sparkSession, 3000)
+def cut_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False, remembered: int = REMEMBERED, batch_rows: int = 3000) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens of every piece, and with ``with_ids`` its ids (little-endian, 4 bytes each).
+
+    ``remembered`` words and ``batch_rows`` texts bound a worker's memory.
+    """
+    bounded_batches(docs.sparkSession, batch_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, remembered)
         for batch in batches:
             ids, bounds = enc.encode(batch.column(1))
             ids = ids.astype("<u4")
@@ -181,9 +184,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, units: int = UNITS) -> Dat
     )
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, remembered: int = REMEMBERED, batch_rows: int = 3000) -> DataFrame:
     """Every piece of ``docs`` with its sequence and offset; pieces are staged, without their ids."""
-    return pack(staged(cut_documents(docs, tokenizer, capacity), "pieces"), capacity)
+    return pack(staged(cut_documents(docs, tokenizer, capacity, remembered=remembered, batch_rows=batch_rows), "pieces"), capacity)
 
 
 def write_sequences(docs: DataFrame, path: str, tokenizer: str, capacity: int = CAPACITY, pad: int = 0) -> DataFrame:
