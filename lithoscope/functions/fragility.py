@@ -59,7 +59,8 @@ def distribution_poe(values: Column, poe_at) -> Column:
 
 def monotone(poes: Column) -> Column:
     """Running minimum, from 1, of the clipped probabilities of an array in level order."""
-    return F.transform(poes, lambda _, i: F.array_min(F.transform(F.slice(poes, F.lit(1), i + 1), clip01)))
+    none = F.array().cast("array<double>")
+    return F.aggregate(poes, none, lambda done, p: F.concat(done, F.array(F.least(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(1.0)), clip01(p)))))
 
 
 def states(poes: Column) -> Column:

@@ -58,7 +58,9 @@ def models(fragility: DataFrame) -> DataFrame:
 
 def exceedance(curves: Column, median: Column, sigma: Column) -> Column:
     """Probabilities of exceedance by level, never rising from one level to the next."""
-    return fr.monotone(F.transform(curves, lambda c: fr.lognormal_poe_uncertain(median, sigma, c["theta"], c["beta"])))
+    # the deviate is worked out once for each level, as the distribution function names it many times
+    z = F.transform(curves, lambda c: F.log(median / c["theta"]) / F.sqrt(c["beta"] * c["beta"] + sigma * sigma))
+    return fr.monotone(F.transform(z, lambda x: F.when(median > 0, fr.norm_cdf(x)).otherwise(0.0)))
 
 
 def weighted_mean(pairs: Column) -> Column:
