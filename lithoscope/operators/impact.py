@@ -35,7 +35,7 @@ def ground_motion(assets: DataFrame, mag: float, lon: float, lat: float, coeffic
 
 
 def events_near_sites(events: DataFrame, sites: DataFrame, most_km: float, cell_deg: float = 1.0) -> DataFrame:
-    """Pairs of events (event_id, mag, lon, lat) and sites (site_id, lon, lat) within a distance, with km.
+    """Pairs of events (lon, lat and what else they have) and sites (site_id, lon, lat) within a distance, with km.
 
     An equi-join on cells: an event goes to every cell its circle can touch, a
     site to its own, so no pair is looked at outside them.  Not for circles that
@@ -44,11 +44,12 @@ def events_near_sites(events: DataFrame, sites: DataFrame, most_km: float, cell_
     reach = most_km / 111.0
     wide = reach / F.cos(F.radians(F.least(F.abs("lat") + reach, F.lit(89.0))))
     cells = lambda c, r: F.sequence(F.floor((F.col(c) - r) / cell_deg), F.floor((F.col(c) + r) / cell_deg))
-    spread = events.select("event_id", "mag", F.col("lon").alias("e_lon"), F.col("lat").alias("e_lat"), F.explode(cells("lon", wide)).alias("x"), cells("lat", F.lit(reach)).alias("ys"))
+    kept = [c for c in events.columns if c not in ("lon", "lat")]
+    spread = events.select(*kept, F.col("lon").alias("e_lon"), F.col("lat").alias("e_lat"), F.explode(cells("lon", wide)).alias("x"), cells("lat", F.lit(reach)).alias("ys"))
     spread = spread.withColumn("y", F.explode("ys")).drop("ys")
     own = sites.select("site_id", "lon", "lat", F.floor(F.col("lon") / cell_deg).alias("x"), F.floor(F.col("lat") / cell_deg).alias("y"))
     km = geo.great_circle(F.col("lon"), F.col("lat"), F.col("e_lon"), F.col("e_lat")) / 1000
-    return spread.join(own, ["x", "y"]).withColumn("km", km).where(F.col("km") <= most_km).select("event_id", "mag", "site_id", "km")
+    return spread.join(own, ["x", "y"]).withColumn("km", km).where(F.col("km") <= most_km).select(*kept, "site_id", "km")
 
 
 def models(fragility: DataFrame) -> DataFrame:
