@@ -35,11 +35,11 @@ def vs30(layers: Column) -> Column:
 
 
 def site_kappa(layers: Column, depth: Column | None = None) -> Column:
-    """Attenuation down to a depth, by default that of the half-space."""
+    """Attenuation down to a depth, by default that of the half-space; none where that lies at the surface."""
     if depth is None:
         above = F.slice(layers, F.lit(1), F.size(layers) - 1)
         depth = F.aggregate(above, F.lit(0.0), lambda s, x: s + x["hl"])
-    return depth * depth_average(layers, lambda x: 1 / (x["vs"] * x["qs"]), depth)
+    return F.when(depth == 0, 0.0).otherwise(depth * depth_average(layers, lambda x: 1 / (x["vs"] * x["qs"]), depth))
 
 
 #: Lower bounds of Vs30 by class, inclusive.

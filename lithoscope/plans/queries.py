@@ -450,9 +450,8 @@ def sig_bandpass(spark, d):
 def site_sh_transfer(spark, d):
     """Amplification of each profile at three frequencies."""
     freq = np.array([0.5, 1.0, 5.0])
-    size = F.size("layers")
     one = lambda name: F.transform("layers", lambda x: x[name])
-    stacked = views.profiles(spark, d).select(F.col("site").alias("sid"), F.lit(0.0).alias("delta"), F.concat(*map(one, ("hl", "vs", "dn", "qs"))).alias("data")).where(size > 1)
+    stacked = views.profiles(spark, d).select(F.col("site").alias("sid"), F.lit(0.0).alias("delta"), F.concat(*map(one, ("hl", "vs", "dn", "qs"))).alias("data"))
 
     def kernel(x, delta):
         hl, vs, dn, qs = x.reshape(4, -1)

@@ -83,8 +83,9 @@ def wave(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A soil profile for each brand: site, layers (hl, vs, qs, dn) of its first six parts."""
+    """Soil profiles from all parts of each brand, six layers each (the last one what is left): site (brand/number), layers (hl, vs, qs, dn)."""
     order = Window.partitionBy("p_brand").orderBy("p_partkey")
-    rows = table(spark, sf_dir, "part").withColumn("k", F.row_number().over(order)).where("k <= 6")
+    rows = table(spark, sf_dir, "part").withColumn("n", F.row_number().over(order) - 1).withColumn("k", F.col("n") % 6 + 1)
     layer = F.struct("k", F.col("p_size").cast("double").alias("hl"), (100 + F.col("p_retailprice") / 4).alias("vs"), (10.0 + F.col("k")).alias("qs"), (1800.0 + 50 * F.col("k")).alias("dn"))
-    return rows.groupBy(F.col("p_brand").alias("site")).agg(F.array_sort(F.collect_list(layer)).alias("layers"))
+    cut = rows.groupBy("p_brand", F.expr("n div 6").alias("number")).agg(F.array_sort(F.collect_list(layer)).alias("layers"))
+    return cut.select(F.concat("p_brand", F.lit("/"), "number").alias("site"), "layers")
