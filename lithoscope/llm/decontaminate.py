@@ -13,8 +13,9 @@ size, one pass over the documents for each block, and the passes are merged.
 Defined results: null, empty or markless texts have no words and no hits;
 repeated rows are judged each on its own; a document repeated in full or a null
 doc_id is kept; an empty benchmark hits nothing; items without words have no
-window; null and clashing item_ids are left out of ``items`` and compared as
-text, respectively; further columns pass through ``remove_contaminated``.
+window; null item_ids are left out of ``items``, though their windows hit like
+others, and clashing ones are compared as text; further columns pass through
+``remove_contaminated``.
 """
 
 from __future__ import annotations
@@ -60,7 +61,7 @@ def windows(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], _WINDOWS.field(i).type) for i in range(2)], schema=_WINDOWS)
 
     rows = benchmark.select(F.col("item_id").cast("string"), "text").mapInArrow(run, WINDOWS)
-    return rows.where("item is not null").groupBy("window").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return rows.groupBy("window").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
 _automata: dict[str, tuple] = {}
@@ -154,4 +155,4 @@ def joined(spans: list[dict]) -> list[dict]:
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     """The documents in which no window of the benchmark occurs, columns as they were."""
-    return mark(docs.withColumn("_row", F.struct(*docs.columns)), benchmark, size).where(F.size("items") == 0).select("_row.*")
+    return mark(docs.withColumn("_row", F.struct(*docs.columns)), benchmark, size).where(F.size("spans") == 0).select("_row.*")

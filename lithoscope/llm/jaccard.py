@@ -184,8 +184,10 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, p
                 sets = shingle_sets(batch.column(1), size)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(_print, sets), pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["doc_id", "fp", "members"])
 
-    # a repeated doc_id may stand for several sets, and one set for several rows
-    members = _chosen(docs).mapInArrow(run, "doc_id long, fp long, members array<long>").join(ends, ["doc_id", "fp"]).dropDuplicates(["fp"]).select("fp", "members")
+    # a repeated doc_id may stand for several sets, and one set for several rows; a class may have no doc_id
+    wanted = ends.select(F.col("fp").alias("end"), F.col("doc_id").alias("first_id"))
+    made = _chosen(docs).mapInArrow(run, "doc_id long, fp long, members array<long>")
+    members = made.join(wanted, (F.col("fp") == F.col("end")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).dropDuplicates(["fp"]).select("fp", "members")
     members = staged(members, "members")
     side = lambda p: members.select(F.col("fp").alias(p), F.col("members").alias(f"{p}_members"))
     common, both = F.size(F.array_intersect("a_members", "b_members")), F.size("a_members") + F.size("b_members")

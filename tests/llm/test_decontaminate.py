@@ -50,3 +50,13 @@ def test_edges_blocks_and_offsets(spark):
     assert decontaminate.remove_contaminated(docs, bench).count() == 3
     assert decontaminate.mark(docs, bench.limit(0)).where("size(items) > 0").count() == 0
     assert decontaminate.mark(docs.limit(0), bench).count() == 0
+
+
+def test_items_without_id_hit(spark):
+    docs = spark.createDataFrame([(1, "so: short item here"), (2, "another text"), (3, "long one")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "Short item"), (5, "long one"), (None, "long one")], "item_id long, text string")
+    for most in (1 << 20, 10):
+        by = {r.doc_id: r for r in decontaminate.mark(docs, bench, most_bytes=most).collect()}
+        assert [(s.first_word, s.last_word) for s in by[1].spans] == [(1, 2)] and by[1]["items"] == []
+        assert by[2].spans == [] and by[3]["items"] == ["5"] and len(by[3].spans) == 1
+    assert [r.doc_id for r in decontaminate.remove_contaminated(docs, bench).collect()] == [2]

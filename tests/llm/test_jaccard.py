@@ -75,6 +75,14 @@ def test_edges(spark):
     assert jaccard.near_duplicates(df.limit(0), 3, 90).count() == 0
 
 
+def test_a_class_without_doc_id_joins_two_others(spark):
+    chain = [(k, " ".join(f"w{i}" for i in range(k - 1, k + 19))) for k in (1, 2, 3)]  # neighbours 19 of 21, ends 18 of 22
+    df = spark.createDataFrame([(None if k == 2 else k, text) for k, text in chain], "doc_id long, text string")
+    got = jaccard.near_duplicates(df, 1, 85).select("doc_id", "component_id").collect()
+    assert sorted(map(str, got)) == sorted(f"Row(doc_id={d}, component_id=1)" for d in (1, None, 3))
+    assert sorted(str(r.doc_id) for r in jaccard.keep_one(df, 1, 85).collect()) == ["1", "None"]
+
+
 def test_sketches_bound_the_difference():
     rng = np.random.default_rng(0)
     a = np.unique(rng.integers(0, 1 << 63, 300).astype(np.uint64))
