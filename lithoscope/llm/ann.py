@@ -162,7 +162,7 @@ def _first_k(q, ids, score, k):
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS, sigmas: float = SIGMAS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of ``vectors`` (id, v) for each of ``queries`` (id, v)."""
     spark = vectors.sparkSession
-    bounded_batches(spark, block_rows)
+    bounded_batches(spark)
     base = staged(usable(vectors), "vectors")
     sample = np.array([r.v for r in base.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select("v").collect()])
     if not len(sample):

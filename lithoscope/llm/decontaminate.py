@@ -8,7 +8,8 @@ numbers lead back to offsets in the original text.
 
 Memory: the automaton is built in the worker from the broadcast windows.  Their
 bytes are counted first; beyond ``most_bytes`` the windows go in blocks of that
-size, one pass over the documents for each block, and the passes are merged.
+size, one pass over the documents for each block.  A pass is written before the
+next begins, so no more than one automaton is held at a time.
 
 Defined results: null, empty or markless texts have no words and no hits;
 repeated rows are judged each on its own; a document repeated in full or a null
@@ -29,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, internal, kept, slices, staged
 
 SIZE = 10
-MOST_BYTES = 32 << 20
+MOST_BYTES = 4 << 20
 
 _KEPT = set(b"0123456789abcdefghijklmnopqrstuvwxyz") | set(range(0x80, 0x100))
 _TABLE = bytes(b if b in _KEPT else (b + 32 if 0x41 <= b <= 0x5A else 0x20) for b in range(256))
@@ -64,22 +65,16 @@ def windows(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     return rows.groupBy("window").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
-_automata: dict[str, tuple] = {}
-
-
-def _automaton(key: str, pairs: list[tuple[bytes, list[str]]]):
-    """The worker's automaton over these windows; only the last one used is kept."""
+def _automaton(pairs: list[tuple[bytes, list[str]]]):
+    """The automaton over these windows; it takes about 50 bytes for each of theirs."""
     import ahocorasick
 
-    if key not in _automata:
-        _automata.clear()
-        made = ahocorasick.Automaton()
-        for k, (window, _) in enumerate(pairs):
-            made.add_word(window.decode("latin-1"), (k, len(window)))
-        if pairs:
-            made.make_automaton()
-        _automata[key] = made
-    return _automata[key]
+    made = ahocorasick.Automaton()
+    for k, (window, _) in enumerate(pairs):
+        made.add_word(window.decode("latin-1"), (k, len(window)))
+    if pairs:
+        made.make_automaton()
+    return made
 
 
 HITS = "n_words long, spans array<struct<first_word:int,last_word:int,begin:long,end:long>>, items array<string>"
@@ -119,25 +114,26 @@ def mark(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, most_bytes: in
     for b in range(blocks):
         block = [(bytes(r.window), r["items"]) for r in found.where(F.col("block") == b).select("window", "items").toLocalIterator()]
         out = _one_pass(out, block, first=b == 0)
+        out = out if b == blocks - 1 else staged(out, "pass")
     return out
 
 
 def _one_pass(docs: DataFrame, pairs: list[tuple[bytes, list[str]]], first: bool) -> DataFrame:
     """Add the hits of these windows; after the first pass, to those that the rows already carry."""
     sent, key = docs.sparkSession.sparkContext.broadcast(pairs), uuid.uuid4().hex
-    at, kept = docs.columns.index("text"), len(docs.columns) - (0 if first else 3)
+    at, n_columns = docs.columns.index("text"), len(docs.columns) - (0 if first else 3)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(key, sent.value)
-        for batch in batches:
+        automaton = kept("automaton", key, lambda: _automaton(sent.value))
+        for batch in slices(batches, at, keep="automaton"):
             rows = [find_hits(t, automaton, sent.value) for t in batch.column(at).to_pylist()]
             if not first:
-                before = zip(*(batch.column(kept + i).to_pylist() for i in (1, 2)))
+                before = zip(*(batch.column(n_columns + i).to_pylist() for i in (1, 2)))
                 rows = [(n, joined(old + new), sorted({*had, *items})) for (n, new, items), (old, had) in zip(rows, before)]
             made = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(_SPAN)), pa.array([r[2] for r in rows], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *made], names=[*batch.schema.names[:kept], "n_words", "spans", "items"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n_columns], *made], names=[*batch.schema.names[:n_columns], "n_words", "spans", "items"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:kept])
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:n_columns])
     return docs.mapInArrow(run, f"{fields}, {HITS}")
 
 
@@ -155,4 +151,5 @@ def joined(spans: list[dict]) -> list[dict]:
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     """The documents in which no window of the benchmark occurs, columns as they were."""
-    return mark(docs.withColumn("_row", F.struct(*docs.columns)), benchmark, size).where(F.size("spans") == 0).select("_row.*")
+    row = internal(["text", "n_words", "spans", "items"], "_row")
+    return mark(docs.select("text", F.struct(*docs.columns).alias(row)), benchmark, size).where(F.size("spans") == 0).select(f"{row}.*")

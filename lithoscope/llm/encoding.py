@@ -1,8 +1,12 @@
-"""Whole-text encoding with a public tokenizer, sped up by remembering words.
+"""Whole-text encoding with a public tokenizer, sped up by remembering units.
 
 The vocabulary's normaliser and splitter never look across a blank or a line
-feed, so the ids of a text are the ids of its blank-separated words in order.
-Each distinct word is encoded once for as long as the worker remembers it.
+feed, nor from a plain letter to a plain mark or digit or back: those are the
+ends of units.  A mark that may belong to the letters after it (an apostrophe),
+the bar of control tokens, and every character beyond ASCII, which may compose
+with its neighbour, hold units together.  The ids of a text are the ids of its
+units in order, and each distinct unit is encoded once for as long as the worker
+remembers it.  Units are known by two 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -11,15 +15,24 @@ import os
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+
+from .common import kept
+from .words import letters, stretch_hashes, text_bytes, word_starts
 
 END_ID = 1
-TRAILING = ".,!?;:$%&*#|"
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
+
+#: Kinds of bytes: 1 a plain letter, 2 a plain mark or digit, 0 what never ends a unit.
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[[b for b in range(0x80) if chr(b).isalpha()]] = 1
+_KINDS[[b for b in range(0x21, 0x7F) if not chr(b).isalpha() and chr(b) not in "|"]] = 2
+_LINES = bytes(0x20 if b == 0x0A else b for b in range(256))
+_LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
+_TABLES = [letters(1), letters(2)]
 
 
 class WordEncoder:
-    """Encodes batches of texts; forgets everything past ``remembered`` words."""
+    """Encodes batches of texts; forgets everything past ``remembered`` units."""
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -31,98 +44,88 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.slots: dict[str, int] = {"": 0}
-        self.start = np.zeros(1 << 16, np.int64)
-        self.count = np.zeros(1 << 16, np.int64)
-        self.flat = np.zeros(1 << 18, np.uint32)
-        self.used = 0
-
-    def _store(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
-        first, last = len(self.slots), len(self.slots) + len(words)
-        while last > len(self.start):
-            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-            self.count = np.concatenate([self.count, np.zeros_like(self.count)])
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.count[first:last] = counts
-        self.start[first:last] = self.used + np.cumsum(counts) - counts
-        self.used += len(ids)
-        self.slots.update(zip(words, range(first, last)))
-
-    def _encode_roots(self, words: list[str]) -> None:
-        """Encode words none of which is known, a few hundred to a call."""
-        for at in range(0, len(words), 500):
-            part = words[at : at + 500]
+        self.keys, self.checks = np.empty(0, np.uint64), np.empty(0, np.uint64)  # in order of keys
+        self.start, self.count = np.empty(0, np.int32), np.empty(0, np.int32)
+        self.flat = np.empty(0, f"u{self.width}")
+
+    def _encoded(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the units in a row, and how many each has; a few hundred go to a call."""
+        every, counts = [], []
+        for at in range(0, len(units), 500):
+            part = units[at : at + 500]
             got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(got.ids, np.uint32)
-            begins = np.fromiter((o[0] for o in got.offsets), np.int64, len(ids))
-            lengths = np.fromiter(map(len, part), np.int64, len(part)) + 1
-            owner = np.searchsorted(np.cumsum(lengths), begins, side="right")
-            self._store(part, ids, np.bincount(owner, minlength=len(part)))
-
-    def _learn(self, words: set[str]) -> None:
-        """A word ending in marks is its root, in lower case if plain ASCII, and the run of marks."""
-        parts, roots = {}, set()
-        for word in words:
-            root = word.rstrip(TRAILING)
-            if not root or not (root[-1].isalpha() or root[-1] in "0123456789") or "<|" in word:
-                roots.add(word)
-                continue
-            marks = word[len(root) :]
-            root = root.lower() if root.isascii() else root
-            if root == word:
-                roots.add(word)
-            else:
-                parts[word] = (root, marks) if marks else (root,)
-                roots.update(parts[word])
-        self._encode_roots([w for w in roots if w not in self.slots])
-        if parts:
-            pairs = np.array([(self.slots[x[0]], self.slots[x[1]] if len(x) > 1 else 0) for x in parts.values()], np.int64).ravel()
-            counts = self.count[pairs]
-            counts[1::2] *= np.fromiter((len(x) > 1 for x in parts.values()), np.int64, len(parts))
-            self._store(list(parts), self._gather(pairs, counts), counts[::2] + counts[1::2])
-
-    def _gather(self, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """The ids of known words, one after the other."""
-        ends = np.cumsum(counts)
-        return self.flat[np.repeat(self.start[at] - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)]
+            begins = np.fromiter((o[0] for o in got.offsets), np.int64, len(got.ids))
+            ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
+            every.append(np.array(got.ids, np.uint32))
+            counts.append(np.bincount(np.searchsorted(ends, begins, side="right"), minlength=len(part)))
+        return np.concatenate(every), np.concatenate(counts)
+
+    def _learn(self, keys: np.ndarray, checks: np.ndarray, units: list[str]) -> None:
+        ids, counts = self._encoded(units)
+        start = len(self.flat) + np.cumsum(counts) - counts
+        self.flat = np.concatenate([self.flat, ids.astype(self.flat.dtype)])
+        at = np.searchsorted(self.keys, keys)
+        for name, values in (("keys", keys), ("checks", checks), ("start", start), ("count", counts)):
+            setattr(self, name, np.insert(getattr(self, name), at, values))
+
+    def _units(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The texts' bytes in plain form (letters of wholly plain units in lower case), starts of units, and the texts' bounds in these."""
+        bounds, raw = text_bytes(texts)
+        plain = np.frombuffer(bytearray(raw.tobytes().translate(_LINES)), np.uint8)
+        first = word_starts(plain, bounds)
+        kind = _KINDS[plain]
+        first[1:] |= (kind[1:] + kind[:-1] == 3) & (kind[1:] * kind[:-1] == 2) & ~((plain[:-1] == 0x27) & (kind[1:] == 1))
+        starts = np.flatnonzero(first)
+        if len(starts):
+            odd = np.bitwise_or.reduceat((plain >= 0x80) | (plain == 0x7C), starts)
+            keep = np.repeat(odd, np.diff(starts, append=len(plain)))
+            tail = plain[starts[0] :]
+            tail[:] = np.where(keep, tail, _LOWER[tail])
+        return plain, starts, np.searchsorted(starts, bounds)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids (uint32) of all texts in a row, each followed by the end id, and the n + 1 bounds of the texts.
 
         A null text counts as empty.
         """
-        if len(self.slots) > self.remembered:
+        if len(self.keys) > self.remembered:
             self._forget()
-        split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, "").cast(pa.large_string()), "\n", " "), " ")
-        bounds = split.offsets.to_numpy().astype(np.int64)
-        words = split.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
-        names = words.dictionary.to_pylist()
-        unknown = {w for w in names if w not in self.slots}
-        if unknown:
-            self._learn(unknown)
-        slots = np.fromiter(map(self.slots.__getitem__, names), np.int64, len(names))
-        at = slots[words.indices.to_numpy()]
-        counts = self.count[at]
-        texts_end = np.concatenate([[0], np.cumsum(counts)])[bounds - bounds[0]] + np.arange(len(bounds))
+        plain, starts, bounds = self._units(texts)
+        (keys, checks), sizes = stretch_hashes(plain, starts, _TABLES)
+        own, where, at = np.unique(keys, return_index=True, return_inverse=True)
+        place = np.searchsorted(self.keys, own)
+        near = np.minimum(place, max(len(self.keys) - 1, 0))
+        known = (self.keys[near] == own) if len(self.keys) else np.zeros(len(own), bool)
+        fresh = where[~known]
+        if len(fresh):
+            raw = plain.tobytes()
+            self._learn(keys[fresh], checks[fresh], [raw[a : a + n].decode() for a, n in zip(starts[fresh].tolist(), sizes[fresh].tolist())])
+            place = np.searchsorted(self.keys, own)
+        at = place[at]
+        counts, begins, flat = self.count[at].astype(np.int64), self.start[at].astype(np.int64), self.flat
+        other = np.flatnonzero(self.checks[at] != checks)
+        if len(other):  # two units with one key: the second is encoded on its own
+            raw = plain.tobytes()
+            ids, n = self._encoded([raw[starts[k] : starts[k] + sizes[k]].decode() for k in other.tolist()])
+            counts[other], begins[other] = n, len(flat) + np.cumsum(n) - n
+            flat = np.concatenate([flat, ids])
+        ends = np.cumsum(counts)
+        texts_end = np.concatenate([[0], ends])[bounds] + np.arange(len(bounds))
         ids = np.empty(texts_end[-1], np.uint32)
         ids[texts_end[1:] - 1] = END_ID
         rest = np.ones(len(ids), bool)
         rest[texts_end[1:] - 1] = False
-        ids[rest] = self._gather(at, counts)
+        ids[rest] = flat[np.repeat(begins - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)]
         return ids, texts_end
 
 
-_encoders: dict[str, WordEncoder] = {}
+#: What ``slices`` must keep for the encoder to last from task to task.
+ENCODER = "encoder"
 
 
-def encoder(path: str, remembered: int = REMEMBERED) -> WordEncoder:
-    """The worker's own encoder, kept from task to task."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    _encoders[path].remembered = remembered
-    return _encoders[path]
+def encoder(path: str) -> WordEncoder:
+    """The worker's own encoder: about 40 bytes for each unit that it remembers."""
+    return kept(ENCODER, path, lambda: WordEncoder(path))
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

@@ -2,7 +2,7 @@
 
 The normal form of a text keeps ASCII letters in lower case and all bytes beyond
 ASCII; everything else is a blank.  A window is a run between blanks (longer runs
-are cut every ``LONGEST`` bytes).  The network reads a window's bytes from both
+are cut between characters, ``LONGEST`` bytes at most in a piece).  The network reads a window's bytes from both
 sides, gives every position a probability for each language, and a document's
 probabilities are the geometric mean over all its positions, normalised.  It is
 trained here by backpropagation through time, with Adam, in numpy.
@@ -11,8 +11,8 @@ As a window's reading depends on nothing outside it, each distinct window of a
 worker is read once for as long as the worker remembers it (``REMEMBERED``).
 
 Bounds: training uses ``PER_LANGUAGE`` documents of each language, those with the
-smallest hashes of their ids, and ``PER_DOCUMENT`` windows of each.  Prediction
-reads every byte of every text.
+smallest hashes of their ids, and all of their windows.  Prediction reads every
+byte of every text.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0,
 and so is every text if there was nothing to learn from; rows whose lang is null
@@ -30,11 +30,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, slices
+from .words import text_bytes
 
 UNDETERMINED = "und"
 HIDDEN, LONGEST, REMEMBERED = 16, 64, 400_000
-PER_LANGUAGE, PER_DOCUMENT, EPOCHS, BATCH, RATE, SEED = 400, 60, 3, 256, 0.01, 9
+PER_LANGUAGE, EPOCHS, BATCH, RATE, SEED = 60, 3, 256, 0.01, 9
 
 _NORMAL = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
@@ -149,15 +150,25 @@ def train(windows: list[bytes], labels: np.ndarray, languages: list[str], epochs
     return net
 
 
+def pieces(window: bytes) -> list[bytes]:
+    """A window in pieces of ``LONGEST`` bytes at most, cut between characters."""
+    out, at = [], 0
+    while at < len(window):
+        end = min(at + LONGEST, len(window))
+        while end < len(window) and end > at + 1 and 0x80 <= window[end] < 0xC0:
+            end -= 1
+        out.append(window[at:end])
+        at = end
+    return out
+
+
 def normal_windows(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
     """Bounds of the texts in the list of all windows, and that list (empty windows included)."""
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
-    texts = pa.concat_arrays([texts]) if texts.offset == 0 else pa.array(texts.to_pylist(), pa.large_string())
-    _, offsets, data = texts.buffers()
-    plain = pa.py_buffer((data.to_pybytes() if data else b"").translate(_NORMAL))
-    split = pc.split_pattern(pa.LargeStringArray.from_buffers(len(texts), offsets, plain), " ")
-    bounds = split.offsets.to_numpy().astype(np.int64)
-    return bounds - bounds[0], split.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
+    bounds, raw = text_bytes(texts)
+    plain = pa.py_buffer(raw.tobytes().translate(_NORMAL))
+    split = pc.split_pattern(pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(np.ascontiguousarray(bounds)), plain), " ")
+    ends = split.offsets.to_numpy().astype(np.int64)
+    return ends - ends[0], split.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
 
 
 class Memory:
@@ -188,7 +199,7 @@ class Memory:
         raw = [w.encode() for w in names]
         self.letters[begin : begin + len(names)] = [any(map(str.isalpha, w)) for w in names]
         self.sizes[begin : begin + len(names)] = list(map(len, raw))
-        parts = [(len(w[i : i + LONGEST]), begin + k, w[i : i + LONGEST]) for k, w in enumerate(raw) for i in range(0, len(w), LONGEST)]
+        parts = [(len(piece), begin + k, piece) for k, w in enumerate(raw) for piece in pieces(w)]
         parts.sort(key=lambda p: p[0])
         lengths, owners = np.array([p[0] for p in parts]), np.array([p[1] for p in parts])
         for n in np.unique(lengths):
@@ -214,19 +225,19 @@ class Memory:
         return [self.net.languages[b] if k else UNDETERMINED for b, k in zip(best, known)], np.where(known, p.max(axis=1), 0.0)
 
 
-def fit(docs: DataFrame, learn_from: Column, per_language: int = PER_LANGUAGE, per_document: int = PER_DOCUMENT) -> Reader | None:
+def fit(docs: DataFrame, learn_from: Column, per_language: int = PER_LANGUAGE) -> Reader | None:
     """Learn from documents (doc_id, text, lang) where ``learn_from`` holds; None if there are none."""
-    bounded_batches(docs.sparkSession, 2000)
+    bounded_batches(docs.sparkSession)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = docs.select("doc_id", "lang").where(learn_from & F.col("lang").isNotNull()).withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             bounds, words = normal_windows(batch.column(1))
             names, at, rows = words.dictionary.to_pylist(), words.indices.to_numpy(), []
             for k, lang in enumerate(batch.column(0).to_pylist()):
                 own = [w for w in (names[i] for i in at[bounds[k] : bounds[k + 1]]) if w]
-                rows += [(lang, own[i].encode()[:LONGEST]) for i in np.unique(np.linspace(0, len(own) - 1, per_document).astype(int))] if own else []
+                rows += [(lang, piece) for w in own for piece in pieces(w.encode())]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=["lang", "piece"])
 
     # per_language ids of each language, so they can be sent to every task
@@ -241,7 +252,7 @@ def fit(docs: DataFrame, learn_from: Column, per_language: int = PER_LANGUAGE, p
 
 def predict(docs: DataFrame, net: Reader | None) -> DataFrame:
     """``docs`` with lang_pred and score."""
-    bounded_batches(docs.sparkSession, 2000)
+    bounded_batches(docs.sparkSession)
     docs = docs.select([c for c in docs.columns if c.lower() not in ("lang_pred", "score")])
     if net is None:
         return docs.withColumn("lang_pred", F.lit(UNDETERMINED)).withColumn("score", F.lit(0.0))
@@ -249,7 +260,7 @@ def predict(docs: DataFrame, net: Reader | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = Memory(sent.value)
-        for batch in batches:
+        for batch in slices(batches, at):
             langs, score = memory.documents(batch.column(at))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 

@@ -6,8 +6,10 @@ gives a histogram of at most ``UNITS`` bars however many documents there are.  A
 linear program chooses how often to use each pattern of classes that fits into a
 sequence; patterns come from an unbounded knapsack (dynamic programming over the
 units) that prices the classes by the program's dual values, smoothed, until no
-pattern is worth more than it costs or what can still be gained is below ``GAP``.  Pattern counts are rounded down, and the few pieces then left over are
-placed first-fit in order of size.
+pattern is worth more than it costs, what can still be gained is below ``GAP``,
+or ``MOST_COLUMNS`` patterns were tried (then padding may be a little more; every
+piece is placed all the same).  Pattern counts are rounded down, and the few
+pieces then left over are placed first-fit in order of size.
 
 Pieces are ranked within their class, in buckets so that no class is sorted in
 one task, and the rank leads to a pattern, its copy and so to a sequence.  The
@@ -30,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, partitions, staged
-from .encoding import REMEMBERED, encoder
+from .common import bounded_batches, internal, partitions, slices, staged
+from .encoding import ENCODER, encoder
 
 CAPACITY, UNITS, GAP, MOST_COLUMNS = 2048, 128, 5e-4, 6000
 TRUST = (0.9, 0.5, 0.0)
@@ -39,16 +41,13 @@ TRUST = (0.9, 0.5, 0.0)
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def cut_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False, remembered: int = REMEMBERED, batch_rows: int = 3000) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens of every piece, and with ``with_ids`` its ids (little-endian, 4 bytes each).
-
-    ``remembered`` words and ``batch_rows`` texts bound a worker's memory.
-    """
-    bounded_batches(docs.sparkSession, batch_rows)
+def cut_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens of every piece, and with ``with_ids`` its ids (little-endian, 4 bytes each)."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer, remembered)
-        for batch in batches:
+        enc = encoder(tokenizer)
+        for batch in slices(batches, 1, keep=ENCODER):
             ids, bounds = enc.encode(batch.column(1))
             ids = ids.astype("<u4")
             sizes = np.diff(bounds)
@@ -154,39 +153,45 @@ def solve(demand: dict[int, int], units: int = UNITS) -> list[tuple[int, dict[in
 def pack(pieces: DataFrame, capacity: int = CAPACITY, units: int = UNITS) -> DataFrame:
     """``pieces`` (doc_id, start, length up to ``capacity``, and whatever else) with sequence_id and offset.
 
-    ``pieces`` is read several times; stage it first if it is costly to make.
+    Columns of these two names are replaced, all others kept.  ``pieces`` is read
+    several times; stage it first if it is costly to make.
     """
     spark = pieces.sparkSession
     buckets = partitions(spark)
-    rows = pieces.withColumn("_class", F.ceil(F.col("length") * units / capacity).cast("int")).withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)))
-    counted = staged(rows.groupBy("_class", "_bucket").agg(F.count("*").alias("_n")), "lengths")
-    demand = {r[0]: r[1] for r in counted.groupBy("_class").agg(F.sum("_n")).collect()}  # at most ``units`` rows
-    ranges, sequence, taken = [], 0, dict.fromkeys(demand, 0)
+    pieces = pieces.select([c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")])
+    kind, bucket, number, lowest, highest, each, sequence, before_it, place, rank = (
+        internal(pieces.columns, f"_{c}") for c in ("class", "bucket", "number", "from", "to", "each", "sequence", "before", "place", "rank")
+    )
+    rows = pieces.withColumn(kind, F.ceil(F.col("length") * units / capacity).cast("int")).withColumn(bucket, F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)))
+    counted = staged(rows.groupBy(kind, bucket).agg(F.count("*").alias(number)), "lengths")
+    demand = {r[0]: r[1] for r in counted.groupBy(kind).agg(F.sum(number)).collect()}  # at most ``units`` rows
+    ranges, used, taken = [], 0, dict.fromkeys(demand, 0)
     for times, filling in solve(demand, units):
         for c, k in filling.items():
-            ranges.append((c, taken[c], taken[c] + times * k, k, sequence))
+            ranges.append((c, taken[c], taken[c] + times * k, k, used))
             taken[c] += times * k
-        sequence += times
-    lookup = spark.createDataFrame(ranges, "_class int, _from long, _to long, _each int, _sequence long")
-    before = Window.partitionBy("_class").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    first = counted.withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+        used += times
+    lookup = spark.createDataFrame(ranges, f"{kind} int, {lowest} long, {highest} long, {each} int, {sequence} long")
+    before = Window.partitionBy(kind).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    first = counted.withColumn(before_it, F.coalesce(F.sum(number).over(before), F.lit(0))).drop(number)
     ranked = (
-        rows.withColumn("_place", F.row_number().over(Window.partitionBy("_class", "_bucket").orderBy("doc_id", "start")))
-        .join(first, ["_class", "_bucket"])
-        .withColumn("_rank", F.col("_first") + F.col("_place") - 1)
+        rows.withColumn(place, F.row_number().over(Window.partitionBy(kind, bucket).orderBy("doc_id", "start")))
+        .join(first, [kind, bucket])
+        .withColumn(rank, F.col(before_it) + F.col(place) - 1)
     )
-    placed = ranked.join(F.broadcast(lookup.withColumnRenamed("_class", "_c")), (F.col("_class") == F.col("_c")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
-    within = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "start", "_rank").rowsBetween(Window.unboundedPreceding, -1)
+    # a row for each pattern and class: bounded by ``units`` and MOST_COLUMNS, whatever the corpus
+    placed = ranked.join(F.broadcast(lookup), [kind]).where((F.col(rank) >= F.col(lowest)) & (F.col(rank) < F.col(highest)))
+    within = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "start", rank).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        placed.withColumn("sequence_id", F.col("_sequence") + F.floor((F.col("_rank") - F.col("_from")) / F.col("_each")))
+        placed.withColumn("sequence_id", F.col(sequence) + F.floor((F.col(rank) - F.col(lowest)) / F.col(each)))
         .withColumn("offset", F.coalesce(F.sum("length").over(within), F.lit(0)))
         .select(*pieces.columns, "sequence_id", "offset")
     )
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, remembered: int = REMEMBERED, batch_rows: int = 3000) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """Every piece of ``docs`` with its sequence and offset; pieces are staged, without their ids."""
-    return pack(staged(cut_documents(docs, tokenizer, capacity, remembered=remembered, batch_rows=batch_rows), "pieces"), capacity)
+    return pack(staged(cut_documents(docs, tokenizer, capacity), "pieces"), capacity)
 
 
 def write_sequences(docs: DataFrame, path: str, tokenizer: str, capacity: int = CAPACITY, pad: int = 0) -> DataFrame:

@@ -1,15 +1,17 @@
 """Text quality by nearest-neighbour voting in a latent-semantic space.
 
 A text is a bag of word shapes: each word becomes the sequence of its kinds of
-characters with runs cut to one, and shapes, pairs of neighbouring shapes and
-words that repeat the one before are counted (hashed into a fixed number of
-columns).  Counts are damped, weighted by inverse document frequency over the
+characters (small and capital letters, digits, characters beyond Latin letters,
+each mark for itself) with runs cut to one, and shapes, pairs of neighbouring
+shapes and words that repeat the one before are counted (hashed into a fixed
+number of columns).  Counts are damped, weighted by inverse document frequency over the
 labelled rows, and projected on the leading singular directions.  Every document
 is compared by exact cosine with every labelled vector, in blocks; the ``k``
 nearest vote with their labels, weighted by a power of the cosine.
 
 Bounds: the labelled vectors come from at most ``per_label`` rows of each label,
-those with the smallest hashes of their ids, so what is broadcast has a fixed
+those with the smallest hashes of their ids (of several texts with one id, the one
+with the smallest counts), so what is broadcast has a fixed
 size (2 x per_label x dims single-precision numbers).  Whole texts are counted;
 a batch of texts is cut into slices of about ``SLICE`` bytes so that memory does
 not grow with it.
@@ -27,19 +29,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, release, slices
 
-PER_LABEL, COLUMNS, DIMS, NEIGHBOURS, POWER, SLICE = 2_000, 2_048, 48, 25, 8.0, 4 << 20
+PER_LABEL, COLUMNS, DIMS, NEIGHBOURS, POWER, SLICE = 2_000, 2_048, 48, 25, 8.0, 2 << 20
 
 _KINDS = bytearray(range(256))
 for _b in range(256):
     c = chr(_b)
     _KINDS[_b] = ord("a") if "a" <= c <= "z" else ord("A") if "A" <= c <= "Z" else ord("0") if "0" <= c <= "9" else 0x20 if c in "\n\t\r\x0b\x0c" else _b
-_KINDS, _HIGH = bytes(_KINDS), bytes(range(0x80, 0x100))
+_KINDS[0x80:] = b"\x80" * 0x80
+_KINDS[0xC3:0xCE] = b"a" * (0xCE - 0xC3)  # first bytes of Latin letters beyond ASCII
+_KINDS, _LATER = bytes(_KINDS), bytes(range(0x80, 0xC0))  # a character beyond ASCII is known by its first byte
 
 
 def _hashed(values: np.ndarray, columns: int) -> np.ndarray:
@@ -64,7 +67,7 @@ def counts(texts: list[str | None], columns: int = COLUMNS) -> np.ndarray:
         raw = (text or "").encode()
         if not raw.strip():
             continue
-        kinds = np.frombuffer(raw.translate(_KINDS, _HIGH), np.uint8)
+        kinds = np.frombuffer(raw.translate(_KINDS, _LATER), np.uint8)
         runs = kinds[np.flatnonzero(np.diff(kinds, prepend=0))].tobytes()
         words = pa.array(runs.split(), pa.binary()).dictionary_encode()
         if not len(words):
@@ -81,6 +84,17 @@ def counts(texts: list[str | None], columns: int = COLUMNS) -> np.ndarray:
     return np.log1p(out)
 
 
+def _packed(row: np.ndarray) -> bytes:
+    """The columns that are not zero, and their values."""
+    at = np.flatnonzero(row)
+    return at.astype("<u2").tobytes() + row[at].astype("<f4").tobytes()
+
+
+def _unpack(packed: bytes, row: np.ndarray) -> None:
+    n = len(packed) // 6
+    row[np.frombuffer(packed, "<u2", n)] = np.frombuffer(packed, "<f4", n, offset=2 * n)
+
+
 class Voters:
     """Labelled vectors in the latent space, and how to get there."""
 
@@ -115,44 +129,41 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, per_label: int =
     """Learn from labelled documents (doc_id, text; doc_id, quality) where ``learn_from`` holds.
 
     At most ``per_label`` rows of each label are used.  They are chosen by id
-    before any text is read, and Spark cuts the ranking to that many rows in
-    each task.
+    before any text is read, the smallest of each task first.
     """
-    order = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (
-        labels.select("doc_id", "quality")
-        .where(learn_from & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
-        .withColumn("place", F.row_number().over(order))
-        .where(F.col("place") <= per_label)
-        .select("doc_id", "quality")
-    )
+    usable = labels.select("doc_id", "quality").where(learn_from & F.col("doc_id").isNotNull())
+    of = lambda q: usable.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label)
+    chosen = of(0).union(of(1)).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [x.tobytes() for x in counts(batch.column(2).to_pylist())]
+        for batch in slices(batches, 2, SLICE):
+            made = [_packed(x) for x in counts(batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], names=["doc_id", "quality", "counts"])
 
     # 2 x per_label ids at most, so they can be sent to every task; only their counts come back
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("quality").cast("int"), "text")
-    rows = texts.mapInArrow(run, "doc_id long, quality int, counts binary").orderBy("doc_id", "counts").limit(4 * per_label).collect()
-    return Voters(np.array([np.frombuffer(r.counts, np.float32) for r in rows]).reshape(-1, COLUMNS), [r.quality for r in rows])
+    rows = texts.mapInArrow(run, "doc_id long, quality int, counts binary").groupBy("doc_id", "quality").agg(F.min("counts").alias("counts")).collect()
+    rows.sort(key=lambda r: (r.doc_id, r.quality))
+    found = np.zeros((len(rows), COLUMNS), np.float32)
+    for row, r in zip(found, rows):
+        _unpack(r.counts, row)
+    voters = Voters(found, [r.quality for r in rows])
+    del rows, found
+    release()
+    return voters
 
 
 def score(docs: DataFrame, voters: Voters) -> DataFrame:
     """``docs`` with a column ``score`` (0 to 1, higher: label 1 is likelier)."""
-    bounded_batches(docs.sparkSession, 2000)
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(voters)
     docs = docs.select([c for c in docs.columns if c.lower() != "score"])
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // SLICE)) + 1).tolist(), batch.num_rows]
-            for a, b in zip(cuts, cuts[1:]):
-                part = batch.slice(a, b - a)
-                made = sent.value.score(part.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.float64())], names=[*part.schema.names, "score"])
+        for part in slices(batches, at, SLICE):
+            made = sent.value.score(part.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.float64())], names=[*part.schema.names, "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(run, f"{fields}, score double")

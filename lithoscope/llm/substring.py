@@ -26,10 +26,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .anchors import covered, recurring_windows
-from .common import bounded_batches
+from .anchors import covered, recurring_windows, with_spans
+from .common import bounded_batches, slices
 from .words import BLANKS, word_hashes
 
 SIZE, GRAM = 13, 4
@@ -113,16 +112,14 @@ def remove_repeats(docs: DataFrame, joined_words: bool = False) -> DataFrame:
     A text that loses words is what is kept, joined by single blanks; any other
     stays as it was, or with ``joined_words`` becomes its words joined so too.
     """
-    bounded_batches(docs.sparkSession, 2000)
+    bounded_batches(docs.sparkSession)
     docs = docs.select([c for c in docs.columns if c.lower() not in ("n_words", "n_removed", "spans")])
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    sources = keyed.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text", F.col("_row").alias("row"))
-    spans = recurring_windows(sources, lambda texts: word_hashes(texts, BLANKS), lambda part: part.tobytes(), SIZE, GRAM, True, search)
-    joined = keyed.join(spans.withColumnRenamed("row", "_row").withColumnRenamed("spans", "_spans"), "_row", "left").select(*docs.columns, "_spans")
+    find = lambda sources: recurring_windows(sources, lambda texts: word_hashes(texts, BLANKS), lambda part: part.tobytes(), SIZE, GRAM, True, search)
+    joined = with_spans(docs, docs.where("doc_id is not null"), find)
     at, kept = docs.columns.index("text"), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, at):
             texts, made = [], []
             for text, found in zip(batch.column(at).to_pylist(), batch.column(kept).to_pylist()):
                 words = (text or "").encode().translate(BLANKS).split(b" ")

@@ -30,27 +30,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .anchors import _BYTES, covered, recurring_windows
-from .common import bounded_batches
-from .words import mixed
+from .anchors import _BYTES, covered, recurring_windows, with_spans
+from .common import bounded_batches, slices
+from .words import mixed, text_bytes
 
 SIZE, GRAM, STEP = 200, 64, 40
 BLOCK_BYTES, SHARD_BYTES = 1 << 20, 1 << 18
 
 
-def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds of the texts and their bytes in a row."""
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
-    _, offsets, data = texts.buffers()
-    bounds = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
-    raw = np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8)
-    return bounds - bounds[0], raw[bounds[0] : bounds[-1]]
-
-
 def symbols(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Number of the ``STEP`` bytes from each place on (from 1), 0 where they would pass the end; ``ends``: of each place's context."""
     n = len(raw)
@@ -150,16 +139,13 @@ def search(groups: Iterator[list[dict]]) -> Iterator[tuple[int, int, bytes]]:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, ...) with kept (bytes), n_bytes, n_removed and spans (begin, end of each removed run, in bytes)."""
-    bounded_batches(docs.sparkSession, 2000)
+    bounded_batches(docs.sparkSession)
     docs = docs.select([c for c in docs.columns if c.lower() not in ("kept", "n_bytes", "n_removed", "spans")])
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    sources = keyed.select(F.col("doc_id").cast("long"), "text", F.col("_row").alias("row"))
-    spans = recurring_windows(sources, text_bytes, lambda part: part.tobytes(), SIZE, GRAM, False, search)
-    joined = keyed.join(spans.withColumnRenamed("row", "_row").withColumnRenamed("spans", "_spans"), "_row", "left").select(*docs.columns, "_spans")
+    joined = with_spans(docs, docs, lambda sources: recurring_windows(sources, text_bytes, lambda part: part.tobytes(), SIZE, GRAM, False, search))
     at, n_columns = docs.columns.index("text"), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, at):
             made = []
             for text, found in zip(batch.column(at).to_pylist(), batch.column(n_columns).to_pylist()):
                 raw = (text or "").encode()

@@ -3,8 +3,9 @@
 A rolling hash over the ids cuts each document's id stream into chunks, so that
 equal passages give equal chunks wherever they start.  A chunk is addressed by
 the SHA-256 of its payload and stored once.  A recipe per document, in ascending
-doc_id order, lists its chunks; a Merkle root per document, and one per range of
-documents, lets a reader verify what it puts together.
+doc_id order, lists its chunks and has the root of a Merkle tree over them; a
+manifest has, for each range of documents, the root of a tree over their roots.
+A reader makes all of these again and so verifies what it puts together.
 
 Files of a store, all of them Parquet:
 
@@ -23,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -31,10 +33,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType
 
-from .common import bounded_batches, partitions, staged, staging_path
-from .encoding import encoder
+from .common import Scratch, bounded_batches, partitions, slices, staged, staging_path
+from .encoding import ENCODER, encoder
 
-WINDOW, LEAST, MOST, MEAN_BITS = 16, 256, 4096, 10
+WINDOW, LEAST, MOST, MEAN_BITS, LEVEL = 16, 256, 4096, 10, 8
 MULTIPLIER = 0x9E3779B97F4A7C15
 CRC_POLYNOMIAL = 0xEDB88320  # of zlib's crc32, bits reversed
 
@@ -83,6 +85,11 @@ def merkle_root(digests: list[bytes]) -> bytes:
     return level[0] if level else hashlib.sha256(b"").digest()
 
 
+@F.pandas_udf(BinaryType())
+def root_of(digests: pd.Series) -> pd.Series:
+    return digests.map(lambda d: merkle_root(list(d)))
+
+
 ENCODED = "doc_id long, n_tokens long, root binary, chunks array<struct<digest:binary,n_ids:int,width:int,payload:binary>>"
 _CHUNK = pa.struct([("digest", pa.binary()), ("n_ids", pa.int32()), ("width", pa.int32()), ("payload", pa.binary())])
 _ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary()), ("chunks", pa.list_(_CHUNK))])
@@ -93,18 +100,24 @@ def encode_chunks(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        kind = np.dtype(f"<u{enc.width}")
-        for batch in batches:
+        for batch in slices(batches, 1, keep=ENCODER):
             ids, bounds = enc.encode(batch.column(1))
-            rows = []
-            for k, ends in enumerate(cut_points(ids, bounds)):
-                own, begin, chunks = ids[bounds[k] : bounds[k + 1]].astype(kind), 0, []
-                for end in ends:
-                    payload = own[begin:end].tobytes()
-                    chunks.append({"digest": hashlib.sha256(payload).digest(), "n_ids": end - begin, "width": enc.width, "payload": payload})
-                    begin = end
-                rows.append((len(own), merkle_root([c["digest"] for c in chunks]), chunks))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], _ENCODED.field(i + 1).type) for i in range(3))], schema=_ENCODED)
+            payload = pa.py_buffer(ids.astype(f"<u{enc.width}"))
+            ends = cut_points(ids, bounds)
+            each = np.fromiter(map(len, ends), np.int64, len(ends))
+            last = np.concatenate([np.add(own, bounds[k]) for k, own in enumerate(ends)])  # ends of all chunks, in the ids of the slice
+            edges = np.concatenate([[0], last])
+            places = pa.py_buffer((edges * enc.width).astype(np.int32))
+            raw = memoryview(payload)
+            digests = [hashlib.sha256(raw[x:y]).digest() for x, y in pairwise((edges * enc.width).tolist())]
+            after = np.concatenate([[0], np.cumsum(each)])
+            roots = [merkle_root(digests[x:y]) for x, y in pairwise(after.tolist())]
+            n = len(last)
+            chunks = pa.StructArray.from_arrays(
+                [pa.array(digests, pa.binary()), pa.array(np.diff(edges).astype(np.int32)), pa.array(np.full(n, enc.width, np.int32)), pa.Array.from_buffers(pa.binary(), n, [None, places, payload])], fields=list(_CHUNK)
+            )
+            columns = [batch.column(0), pa.array(np.diff(bounds)), pa.array(roots, pa.binary()), pa.ListArray.from_arrays(pa.array(after.astype(np.int32)), chunks)]
+            yield pa.RecordBatch.from_arrays(columns, names=_ENCODED.names)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ENCODED)
 
@@ -112,8 +125,9 @@ def encode_chunks(docs: DataFrame, tokenizer: str) -> DataFrame:
 def write_store(docs: DataFrame, path: str, tokenizer: str) -> None:
     """Encode ``docs`` and write chunks, recipes and manifest below ``path``."""
     spark = docs.sparkSession
-    bounded_batches(spark, 3000)
-    encoded = staged(encode_chunks(docs, tokenizer), "encoded")
+    bounded_batches(spark)
+    scratch = Scratch(spark, "token-store")
+    encoded = scratch.staged(encode_chunks(docs, tokenizer), "encoded")
     (
         encoded.select(F.explode("chunks").alias("c"))
         .select("c.*")
@@ -127,19 +141,31 @@ def write_store(docs: DataFrame, path: str, tokenizer: str) -> None:
         .repartitionByRange(partitions(spark), F.col("doc_id"), F.col("root"))
         .withColumn("bucket", F.spark_partition_id())
     )
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy("doc_id", "root"))
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("doc_id", "root")).cast("long") - 1
     ordered.withColumn("position", place).write.option("compression", "zstd").parquet(f"{path}/recipes")
-    totals = (
-        spark.read.parquet(f"{path}/recipes")
-        .groupBy("bucket")
-        .agg(
-            F.count("*").alias("n_documents"),
-            F.sum("n_tokens").alias("n_tokens"),
-            F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("position", "root"))), lambda x: F.hex(x["root"]))), 256).alias("root"),
-        )
-    )
-    before = F.sum("n_tokens").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    totals.withColumn("start", F.coalesce(before, F.lit(0))).write.parquet(f"{path}/manifest")
+    scratch.clear()
+    recipes = spark.read.parquet(f"{path}/recipes").select("bucket", "position", "n_tokens", "root")
+    _totals(recipes).write.parquet(f"{path}/manifest")
+
+
+def _totals(documents: DataFrame) -> DataFrame:
+    """bucket, n_documents, n_tokens, start, root of ``documents`` (bucket, position, n_tokens, root): what a manifest holds.
+
+    The root of a bucket is that of a Merkle tree over its documents' roots, made
+    by levels: ``2 ** LEVEL`` neighbours become one node, so no row holds more.
+    """
+    totals = documents.groupBy("bucket").agg(F.count("*").alias("n_documents"), F.sum("n_tokens").alias("n_tokens"))
+    most, level = (documents.agg(F.max("position")).first()[0] or 0) + 1, documents.select("bucket", "position", "root")
+    while True:
+        below = F.array_sort(F.collect_list(F.struct("position", "root"))).alias("below")
+        parts = level.groupBy("bucket", F.shiftright("position", LEVEL).alias("above")).agg(below)
+        level = parts.select("bucket", F.col("above").alias("position"), root_of(F.col("below.root")).alias("root"))
+        most = -(-most >> LEVEL)
+        if most <= 1:
+            break
+    tops = level.where("position = 0").groupBy("bucket").agg(F.max("root").alias("root"))
+    before = F.sum("n_tokens").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))  # a row for each partition
+    return totals.join(tops, "bucket", "left").withColumn("start", F.coalesce(before, F.lit(0)))
 
 
 def _shifted(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
@@ -167,11 +193,6 @@ def crc_share(crc: pd.Series, n_bytes: pd.Series) -> pd.Series:
     return pd.Series(_shifted(crc.to_numpy(), n_bytes.to_numpy()).astype(np.int64))
 
 
-@F.pandas_udf(BinaryType())
-def root_of(digests: pd.Series) -> pd.Series:
-    return digests.map(lambda d: merkle_root(list(d)))
-
-
 CHECKED = "digest binary, n_stored long, crc long, sound boolean"
 _CHECKED = pa.schema([("digest", pa.binary()), ("n_stored", pa.int64()), ("crc", pa.int64()), ("sound", pa.bool_())])
 
@@ -179,9 +200,9 @@ _CHECKED = pa.schema([("digest", pa.binary()), ("n_stored", pa.int64()), ("crc",
 def _check_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         digests, widths, payloads = (batch.column(i).to_pylist() for i in range(3))
-        ids = [np.frombuffer(p, f"<u{w}") for p, w in zip(payloads, widths)]
-        crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
         sound = [hashlib.sha256(p).digest() == d for p, d in zip(payloads, digests)]
+        ids = [np.frombuffer(p if ok else b"", f"<u{w}") for p, w, ok in zip(payloads, widths, sound)]
+        crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, ids), pa.int64()), pa.array(crc, pa.int64()), pa.array(sound, pa.bool_())], schema=_CHECKED)
 
 
@@ -205,11 +226,13 @@ def read_summary(spark: SparkSession, path: str) -> DataFrame:
     Payloads stay where they are: each stored chunk is checked against its
     address and summed up once, and a document's crc32 is put together from
     those of its chunks.  ``verified``: every chunk is there and sound, the
-    lengths agree, and the Merkle root over the chunks is the recipe's.
+    lengths agree, the Merkle root over the chunks is the recipe's, and the
+    manifest made again from these roots is, for the document's range, the stored
+    one, so that no recipe is lost, doubled, moved or changed.
     """
     chunks = spark.read.parquet(f"{path}/chunks").select("digest", "width", "payload").mapInArrow(_check_chunks, CHECKED)
     so_far = Window.partitionBy("bucket", "position").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
-    return (
+    found = (
         _places(spark, path)
         .join(chunks, "digest", "left")
         .withColumn("before", F.sum("n_ids").over(so_far))
@@ -222,9 +245,15 @@ def read_summary(spark: SparkSession, path: str) -> DataFrame:
             F.every(F.coalesce("sound", F.lit(False))).alias("sound"),
             F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "digest"))), lambda x: x["digest"]).alias("digests"),
         )
-        .withColumn("verified", F.col("sound") & (F.col("n_stored") == F.col("n_tokens")) & (root_of("digests") == F.col("root")))
-        .select("doc_id", "start", "n_tokens", "ids_crc32", "n_chunks", "verified")
+        .withColumn("made", root_of("digests"))
+        .drop("digests")
     )
+    found = staged(found, "summary")
+    again = _totals(found.select("bucket", "position", "n_tokens", F.col("made").alias("root")))
+    columns = ("bucket", "n_documents", "n_tokens", "start", "root")
+    same = again.select(*columns).intersect(spark.read.parquet(f"{path}/manifest").select(*columns)).select("bucket").distinct().withColumn("range", F.lit(True))
+    own = F.col("sound") & (F.col("n_stored") == F.col("n_tokens")) & (F.col("made") == F.col("root"))
+    return found.join(same, "bucket", "left").select("doc_id", "start", "n_tokens", "ids_crc32", "n_chunks", (own & F.coalesce("range", F.lit(False))).alias("verified"))
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:

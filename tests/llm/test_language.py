@@ -1,3 +1,6 @@
+import math
+import re
+
 import numpy as np
 import pyarrow as pa
 
@@ -51,3 +54,48 @@ def test_sliced_batches():
     texts = pa.array(["x", "Ünï one", None, "TWO"]).slice(1, 3)
     bounds, words = language.normal_windows(texts)
     assert [words.to_pylist()[a:b] for a, b in zip(bounds, bounds[1:])] == [["Ünï", "one"], [""], ["two"]] or bounds.tolist() == [0, 2, 3, 4]
+
+
+def test_documents_are_brute_force():
+    """The network once more, position by position in plain Python, and documents' probabilities from its outputs."""
+    net = language.Reader(["aa", "bb", "cc"], 3, seed=5)
+    w, h = {k: v.astype(float) for k, v in net.weights.items()}, 3
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+
+    def states(piece, way):
+        out, state = [], [0.0] * h
+        for byte in piece:
+            x = [a + b for a, b in zip(w["x" + way][byte], w["c" + way])]
+            u = [sum(state[i] * w["u" + way][i][j] for i in range(h)) for j in range(3 * h)]
+            r, z = ([sigmoid(x[k * h + i] + u[k * h + i]) for i in range(h)] for k in (0, 1))
+            new = [math.tanh(x[2 * h + i] + r[i] * u[2 * h + i]) for i in range(h)]
+            state = [z[i] * state[i] + (1 - z[i]) * new[i] for i in range(h)]
+            out.append(state)
+        return out
+
+    def answer(text):
+        total, positions = [0.0] * 3, 0
+        for window in re.findall(rb"[a-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode())):
+            for piece in language.pieces(window):
+                forward, backward = states(piece, "f"), states(piece[::-1], "b")[::-1]
+                for one, other in zip(forward, backward):
+                    logit = [sum(v * w["o"][i][k] for i, v in enumerate([*one, *other])) + w["b"][k] for k in range(3)]
+                    norm = math.log(sum(map(math.exp, logit)))
+                    total = [t + x - norm for t, x in zip(total, logit)]
+                positions += len(piece)
+        if not any(c.isalpha() for c in text or ""):
+            return "und", 0.0
+        p = [math.exp(t / positions) for t in total]
+        return ["aa", "bb", "cc"][p.index(max(p))], max(p) / sum(p)
+
+    texts = ["One two, THREE", "sch\u00f6n " * 3, "\u65e5\u672c\u8a9e" * 30, "a" * 63 + "\u00df" * 40, None, "12 \u2026", "x"]
+    langs, scores = language.Memory(net).documents(pa.array(texts))
+    for text, lang, score in zip(texts, langs, scores):
+        want = answer(text)
+        assert lang == want[0] and abs(score - want[1]) < 1e-4
+
+
+def test_pieces_are_whole_characters():
+    for text in ("a" * 200, "\u00df" * 100, "x" + "\u65e5" * 90, "\U0001f600" * 40):
+        cut = language.pieces(text.encode())
+        assert b"".join(cut) == text.encode() and all(len(p) <= language.LONGEST and p.decode() for p in cut)

@@ -73,3 +73,11 @@ def test_few_sequences():
     demand = {int(c): int(n) for c, n in zip(range(1, 129), rng.integers(500, 1500, 128))}
     used = sum(times for times, _ in packing.solve(demand))
     assert used <= 1.02 * sum(c * n for c, n in demand.items()) / 128
+
+
+def test_columns_named_like_internal_ones_stay(spark):
+    rows = [(k, 0, 100 + k, k, f"b{k}", -k, "old") for k in range(30)]
+    pieces = spark.createDataFrame(rows, "doc_id long, start long, length long, _rank long, _bucket string, _class int, sequence_id string")
+    got = packing.pack(pieces)
+    assert got.columns == ["doc_id", "start", "length", "_rank", "_bucket", "_class", "sequence_id", "offset"]
+    assert sorted((r.doc_id, r._rank, r._bucket, r._class) for r in got.collect()) == [(k, k, f"b{k}", -k) for k in range(30)]

@@ -28,3 +28,38 @@ def test_edges(spark):
     unlearned = quality.score(docs, quality.fit(docs, labels.limit(0), fold("doc_id", 5) != 0)).collect()
     assert {r.score for r in unlearned} == {0.5}
     assert quality.score(docs.limit(0), quality.fit(docs, labels, fold("doc_id", 5) != 0)).count() == 0
+
+
+def test_votes_are_brute_force():
+    """Every cosine and vote again, one at a time, from the counts."""
+    rng = np.random.default_rng(4)
+    parts = ["Plain words", "12 apples;", "SHOUT!!", "a b c", "| |", "x9x9", "end.", "\u00fcber", "\u65e5\u672c", "again again"]
+    texts = [" ".join(rng.choice(parts, rng.integers(1, 12))) for _ in range(90)]
+    labels = [int(x) for x in rng.integers(0, 2, 60)]
+    voters = quality.Voters(quality.counts(texts[:60]), labels, dims=8, neighbours=7)
+    got = voters.score([*texts[60:], None, ""])
+
+    def latent(text):
+        weighted = quality.counts([text])[0].astype(float) * voters.idf
+        weighted /= max(np.sqrt((weighted**2).sum()), 1e-12)
+        placed = np.array([sum(w * a for w, a in zip(weighted, axis)) for axis in voters.axes.T.astype(float)])
+        return placed / max(np.sqrt((placed**2).sum()), 1e-12)
+
+    space = [latent(t) for t in texts[:60]]
+    for text, score in zip([*texts[60:], None, ""], got):
+        own = latent(text)
+        votes = sorted(((sum(a * b for a, b in zip(own, other)), label) for other, label in zip(space, labels)), reverse=True)
+        # equal cosines may stand on both sides of the last place, so any choice among them is right
+        last = votes[6][0]
+        sure, open_ = [v for v in votes if v[0] > last + 1e-4], [v for v in votes if abs(v[0] - last) <= 1e-4]
+        share = lambda chosen: sum(max(c, 0) ** 8 * label for c, label in chosen) / max(sum(max(c, 0) ** 8 for c, _ in chosen), 1e-300)
+        some = [share([*sure, *sorted(open_, key=lambda v: v[1], reverse=up)[: 7 - len(sure)]]) for up in (False, True)]
+        if not any(own):
+            assert abs(score - np.mean(labels)) < 1e-6
+        else:
+            assert min(some) - 1e-3 <= score <= max(some) + 1e-3
+
+
+def test_other_scripts_count():
+    found = quality.counts(["\u65e5\u672c\u8a9e \u3067\u3059", "\u00fcber", "uber", ""])
+    assert found[0].any() and (found[1] == found[2]).all() and not found[3].any()

@@ -59,3 +59,10 @@ def test_matching_statistics():
         held = {tuple(s[i:j]) for s in shard for i in range(len(s)) for j in range(i + 1, len(s) + 1)}
         want = [max([n for n in range(e + 2) if n == 0 or tuple(asked[e + 1 - n : e + 1]) in held]) for e in range(len(asked))]
         assert automaton.statistics(asked) == want
+
+
+def test_clashing_names(spark):
+    line = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, line, 7, "a", 0.5), (2, f"x {line} y", 8, "b", 1.5), (None, line, 9, "c", 2.5)], "doc_id long, text string, _row int, _spans string, _OTHER double")
+    got = sorted(map(str, substring.remove_repeats(docs).select("doc_id", "text", "_row", "_spans", "_OTHER", "n_removed").collect()))
+    assert got == sorted(map(str, docs.selectExpr("doc_id", "if(doc_id = 2, 'x y', text) as text", "_row", "_spans", "_OTHER", "if(doc_id = 2, 20, 0) as n_removed").collect()))

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -54,3 +55,11 @@ def test_merge_is_a_sort(monkeypatch):
     want = {k: [seen[r["payload"][i : i + 200]] > 1 for i in range(101)] for k, r in enumerate(rows)}
     got = {id_: np.unpackbits(np.frombuffer(mask, np.uint8), count=101).astype(bool).tolist() for id_, (_, _, mask) in zip([k for k in want if any(want[k])], suffixes.block_masks(rows))}
     assert got == {k: v for k, v in want.items() if any(v)}
+
+
+def test_clashing_names_and_a_long_text_of_one_letter(spark):
+    docs = spark.createDataFrame([(1, "z" * 2_000_000, 7, "a", 1.5), (2, "y" * 250, 8, "b", 2.5), (3, "ab" * 101, 9, "c", 3.5)], "doc_id long, text string, _row int, _spans string, _OWN double")
+    began = time.time()
+    got = suffixes.remove_repeats(docs)
+    rows = sorted(got.select("doc_id", "n_removed", "_row", "_spans", "_OWN").collect())
+    assert list(map(tuple, rows)) == [(1, 2_000_000, 7, "a", 1.5), (2, 250, 8, "b", 2.5), (3, 202, 9, "c", 3.5)] and time.time() - began < 40
