@@ -138,7 +138,7 @@ def _cum(value: str, delta: float) -> str:
     return f"c AS (SELECT sid, i, sum(CASE WHEN i=0 THEN 0.0 ELSE (x+px)/2*{delta} END) OVER (PARTITION BY sid ORDER BY i) AS cum FROM (SELECT sid, i, {value} AS x, lag({value}) OVER (PARTITION BY sid ORDER BY i) AS px FROM w))"
 
 
-PROFILES = """WITH l AS (SELECT * FROM (SELECT p_brand AS site, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k, p_size::DOUBLE AS hl, 100+p_retailprice/4 AS vs FROM part) WHERE k<=6),
+PROFILES = """WITH l AS (SELECT * FROM (SELECT p_brand||'/'||(n-1)//6 AS site, (n-1)%6+1 AS k, p_size::DOUBLE AS hl, 100+p_retailprice/4 AS vs FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part))),
   g AS (SELECT *, 10.0+k AS qs, 1800.0+50*k AS dn, sum(hl) OVER (PARTITION BY site ORDER BY k)-hl AS top, k=max(k) OVER (PARTITION BY site) AS base,
         sum(hl/vs) OVER (PARTITION BY site ORDER BY k)-hl/vs AS tt FROM l),
   h AS (SELECT *, max(CASE WHEN base THEN top END) OVER (PARTITION BY site) AS rock FROM g)"""
@@ -185,7 +185,7 @@ def oracle_sql() -> dict[str, str]:
         "impact_uniform_mix": impact("1.0", "SELECT asset_id, level, round(prob,6) AS prob FROM x"),
         "impact_top10": impact("n", "SELECT asset_id, round(sum(expected),4) AS d5_tail FROM x WHERE level_ord>=5 GROUP BY asset_id ORDER BY d5_tail DESC, asset_id LIMIT 10"),
         "gm_assets": f"SELECT asset_id, round(exp({_gm(KM)}),9) AS median, round({SIGMA},9) AS sigma FROM ({SITES})",
-        "gm_events_near_sites": f"SELECT site_id, count(*) AS events, round(max({pga}),9) AS pga FROM (SELECT s.asset_id AS site_id, depth/10+3 AS mag, {km} AS km FROM ({LOCS}) e, ({SITES}) s WHERE event_id%50=0) WHERE km<=15 GROUP BY site_id",
+        "gm_events_near_sites": f"SELECT site_id, count(*) AS events, round(max({pga}),9) AS pga FROM (SELECT s.asset_id AS site_id, depth/10+3 AS mag, {km} AS km FROM ({LOCS}) e, ({SITES}) s) WHERE km<=15 GROUP BY site_id",
         "frag_distribution": f"SELECT model_id, 'D'||level_ord AS level, round(({poe})/4.0,9) AS poe FROM ({FRAG})",
         "frag_tabulated": f"SELECT event_id, round({_table('value', False)},6) AS poe, round({_table('value', True)},6) AS poe_log FROM events",
         "cat_prime": f"{CAT} SELECT event_id, size, type FROM c",
