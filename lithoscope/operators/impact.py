@@ -38,11 +38,13 @@ def events_near_sites(events: DataFrame, sites: DataFrame, most_km: float, cell_
     """Pairs of events (lon, lat and what else they have) and sites (site_id, lon, lat) within a distance, with km.
 
     An equi-join on cells: an event goes to every cell its circle can touch, a
-    site to its own, so no pair is looked at outside them.  Not for circles that
-    reach a pole or the date line.
+    site to its own, so no pair is looked at outside them.  Events whose circle
+    reaches a pole or the date line raise an error.
     """
     reach = most_km / 111.0
     wide = reach / F.cos(F.radians(F.least(F.abs("lat") + reach, F.lit(89.0))))
+    outside = (F.abs("lat") + reach > 90) | (F.abs("lon") + wide > 180)
+    events = events.withColumn("lon", F.when(outside, F.raise_error(F.lit("an event's circle reaches a pole or the date line")).cast("double")).otherwise(F.col("lon")))
     cells = lambda c, r: F.sequence(F.floor((F.col(c) - r) / cell_deg), F.floor((F.col(c) + r) / cell_deg))
     kept = [c for c in events.columns if c not in ("lon", "lat")]
     spread = events.select(*kept, F.col("lon").alias("e_lon"), F.col("lat").alias("e_lat"), F.explode(cells("lon", wide)).alias("x"), cells("lat", F.lit(reach)).alias("ys"))
@@ -93,8 +95,12 @@ def typology_damage(assets: DataFrame, typologies: DataFrame, taxonomy_map: Data
     )
 
 
-def asset_damage(damage: DataFrame, uniform: bool = False) -> DataFrame:
-    """asset_id, n_units, levels, p (mean over typologies, by units or uniform) and expected (units) by state."""
+def asset_damage(damage: DataFrame, uniform: bool = False, typologies: DataFrame | None = None) -> DataFrame:
+    """asset_id, n_units, levels, p (mean over typologies, by units or uniform) and expected (units) by state.
+
+    n_units counts the units of all ``typologies`` (asset_id, n) where they are
+    given, those without a model too, and of the ones with a model otherwise.
+    """
     w = F.lit(1.0) if uniform else F.col("n").cast("double")
     mixed = damage.groupBy("asset_id").agg(
         F.sum("n").alias("n_units"),
@@ -103,6 +109,8 @@ def asset_damage(damage: DataFrame, uniform: bool = False) -> DataFrame:
     )
     zero = F.transform(F.element_at("parts", 1)["e"], lambda _: F.lit(0.0))
     expected = F.aggregate("parts", zero, lambda s, x: F.zip_with(s, x["e"], lambda a, b: a + b))
+    if typologies is not None:
+        mixed = mixed.drop("n_units").join(typologies.groupBy("asset_id").agg(F.sum("n").alias("n_units")), "asset_id")
     return mixed.select("asset_id", "n_units", "levels", weighted_mean(F.col("parts")).alias("p"), expected.alias("expected"))
 
 
