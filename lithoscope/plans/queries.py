@@ -469,7 +469,11 @@ def _stream(spark, d):
 
 
 def _folder(spark) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lithoscope-")
+    """The folder that all executors share; where none is set, a temporary one if Spark runs in this process alone."""
+    master, found = spark.sparkContext.master, spark.conf.get("spark.checkpoint.dir", None)
+    if not found and master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return found or tempfile.mkdtemp(prefix="lithoscope-")
 
 
 @query
