@@ -71,6 +71,14 @@ def enu(lon: Column, lat: Column, elevation: Column, lon0: Column, lat0: Column,
     return -so * dx + co * dy, -sa * co * dx - sa * so * dy + ca * dz, ca * co * dx + ca * so * dy + sa * dz
 
 
+def from_enu(east: Column, north: Column, up: Column, lon0: Column, lat0: Column, elevation0: Column) -> tuple[Column, Column, Column]:
+    """lon, lat, elevation of a point given by its east, north and up from an origin."""
+    so, co, sa, ca = F.sin(F.radians(lon0)), F.cos(F.radians(lon0)), F.sin(F.radians(lat0)), F.cos(F.radians(lat0))
+    x, y, z = ecef(lon0, lat0, elevation0)
+    outward = ca * up - sa * north
+    return from_ecef(x + co * outward - so * east, y + so * outward + co * east, z + ca * north + sa * up)
+
+
 def azimuth(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     """Initial bearing, from 0 up to 360."""
     d = F.radians(lon2 - lon1)
@@ -129,6 +137,18 @@ def utm(lon: Column, lat: Column, zone: Column | None = None) -> tuple[Column, C
     return east, north
 
 
+def bounding_box(ring: Column) -> tuple[Column, Column, Column, Column]:
+    """Smallest lon and lat, largest lon and lat of a ring of (lon, lat) structs; null for none."""
+    side = lambda name: F.transform(ring, lambda p: p[name])
+    return F.array_min(side("lon")), F.array_min(side("lat")), F.array_max(side("lon")), F.array_max(side("lat"))
+
+
+def mean_point(ring: Column) -> tuple[Column, Column]:
+    """Mean lon and lat of a ring's vertices, an approximate centroid; null for none."""
+    total = lambda name: F.aggregate(ring, F.lit(0.0), lambda s, p: s + p[name])
+    return tuple(F.try_divide(total(name), F.size(ring)) for name in ("lon", "lat"))
+
+
 def shoelace(ring: Column) -> Column:
     """Signed area of a ring of (x, y) structs, closed or not."""
     following = F.concat(F.slice(ring, F.lit(2), F.size(ring)), F.slice(ring, 1, 1))

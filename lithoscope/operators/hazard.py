@@ -33,10 +33,14 @@ def weichert(bins: DataFrame, beta: float = 1.5, rounds: int = 50) -> dict:
     """Weichert's maximum-likelihood rates for unequal times of observation; ``bins``: m, n, years.
 
     Newton's method on the derivative; each round needs sums over the magnitude
-    bins only, which are few, so they are fetched once.
+    bins only, which are few, so they are fetched once.  Without events all values
+    are null; those of one bin have a rate, but no slope.
     """
     rows = [(r.m, r.n, r.years) for r in bins.groupBy("m").agg(F.sum("n").alias("n"), F.max("years").alias("years")).orderBy("m").collect()]
-    total, mean = sum(n for _, n, _ in rows), sum(m * n for m, n, _ in rows) / sum(n for _, n, _ in rows)
+    total = sum(n for _, n, _ in rows)
+    if not total or len(rows) == 1:
+        return {"b": None, "b_sigma": None, "rate": total / rows[0][2] if total else None, "a": None}
+    mean = sum(m * n for m, n, _ in rows) / total
     for _ in range(rounds):
         s0 = sum(t * math.exp(-beta * m) for m, _, t in rows)
         s1 = sum(t * m * math.exp(-beta * m) for m, _, t in rows)

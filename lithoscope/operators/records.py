@@ -83,6 +83,41 @@ def instantaneous_frequency(x: np.ndarray, delta: float) -> np.ndarray:
     return np.gradient(np.unwrap(np.angle(analytic(x))), delta) / (2 * math.pi)
 
 
+def instantaneous_phase(x: np.ndarray) -> np.ndarray:
+    """Phase of the analytic signal in radians, without jumps."""
+    return np.unwrap(np.angle(analytic(x)))
+
+
+def from_spectrum(values: np.ndarray, delta: float, n: int) -> np.ndarray:
+    """The ``n`` samples whose ``spectrum`` has these values."""
+    return np.fft.irfft(np.asarray(values) / delta, n)
+
+
+def zero_padded(x: np.ndarray, delta: float, seconds: float | None = None) -> np.ndarray:
+    """Zeros after the samples, as long as these unless ``seconds`` (a whole number of samples) says otherwise."""
+    count = len(x) if seconds is None else round(seconds / delta)
+    if count < 0 or seconds is not None and abs(count * delta - seconds) > 1e-6 * delta:
+        raise ValueError("padding is not a whole number of samples")
+    return np.concatenate([x, np.zeros(count)])
+
+
+def convolved(x: np.ndarray, kernel: np.ndarray, mode: str = "full") -> np.ndarray:
+    """Linear convolution by transforms: all of it, the middle as long as ``x`` (same), or where both overlap wholly (valid); nothing with nothing."""
+    n, m = len(x), len(kernel)
+    if not n or not m:
+        return np.zeros(0)
+    whole = n + m - 1
+    wide = 1 << (whole - 1).bit_length()
+    full = np.fft.irfft(np.fft.rfft(x, wide) * np.fft.rfft(kernel, wide), wide)[:whole] if wide > 1 else np.asarray(x) * np.asarray(kernel)
+    length = {"full": whole, "same": n, "valid": abs(n - m) + 1}[mode]
+    return full[(whole - length) // 2 :][:length]
+
+
+def correlated(x: np.ndarray, other: np.ndarray, mode: str = "full") -> np.ndarray:
+    """Cross-correlation; of the full one, entry k is the lag k - (len(other) - 1)."""
+    return convolved(x, np.asarray(other)[::-1], mode)
+
+
 def shifted(x: np.ndarray, delta: float, seconds: float) -> np.ndarray:
     """Delay by a phase ramp; zeros come in."""
     pad = math.ceil(abs(seconds) / delta)
@@ -178,6 +213,23 @@ def pole_zero(freq: np.ndarray, scale: float, poles: np.ndarray, zeros: np.ndarr
     return scale * np.prod(s - np.asarray(zeros, complex)[None], axis=1) / np.prod(s - np.asarray(poles, complex)[None], axis=1)
 
 
+def convolved_response(x: np.ndarray, delta: float, gain: float, poles: np.ndarray, zeros: np.ndarray) -> np.ndarray:
+    """Instrument put in, as ``deconvolved`` takes it out."""
+    n = 1 << (2 * len(x) - 1).bit_length()
+    return np.fft.irfft(np.fft.rfft(x, n) * pole_zero(np.fft.rfftfreq(n, delta), gain, poles, zeros), n)[: len(x)]
+
+
+def fir_transfer(numerator: np.ndarray, denominator: np.ndarray, n: int) -> np.ndarray:
+    """Ratio of two polynomials in the unit delay, at ``n`` frequencies from 0 to Nyquist."""
+    delay = np.exp(-1j * np.linspace(0, math.pi, n))
+    return np.polyval(np.asarray(numerator)[::-1], delay) / np.polyval(np.asarray(denominator)[::-1], delay)
+
+
+def oscillator_transfer(omega: np.ndarray, own: float, damping: float = 0.05) -> np.ndarray:
+    """Displacement of an oscillator of angular frequency ``own`` over the acceleration that drives it."""
+    return 1 / (own**2 - omega**2 + 2j * damping * own * omega)
+
+
 def deconvolved(x: np.ndarray, delta: float, gain: float, poles: np.ndarray, zeros: np.ndarray, water_db: float = 120.0) -> np.ndarray:
     """Instrument taken out; amplitudes below the (absolute) water level are held there."""
     n = 1 << (2 * len(x) - 1).bit_length()

@@ -19,23 +19,31 @@ def read_table(spark: SparkSession, path: str, types: dict[str, str] | None = No
     return raw.select(*(cast_value(F.col(c), (types or {}).get(c, "string")).alias(c) for c in raw.columns))
 
 
+def _numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with the number of each row, from 0; only the counts of partitions, one row each, meet in one task."""
+    dealt = df.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    before = F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = dealt.groupBy("_part").count().select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    return dealt.join(counts, "_part").withColumn(name, F.col("_before") + F.col("_row")).drop("_part", "_row", "_before")
+
+
 def read_csv(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
     """One location and magnitude a row: event_id (or the row's number), lon, lat, depth, ts, size, type, code."""
     types = {"Id": "string", "Year": "int", "Month": "int", "Day": "int", "Hour": "int", "Minute": "int", "Second": "double", "Longitude": "double", "Latitude": "double", "Depth": "double", "MagSize": "double"}
     df = read_table(spark, path, types, delimiter)
+    df = df if "Id" in df.columns else _numbered(df, "Id")
     part = lambda c, default: F.coalesce(F.col(c), F.lit(default)) if c in df.columns else F.lit(default)
     ts = F.make_timestamp_ntz(part("Year", 1), part("Month", 1), part("Day", 1), part("Hour", 0), part("Minute", 0), part("Second", 0.0).cast("decimal(8,6)"))
-    number = F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) - 1
     column = lambda c: F.col(c) if c in df.columns else F.lit(None)
     return df.select(
-        (F.col("Id") if "Id" in df.columns else number.cast("string")).alias("event_id"), ts.alias("ts"), column("Longitude").alias("lon"), column("Latitude").alias("lat"), column("Depth").alias("depth"),
+        F.col("Id").cast("string").alias("event_id"), ts.alias("ts"), column("Longitude").alias("lon"), column("Latitude").alias("lat"), column("Depth").alias("depth"),
         column("MagSize").alias("size"), column("MagType").cast("string").alias("type"), column("MagCode").cast("string").alias("code"),
     )
 
 
-def read_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Magnitudes and locations (event_id, idx, ...) of {EqDatabase: {Event: [{Id, Magnitude, Location}]}}."""
-    events = spark.read.json(path, multiLine=True).select(F.explode("EqDatabase.Event").alias("e"))
+def read_json(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Magnitudes and locations (event_id, idx, ...) of {EqDatabase: {Event: [{Id, Magnitude, Location}]}}; with ``lines`` each line is such a document."""
+    events = spark.read.json(path, multiLine=not lines).select(F.explode("EqDatabase.Event").alias("e"))
     side = lambda name: events.select(F.col("e.Id").cast("string").alias("event_id"), F.posexplode(f"e.{name}").alias("idx", "s")).select("event_id", "idx", "s.*")
     return side("Magnitude"), side("Location")
 
@@ -46,7 +54,7 @@ def read_isf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     An event's lines follow its ``Event`` line; blocks are told by their header
     lines; ``(#PRIME)`` flags the origin before it and ``(#CENTROID)`` is not one.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("n", "line"), F.md5("value").alias("file"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("n", "line"), F.col("_metadata.file_path").alias("file"))
     order = Window.partitionBy("file").orderBy("n")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     event = F.last(F.when(F.col("line").startswith("Event "), F.regexp_extract("line", r"^Event\s+(\S+)", 1)), ignorenulls=True).over(so_far)

@@ -1,4 +1,4 @@
-"""Exposure, fragility and taxonomy files (JSON), geometries (GeoJSON) and their checks."""
+"""Exposure, fragility and taxonomy files (JSON), geometries (GeoJSON) and their checks; with ``lines`` each line is a document."""
 
 from __future__ import annotations
 
@@ -10,9 +10,9 @@ EXPOSURE = """metadata string, schema_version string, assets array<struct<id:str
   typologies array<struct<taxonomy:string,count:double,usage:string,stories:int,replacement_cost:double,occupants:struct<day:double,night:double>>>>>""".replace("typologies array", "typologies:array")
 
 
-def read_exposure(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_exposure(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
     """assets (asset_id, lon, lat, elevation, aggregated, vs30) and typologies (asset_id, taxonomy, n, ...)."""
-    assets = spark.read.schema(EXPOSURE).json(path, multiLine=True).select(F.explode("assets").alias("a"))
+    assets = spark.read.schema(EXPOSURE).json(path, multiLine=not lines).select(F.explode("assets").alias("a"))
     place = F.col("a.reference_location")
     head = assets.select(F.col("a.id").alias("asset_id"), place["longitude"].alias("lon"), place["latitude"].alias("lat"), F.coalesce(place["elevation"], F.lit(0.0)).alias("elevation"), F.col("a.aggregated").alias("aggregated"), F.col("a.reference_geology.vs30").alias("vs30"))
     kinds = assets.select(F.col("a.id").alias("asset_id"), F.explode("a.typologies").alias("t")).select("asset_id", "t.taxonomy", F.col("t.count").alias("n"), "t.usage", "t.stories", "t.replacement_cost", "t.occupants")
@@ -23,18 +23,18 @@ FRAGILITY = """models array<struct<id:string,taxonomy:string,imt:string,model_ty
   parameters:map<string,struct<theta:double,beta:double>>,tables:map<string,struct<im:array<double>,poe:array<double>,log_im:boolean>>>>"""
 
 
-def read_fragility(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_fragility(spark: SparkSession, path: str | list[str], lines: bool = False) -> DataFrame:
     """model_id, imt, model_type, level_ord (from 1), level, theta, beta, points, log_im: a row for each level."""
-    model = spark.read.schema(FRAGILITY).json(path, multiLine=True).select(F.explode("models").alias("m"))
+    model = spark.read.schema(FRAGILITY).json(path, multiLine=not lines).select(F.explode("models").alias("m"))
     rows = model.select("m", F.posexplode("m.damage_scale.levels").alias("k", "level"))
     own, table = F.element_at("m.parameters", F.col("level")), F.element_at("m.tables", F.col("level"))
     points = F.arrays_zip(table["im"].alias("im"), table["poe"].alias("poe"))
     return rows.select(F.col("m.id").alias("model_id"), F.col("m.imt").alias("imt"), F.col("m.model_type").alias("model_type"), (F.col("k") + 1).alias("level_ord"), "level", own["theta"].alias("theta"), own["beta"].alias("beta"), points.alias("points"), table["log_im"].alias("log_im"))
 
 
-def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
+def read_taxonomy(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """taxonomy, model_id, weight (1 unless given)."""
-    tree = spark.read.schema("mappings map<string,struct<fragility_models:array<struct<id:string,weight:double>>>>").json(path, multiLine=True)
+    tree = spark.read.schema("mappings map<string,struct<fragility_models:array<struct<id:string,weight:double>>>>").json(path, multiLine=not lines)
     rows = tree.select(F.explode("mappings").alias("taxonomy", "refs")).select("taxonomy", F.explode("refs.fragility_models").alias("r"))
     return rows.select("taxonomy", F.col("r.id").alias("model_id"), F.coalesce("r.weight", F.lit(1.0)).alias("weight"))
 
@@ -67,10 +67,10 @@ def taxonomy_issues(refs: DataFrame, levels: DataFrame) -> DataFrame:
     return _issue(refs.join(known, "model_id", "left"), at, (F.col("weight") > 0, "weight is not positive"), (F.col("known"), "model is unknown"))
 
 
-def read_geojson(spark: SparkSession, path: str) -> DataFrame:
+def read_geojson(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """id, kind, parts (rings of lon, lat) of points, polygons and multipolygons, alone or in a collection."""
     schema = "type string, id string, geometry struct<type:string,coordinates:string>, features array<struct<id:string,geometry:struct<type:string,coordinates:string>>>"
-    raw = spark.read.schema(schema).json(path, multiLine=True)
+    raw = spark.read.schema(schema).json(path, multiLine=not lines)
     alone = F.array(F.struct(F.col("id").alias("id"), F.col("geometry").alias("geometry")))
     rows = raw.select(F.explode(F.when(F.col("features").isNull(), alone).otherwise(F.col("features"))).alias("f")).select("f.id", F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("c"))
     point = lambda x: F.struct(x[0].alias("lon"), x[1].alias("lat"))
