@@ -74,6 +74,12 @@ def add_solution(catalogue: DataFrame, event_id, solution: Column, key: str = "m
     return catalogue.withColumn(key, F.when(F.col("event_id") == event_id, F.concat(calm, F.array(solution))).otherwise(F.col(key)))
 
 
+def remove_solution(catalogue: DataFrame, event_id, idx: int = -1, key: str = "magnitudes") -> DataFrame:
+    """Without the solution at a place of one event, from 0, or from the end if negative; nothing goes if there is none at it."""
+    place = F.lit(idx) if idx >= 0 else F.size(key) + idx
+    return catalogue.withColumn(key, F.when(F.col("event_id") == event_id, F.filter(key, lambda _, i: i != place)).otherwise(F.col(key)))
+
+
 def _first_of_each(events: DataFrame) -> DataFrame:
     order = F.row_number().over(Window.partitionBy("event_id").orderBy("seq"))
     return events.withColumn("_n", order).where("_n = 1").drop("_n")

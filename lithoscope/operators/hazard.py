@@ -13,6 +13,31 @@ def in_force(table: DataFrame, year: int | Column) -> DataFrame:
     return table.where((F.col("year_start") <= year) & (F.col("year_end") >= year))
 
 
+def at_magnitude(table: DataFrame, magnitude: float | Column) -> DataFrame:
+    return table.where(F.col("magnitude") == magnitude)
+
+
+def add_entries(table: DataFrame, entries: DataFrame) -> DataFrame:
+    return table.unionByName(entries)
+
+
+def update_entries(table: DataFrame, which: Column, **values) -> DataFrame:
+    """New values for the entries for which ``which`` is true; if it is null, an entry stays as it is."""
+    return table.select(*(F.when(which, F.lit(values[c]).cast(kind)).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c, kind in table.dtypes))
+
+
+def remove_entries(table: DataFrame, which: Column) -> DataFrame:
+    return table.where(~F.coalesce(which, F.lit(False)))
+
+
+def by_magnitude(table: DataFrame) -> DataFrame:
+    return table.orderBy("magnitude", "year_start", "year_end", "completeness")
+
+
+def by_year(table: DataFrame) -> DataFrame:
+    return table.orderBy("year_start", "magnitude", "year_end", "completeness")
+
+
 def average_completeness(table: DataFrame) -> DataFrame:
     return table.agg(F.coalesce(F.avg("completeness"), F.lit(0.0)).alias("completeness"))
 

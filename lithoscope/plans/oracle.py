@@ -184,6 +184,9 @@ def oracle_sql() -> dict[str, str]:
         "impact_assets": impact("n", "SELECT asset_id, level, round(prob,6) AS prob, round(expected,4) AS expected FROM x"),
         "impact_uniform_mix": impact("1.0", "SELECT asset_id, level, round(prob,6) AS prob FROM x"),
         "impact_top10": impact("n", "SELECT asset_id, round(sum(expected),4) AS d5_tail FROM x WHERE level_ord>=5 GROUP BY asset_id ORDER BY d5_tail DESC, asset_id LIMIT 10"),
+        "impact_typology_breakdown": impact("n", "SELECT asset_id, taxonomy, CASE level_ord WHEN 6 THEN 'GT_LAST' ELSE 'D'||level_ord END AS level, round(p,6) AS prob FROM t"),
+        "impact_skip_taxonomy": impact("n", """SELECT asset_id, n_units, covered FROM (SELECT asset_id, sum(n) AS n_units FROM ty GROUP BY asset_id)
+          JOIN (SELECT asset_id, round(sum(n),3) AS covered FROM ty WHERE taxonomy IN (SELECT taxonomy FROM tm) GROUP BY asset_id) USING (asset_id)"""),
         "gm_assets": f"SELECT asset_id, round(exp({_gm(KM)}),9) AS median, round({SIGMA},9) AS sigma FROM ({SITES})",
         "gm_events_near_sites": f"SELECT site_id, count(*) AS events, round(max({pga}),9) AS pga FROM (SELECT s.asset_id AS site_id, depth/10+3 AS mag, {km} AS km FROM ({LOCS}) e, ({SITES}) s) WHERE km<=15 GROUP BY site_id",
         "frag_distribution": f"SELECT model_id, 'D'||level_ord AS level, round(({poe})/4.0,9) AS poe FROM ({FRAG})",
@@ -195,8 +198,15 @@ def oracle_sql() -> dict[str, str]:
         "cat_append_new": f"{CAT} SELECT event_id, count(*) AS n FROM m JOIN c USING (event_id) GROUP BY event_id",
         "cat_append_skipped": f"{CAT} SELECT event_id FROM c WHERE event_id%4=1",
         "cat_upsert": f"{CAT} SELECT event_id, count(*)*(CASE event_id%4 WHEN 1 THEN 2 ELSE 1 END) AS n, c.size FROM m JOIN c USING (event_id) GROUP BY event_id, c.size",
+        "cat_sort": f"{CAT} SELECT event_id, count(*) AS n, c.size FROM m JOIN c USING (event_id) GROUP BY event_id, c.size",
+        "cat_remove": f"{CAT} SELECT event_id, count(*) AS n, c.size FROM m JOIN c USING (event_id) WHERE event_id%5<>0 GROUP BY event_id, c.size",
+        "cat_get_event": f"{CAT} SELECT event_id, count(*) AS n, c.size FROM m JOIN c USING (event_id) WHERE event_id%5=0 GROUP BY event_id, c.size",
+        "cat_add_magnitude": f"{CAT} SELECT event_id, count(*)+(event_id%5=0)::INT AS n, CASE event_id%5 WHEN 0 THEN 9.5 ELSE c.size END::DOUBLE AS size FROM m JOIN c USING (event_id) GROUP BY event_id, c.size",
+        "cat_remove_solution": f"{CAT} SELECT event_id, count(*) FILTER (WHERE event_id%5<>0 OR idx>1) AS n, round(coalesce(sum(m.size) FILTER (WHERE event_id%5<>0 OR idx>1),0)::DOUBLE,3) AS total FROM m JOIN c USING (event_id) GROUP BY event_id",
         "cat_hypocentre": f"{CAT} SELECT event_id, round(lon,6) AS lon, round(lat,6) AS lat, -depth*1000 AS elevation FROM c",
         "geo_distances": _distances(),
+        "geo_from_enu": f"SELECT event_id, round(lon,6) AS lon, round(lat,6) AS lat, round(1-depth*1000,3) AS above FROM ({LOCS})",
+        "geo_boxes": f"SELECT asset_id, round(lon,6) AS west, round(lat,6) AS south, round(lon+0.1::DOUBLE,6) AS east, round(lat+0.2::DOUBLE,6) AS north, round((lon+lon+0.1::DOUBLE+lon)/3,6) AS lon, round((lat+lat+lat+0.2::DOUBLE)/3,6) AS lat FROM ({SITES})",
         "geo_projections": _projections(),
         "geo_in_polygon": _polygon(RING),
         "haz_rates": f"""SELECT s_suppkey, round(1-exp(-(s_suppkey/1000.0::DOUBLE)*50.0),9) AS p, round(-ln(1-s_suppkey%90/100.0::DOUBLE)/50.0,9) AS rate,
@@ -207,6 +217,10 @@ def oracle_sql() -> dict[str, str]:
         "haz_b_value": f"WITH m AS ({MAGS}), s AS (SELECT count(*) AS n, {0.4342944819032518}/(avg(size)-0.95) AS b FROM m WHERE size>=1.0) SELECT n, round(b,9) AS b, round(b/sqrt(n),9) AS b_sigma FROM s",
         "haz_histogram": f"WITH m AS ({MAGS}) SELECT round(floor((size-1.0)/0.5+1e-9)*0.5+1.25,6) AS m, count(*) AS n FROM m WHERE size>=1.0 GROUP BY 1",
         "haz_completeness_year": f"SELECT magnitude, count(*) AS n FROM ({completeness}) WHERE year_start<=1960 AND year_end>=1960 GROUP BY magnitude",
+        "haz_completeness_magnitude": f"SELECT magnitude, year_start, count(*) AS n FROM ({completeness}) WHERE magnitude=2.5 GROUP BY magnitude, year_start",
+        "haz_completeness_edit": f"""WITH c AS ({completeness}) SELECT magnitude, count(*) AS n, round(avg(completeness),6) AS completeness, sum(year_end)::BIGINT AS years FROM (
+          SELECT magnitude, year_end, CASE WHEN year_start<1910 THEN 0.5 ELSE completeness END::DOUBLE AS completeness FROM c WHERE magnitude>=1
+          UNION ALL SELECT magnitude, year_start, completeness FROM c WHERE magnitude=4.5) GROUP BY magnitude""",
         "haz_completeness_average": f"SELECT round(avg(completeness),9) AS completeness FROM ({completeness})",
         "sig_demean": f"{WAVE} SELECT sid, i, round(v-avg(v) OVER (PARTITION BY sid),6) AS v FROM w",
         "sig_integral": f"{WAVE}, {_cum('v', 0.5)} SELECT sid, i, round(cum,4) AS integral FROM c",

@@ -61,6 +61,24 @@ def impact_top10(spark, d):
     return _result(spark, d).select("asset_id", r(worst, 4).alias("d5_tail")).orderBy(F.desc("d5_tail"), "asset_id").limit(10)
 
 
+@query
+def impact_typology_breakdown(spark, d):
+    assets = impact.ground_motion(views.sites(spark, d), **EVENT)
+    damage = impact.typology_damage(assets, views.typologies(spark, d), views.taxonomy_map(spark, d), views.fragility(spark, d))
+    names = F.concat("levels", F.array(F.lit(impact.TAIL)))
+    states = F.explode(F.arrays_zip(names.alias("level"), F.col("p").alias("prob")))
+    return damage.select("asset_id", "taxonomy", states.alias("x")).select("asset_id", "taxonomy", "x.level", r(F.col("x.prob")).alias("prob"))
+
+
+@query
+def impact_skip_taxonomy(spark, d):
+    """Units of all typologies, and those that have a model and so a damage."""
+    assets, typologies = impact.ground_motion(views.sites(spark, d), **EVENT), views.typologies(spark, d)
+    damage = impact.typology_damage(assets, typologies, views.taxonomy_map(spark, d), views.fragility(spark, d))
+    covered = F.aggregate("expected", F.lit(0.0), lambda s, x: s + x)
+    return impact.asset_damage(damage, typologies=typologies).select("asset_id", "n_units", r(covered, 3).alias("covered"))
+
+
 @query
 def gm_assets(spark, d):
     return impact.ground_motion(views.sites(spark, d), **EVENT).select("asset_id", r(F.col("median"), 9).alias("median"), r(F.col("sigma"), 9).alias("sigma"))
@@ -147,6 +165,46 @@ def cat_upsert(spark, d):
     return cat.upsert(*_split(spark, d)).select("event_id", F.size("magnitudes").cast("long").alias("n"), p["size"].alias("size"))
 
 
+def _fifth() -> Column:
+    return F.floor(F.col("event_id") / 5) * 5
+
+
+def _magnitudes_left(df):
+    p = cat.prime(F.col("magnitudes"))
+    return df.select("event_id", F.size("magnitudes").cast("long").alias("n"), p["size"].alias("size"))
+
+
+@query
+def cat_sort(spark, d):
+    return _magnitudes_left(cat.sort_by(views.catalogue(spark, d), "size"))
+
+
+@query
+def cat_remove(spark, d):
+    return _magnitudes_left(cat.remove(views.catalogue(spark, d), _fifth()))
+
+
+@query
+def cat_get_event(spark, d):
+    return _magnitudes_left(cat.get_event(views.catalogue(spark, d), _fifth()))
+
+
+@query
+def cat_add_magnitude(spark, d):
+    """A preferred magnitude more for every fifth event."""
+    whole = views.catalogue(spark, d)
+    kind, given = whole.schema["magnitudes"].dataType.elementType, {"size": 9.5, "prime": True}
+    solution = F.struct(*(F.lit(given.get(f.name)).cast(f.dataType).alias(f.name) for f in kind.fields))
+    return _magnitudes_left(cat.add_solution(whole, _fifth(), solution))
+
+
+@query
+def cat_remove_solution(spark, d):
+    """Without the first magnitude of every fifth event."""
+    out = cat.remove_solution(views.catalogue(spark, d), _fifth(), 0)
+    return out.select("event_id", F.size("magnitudes").cast("long").alias("n"), F.aggregate("magnitudes", F.lit(0.0), lambda s, m: s + m["size"]).alias("total")).withColumn("total", r(F.col("total"), 3))
+
+
 @query
 def cat_hypocentre(spark, d):
     return views.catalogue(spark, d).select("event_id", cat.hypocentre(cat.prime(F.col("locations"))).alias("h")).select("event_id", r(F.col("h.lon")).alias("lon"), r(F.col("h.lat")).alias("lat"), "h.elevation")
@@ -180,6 +238,23 @@ def geo_projections(spark, d):
     )
 
 
+@query
+def geo_from_enu(spark, d):
+    """Hypocentres in a local frame and back."""
+    origin = (F.lit(13.0), F.lit(46.0), F.lit(250.0))
+    lon, lat, elevation = geo.from_enu(*geo.enu(F.col("lon"), F.col("lat"), -F.col("depth") * 1000, *origin), *origin)
+    return views.locations(spark, d).select("event_id", r(lon).alias("lon"), r(lat).alias("lat"), r(elevation + 1, 3).alias("above"))
+
+
+@query
+def geo_boxes(spark, d):
+    """Box and mean point of a triangle at each site."""
+    corner = lambda x, y: F.struct((F.col("lon") + x).alias("lon"), (F.col("lat") + y).alias("lat"))
+    ring = F.array(corner(0.0, 0.0), corner(0.1, 0.0), corner(0.0, 0.2))
+    columns = (*geo.bounding_box(ring), *geo.mean_point(ring))
+    return views.sites(spark, d).select("asset_id", *(r(c).alias(n) for c, n in zip(columns, ("west", "south", "east", "north", "lon", "lat"))))
+
+
 RING = ((12.5, 45.5), (15.0, 45.7), (14.0, 47.5), (13.4, 46.2), (12.8, 47.0))
 
 
@@ -277,6 +352,20 @@ def haz_completeness_year(spark, d):
     return hz.in_force(_completeness(spark, d), 1960).groupBy("magnitude").agg(F.count("*").alias("n"))
 
 
+@query
+def haz_completeness_magnitude(spark, d):
+    return hz.at_magnitude(_completeness(spark, d), 2.5).groupBy("magnitude", "year_start").agg(F.count("*").alias("n"))
+
+
+@query
+def haz_completeness_edit(spark, d):
+    """Old entries count for half, small magnitudes go, and large ones are entered again from their first year on."""
+    table = _completeness(spark, d)
+    edited = hz.remove_entries(hz.update_entries(table, F.col("year_start") < 1910, completeness=0.5), F.col("magnitude") < 1)
+    edited = hz.add_entries(edited, hz.at_magnitude(table, 4.5).withColumn("year_end", F.col("year_start")))
+    return hz.by_magnitude(edited).groupBy("magnitude").agg(F.count("*").alias("n"), r(F.avg("completeness"), 6).alias("completeness"), F.sum("year_end").alias("years"))
+
+
 @query
 def haz_completeness_average(spark, d):
     return hz.average_completeness(_completeness(spark, d)).select(r(F.col("completeness"), 9).alias("completeness"))
