@@ -222,6 +222,9 @@ def oracle_sql() -> dict[str, str]:
           SELECT magnitude, year_end, CASE WHEN year_start<1910 THEN 0.5 ELSE completeness END::DOUBLE AS completeness FROM c WHERE magnitude>=1
           UNION ALL SELECT magnitude, year_start, completeness FROM c WHERE magnitude=4.5) GROUP BY magnitude""",
         "haz_completeness_average": f"SELECT round(avg(completeness),9) AS completeness FROM ({completeness})",
+        "noise_directions": """WITH s AS (SELECT l_suppkey AS sid, l_quantity::DOUBLE-20 AS xr, l_linenumber-3.0::DOUBLE AS xi, l_quantity::DOUBLE/2 AS yr, l_orderkey%7-2.0::DOUBLE AS yi FROM lineitem),
+          t AS (SELECT sid, atan2(2*sum(xr*yr+xi*yi), sum(xr*xr+xi*xi-yr*yr-yi*yi))/2 AS theta FROM s GROUP BY sid)
+          SELECT sid, round(theta,6) AS theta, round(sum(pow(xr*cos(theta)+yr*sin(theta),2)+pow(xi*cos(theta)+yi*sin(theta),2)),3) AS power FROM s JOIN t USING (sid) GROUP BY sid, theta""",
         "sig_demean": f"{WAVE} SELECT sid, i, round(v-avg(v) OVER (PARTITION BY sid),6) AS v FROM w",
         "sig_integral": f"{WAVE}, {_cum('v', 0.5)} SELECT sid, i, round(cum,4) AS integral FROM c",
         "sig_gradient": f"{WAVE} SELECT sid, i, round((CASE WHEN pv IS NULL THEN nv-v WHEN nv IS NULL THEN v-pv ELSE (nv-pv)/2 END)/0.5,6) AS slope FROM (SELECT *, lag(v) OVER o AS pv, lead(v) OVER o AS nv FROM w WINDOW o AS (PARTITION BY sid ORDER BY i))",

@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fragility as fr
@@ -14,7 +14,7 @@ from ..functions import geo, hazard, site, time
 from ..functions import ground_motion as gm
 from ..operators import catalogue as cat
 from ..operators import hazard as hz
-from ..operators import exposure, impact, mesh, records, waveform
+from ..operators import exposure, impact, mesh, noise, records, waveform
 from ..streaming import streams
 from . import views
 
@@ -505,6 +505,24 @@ def time_parts(spark, d):
 # records
 
 
+@query
+def noise_spectral_ratio(spark, d):
+    """Each source's samples over the one before them, by frequency, over half overlapping windows."""
+    before = F.coalesce(F.lag("v").over(Window.partitionBy("sid").orderBy("i")), F.lit(0.0))
+    pairs = _w(spark, d).select("sid", "i", F.col("v").alias("top"), before.alias("base"))
+    out = noise.mean_ratio(pairs, 0.5, 8, 4, taper=2)
+    return out.select("sid", "freq", r(F.col("amplitude"), 4).alias("amplitude"), r(F.col("spread"), 4).alias("spread"), "windows")
+
+
+@query
+def noise_directions(spark, d):
+    """Dominant direction of a spectrum for each supplier, and the power along it."""
+    lines = views.table(spark, d, "lineitem")
+    spectra = lines.select(F.col("l_suppkey").alias("sid"), F.col("l_orderkey").alias("k"), (F.col("l_quantity") - 20).alias("xr"), (F.col("l_linenumber") - 3.0).alias("xi"), (F.col("l_quantity") / 2).alias("yr"), (F.col("l_orderkey") % 7 - 2.0).alias("yi"))
+    power = F.sum(F.col("re") * F.col("re") + F.col("im") * F.col("im"))
+    return noise.combined_directions(spectra).groupBy("sid").agg(r(F.first("theta"), 6).alias("theta"), r(power, 3).alias("power"))
+
+
 @query
 def sig_spectrum(spark, d):
     """Power at the first frequencies of each source's record."""
