@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, jaccard, language, oracle, packing, quality, substring, suffixes, token_store
+from . import ann, chat, decontaminate, jaccard, language, merkle, oracle, packing, quality, substring, suffixes, token_store
 from .common import fold, table
 from .encoding import tokenizer_path
 
@@ -94,8 +94,17 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, vectors.where("id % 20 = 0"), k=20)
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(fold("doc_id", 3) == 0, merkle.leaf([*[F.col(c) for c in fields[:-1]], lower]))
+    rows = merkle.manifest(table(spark, sf_dir, "documents"), fields, group="lang", order="doc_id", carried={"tampered": tampered})
+    found = rows.withColumn("folded_root", merkle.fold(F.coalesce("tampered", "leaf"), F.col("path")))
+    return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op2_pack, op3_suffixes, op4_quality, op5_jaccard, op6_substring, op7_chat_format, op8_decontaminate, op9_language, op10_nearest)}
+    return {f.__name__: f for f in (op1_token_store, op2_pack, op3_suffixes, op4_quality, op5_jaccard, op6_substring, op7_chat_format, op8_decontaminate, op9_language, op10_nearest, op12_merkle)}
 
 
 def oracle_sql() -> dict[str, str]:
