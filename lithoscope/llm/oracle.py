@@ -85,5 +85,32 @@ def _merkle() -> str:
   FROM leaves a JOIN subroots s USING (g) JOIN (SELECT h FROM tops WHERE n=1) t ON true JOIN last z ON z.g=a.g AND z.i=a.i LEFT JOIN proofs p ON p.g=a.g AND p.i=a.i"""
 
 
+def _repair() -> str:
+    """States as texts: ten digits of cost, then the letters, so that the least text is the cheapest and least repair."""
+    add = lambda x, cost, letter: f"lpad((left({x}, 10)::INT+{cost})::VARCHAR, 10, '0')||substr({x}, 11)||'{letter}'"
+    put = lambda x: add(x, 5, "I")
+    blanks = "' '||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
+    kept = lambda x, initial: f"CASE WHEN initial='{initial}' THEN {add(x, 'more', 'K')} END"
+    free = "least(p0, p1, p3)"
+    return f"""WITH RECURSIVE {CRC_TABLE},
+  c AS (SELECT conv_id, turn, coalesce(role,' ') AS role, coalesce(text,' ') AS text, {crc32("coalesce(conv_id::VARCHAR,' ')||':'||coalesce(turn::VARCHAR,' ')")}%20 AS c FROM conversations, crc_table),
+  d AS (SELECT conv_id, turn, CASE c WHEN 4 THEN 'user' ELSE role END AS role, CASE c WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM c, (SELECT unnest([0,1]) AS copy) WHERE c<>0 AND (copy=0 OR c=3)),
+  o AS (SELECT *, left(role, 1) AS initial, right(rtrim(text, {blanks}), 1) AS last, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+  f AS (SELECT *, CASE WHEN last='' THEN 'b' WHEN seen>1 THEN 'd' WHEN last NOT IN ('.','!','?') THEN 't' ELSE '' END AS fault, initial<>'' AND lag(initial) OVER w||initial IN ('su','ua','au') AS legal, i>1 AS later FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen FROM o) WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+  s AS (SELECT conv_id, max(turn)-min(turn)+1-count(DISTINCT turn) AS gaps, count(*) FILTER (WHERE fault='b') AS blank, count(*) FILTER (WHERE fault='d') AS duplicate, count(*) FILTER (WHERE fault='t') AS truncated, count(*) FILTER (WHERE later AND NOT legal) AS illegal, count(*) AS n FROM f GROUP BY conv_id),
+  z(conv_id, i, s0, s1, s2, s3) AS (SELECT conv_id, 0, '0000000000', NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR FROM s
+    UNION ALL SELECT conv_id, i, {add("p0", 2, "D")}, CASE WHEN gone THEN {add("p1", 2, "D")} ELSE least({add("p1", 2, "D")}, {kept("p0", "s")}) END,
+      CASE WHEN gone THEN {add("p2", 2, "D")} ELSE least({add("p2", 2, "D")}, {kept(free, "u")}, {add(free, "1+more", "R")}) END, CASE WHEN gone THEN {add("p3", 2, "D")} ELSE least({add("p3", 2, "D")}, {kept("p2", "a")}, {add("p2", "1+more", "R")}) END
+    FROM (SELECT *, least(s3, {put("p2")}) AS p3 FROM (SELECT z.conv_id, f.i, s0 AS p0, s1 AS p1, least(s2, {put("s0")}, {put("s1")}, {put("s3")}) AS p2, s3, initial, fault IN ('b','d') AS gone, CASE fault WHEN 't' THEN 5 ELSE 0 END AS more FROM z JOIN f ON f.conv_id IS NOT DISTINCT FROM z.conv_id AND f.i=z.i+1))),
+  e AS (SELECT z.conv_id, least(s0, s3, {add(add("s1", 5, "I"), 5, "I")}, {put("s2")}) AS best FROM z JOIN s ON z.conv_id IS NOT DISTINCT FROM s.conv_id AND z.i=s.n),
+  a AS (SELECT conv_id, left(best, 10)::BIGINT AS cost, substr(best, 11) AS audit FROM e),
+  l AS (SELECT conv_id, unnest(string_split(audit, '')) AS letter, unnest(range(1, length(audit)+1)) AS k FROM a WHERE audit<>''),
+  p AS (SELECT *, count(*) FILTER (WHERE letter<>'I') OVER w AS i, count(*) FILTER (WHERE letter<>'D') OVER w AS k2 FROM l WINDOW w AS (PARTITION BY conv_id ORDER BY k)),
+  t AS (SELECT p.conv_id, p.letter, p.k2, f.role, f.text, max(CASE WHEN p.k2=1 AND p.letter='K' AND f.initial='s' THEN 1 ELSE 0 END) OVER (PARTITION BY p.conv_id) AS s FROM p LEFT JOIN f ON p.conv_id IS NOT DISTINCT FROM f.conv_id AND p.i=f.i WHERE p.letter<>'D'),
+  g AS (SELECT conv_id, string_agg(CASE letter WHEN 'K' THEN role||':'||text ELSE (CASE WHEN (k2-s)%2=1 THEN 'user' ELSE 'assistant' END)||':'||CASE letter WHEN 'R' THEN text ELSE '' END END, chr(10) ORDER BY k2) AS repaired FROM t GROUP BY conv_id)
+  SELECT q.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+  FROM (SELECT DISTINCT conv_id FROM conversations) q LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM q.conv_id LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM q.conv_id LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM q.conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_jaccard": JACCARD, "op6_substring": SUBSTRING, "op7_chat_format": CHAT, "op8_decontaminate": DECONTAMINATE, "op10_nearest": NEAREST, "op12_merkle": _merkle()}
+    return {"op5_jaccard": JACCARD, "op6_substring": SUBSTRING, "op7_chat_format": CHAT, "op8_decontaminate": DECONTAMINATE, "op10_nearest": NEAREST, "op12_merkle": _merkle(), "op13_repair": _repair()}

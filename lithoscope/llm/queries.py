@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, jaccard, language, merkle, oracle, packing, quality, substring, suffixes, token_store
+from . import ann, chat, decontaminate, jaccard, language, merkle, oracle, packing, quality, repair, substring, suffixes, token_store
 from .common import fold, table
 from .encoding import tokenizer_path
 
@@ -103,8 +103,14 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = repair.repair(repair.damaged(table(spark, sf_dir, "conversations")), present=F.col("present"))
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit(":"), t["text"]))
+    return done.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.sha2(F.array_join(lines, "\n"), 256).alias("repaired_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op2_pack, op3_suffixes, op4_quality, op5_jaccard, op6_substring, op7_chat_format, op8_decontaminate, op9_language, op10_nearest, op12_merkle)}
+    return {f.__name__: f for f in (op1_token_store, op2_pack, op3_suffixes, op4_quality, op5_jaccard, op6_substring, op7_chat_format, op8_decontaminate, op9_language, op10_nearest, op12_merkle, op13_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
