@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, jaccard, language, merkle, oracle, packing, quality, repair, substring, suffixes, token_store
-from .common import fold, table
+from . import ann, chat, decontaminate, jaccard, language, merkle, ngrams, oracle, packing, quality, repair, substring, suffixes, token_store
+from .common import fold, staged, table
 from .encoding import tokenizer_path
 
 
@@ -94,6 +94,15 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, vectors.where("id % 20 = 0"), k=20)
 
 
+def op11_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = ngrams.fit(docs, fold("doc_id", 10) != 0)
+    found = ngrams.score(docs, model).withColumnRenamed("id", "doc_id")
+    done = staged(found.select("doc_id", (fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score"), "scores")
+    model.scratch.clear()
+    return done
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = ["doc_id", "source", "lang", "n_chars", "text"]
     lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -110,7 +119,7 @@ def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op2_pack, op3_suffixes, op4_quality, op5_jaccard, op6_substring, op7_chat_format, op8_decontaminate, op9_language, op10_nearest, op12_merkle, op13_repair)}
+    return {f.__name__: f for f in (op1_token_store, op2_pack, op3_suffixes, op4_quality, op5_jaccard, op6_substring, op7_chat_format, op8_decontaminate, op9_language, op10_nearest, op11_score, op12_merkle, op13_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
