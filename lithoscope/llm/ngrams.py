@@ -47,7 +47,7 @@ from .words import BLANKS_LOWER, mixed, word_hashes
 ORDER, WEIGHT, ADDED = 2, 128.0, 0.1
 BASE, EVENT_BITS, BLOCK_BYTES = 1.5, 16, 4 << 20
 #: Largest filter, with its words, that is broadcast; tokens of documents that are worked on together.
-MOST_BYTES, PACK = 128 << 20, 1 << 21
+MOST_BYTES, PACK = 32 << 20, 1 << 21
 END, BEGIN = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 _K = np.uint64(0x9E3779B97F4A7C15)
 _MEANS = np.array([0.0] + [(np.ceil(BASE ** (j - 1)) + np.ceil(BASE**j) - 1) / 2 for j in range(1, 100)])
@@ -76,9 +76,25 @@ def blocks_of(hashes: np.ndarray, n_blocks: int) -> np.ndarray:
     return (((hashes >> np.uint64(32)) * np.uint64(n_blocks)) >> np.uint64(32)).astype(np.int64)
 
 
-def rests(hashes: np.ndarray) -> np.ndarray:
-    """What tells the n-grams of a block apart."""
-    return hashes.astype(np.uint32)
+def placed(hashes: np.ndarray, n_blocks: int) -> np.ndarray:
+    """The block of each n-gram in the high half, and in the low one what tells those of a block apart."""
+    return blocks_of(hashes, n_blocks).astype(np.uint64) << np.uint64(32) | hashes & np.uint64(0xFFFFFFFF)
+
+
+def rests(places: np.ndarray) -> np.ndarray:
+    return places.astype(np.uint32)
+
+
+def squeezed(keys: np.ndarray) -> bytes:
+    """Ascending keys: their differences, first bytes of all before second ones, compressed; the high ones are nearly all 0."""
+    steps = np.diff(keys, prepend=keys.dtype.type(0))
+    return zstandard.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(len(keys), keys.itemsize).T).tobytes(), 1)
+
+
+def spread(data: bytes, kind: type) -> np.ndarray:
+    """The keys that were ``squeezed``."""
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(kind).ravel(), dtype=kind)
 
 
 def totals(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,9 +149,9 @@ class Filter:
         order = np.argsort(keys)
         self.words, self.counts = keys[order], found[order]
 
-    def levels(self, hashes: np.ndarray) -> np.ndarray:
+    def levels(self, places: np.ndarray) -> np.ndarray:
         """The level that the filter gives each n-gram, 0 where it was never seen."""
-        out, rest, block = np.zeros(len(hashes), np.uint8), rests(hashes), blocks_of(hashes, self.n_blocks)
+        out, rest, block = np.zeros(len(places), np.uint8), rests(places), (places >> np.uint64(32)).astype(np.int64)
         size, start = self.size[block], self.start[block]
         left, j = np.flatnonzero(size), 1
         while len(left) and j < len(_MEANS):
@@ -181,20 +197,14 @@ class Model:
     scratch: Scratch
 
 
-def _by_block(n_blocks: int, *keys: np.ndarray) -> Iterator[tuple]:
-    """For each block into which some of the keys (each ascending) fall: its number and a slice of each."""
-    own = [blocks_of(k, n_blocks) for k in keys]
+def _by_block(*own: np.ndarray) -> Iterator[tuple]:
+    """For each block that occurs in some of the arrays (each ascending): its number and its slice of each."""
     present = np.unique(np.concatenate(own))
     ends = [(np.searchsorted(o, present).tolist(), np.searchsorted(o, present, side="right").tolist()) for o in own]
     for k, block in enumerate(present.tolist()):
         yield block, *[slice(a[k], b[k]) for a, b in ends]
 
 
-def _array(column: pa.Array, kind: type) -> np.ndarray:
-    """The numbers in a column of binary values, one value after the other."""
-    return np.frombuffer(b"".join(x for x in column.to_pylist() if x), kind)
-
-
 def fit(docs: DataFrame, learn: Column, order: int = ORDER) -> Model:
     """Count the n-grams of the rows of ``docs`` (text) where ``learn`` holds."""
     spark = docs.sparkSession
@@ -209,13 +219,13 @@ def fit(docs: DataFrame, learn: Column, order: int = ORDER) -> Model:
 
         def parts() -> pa.RecordBatch:
             words, word_counts = np.unique(np.concatenate([t for _, t in held]), return_counts=True)
-            found, counts = np.unique(np.concatenate([grams(t, b, k) for b, t in held for k in range(2, order + 1)] or [np.zeros(0, np.uint64)]), return_counts=True)
-            # blocks are ranges of hashes, so keys in order are in order of blocks; most n-grams come once, and need no count
+            found, counts = np.unique(np.concatenate([placed(grams(t, b, k), n_blocks) for b, t in held for k in range(2, order + 1)] or [np.zeros(0, np.uint64)]), return_counts=True)
+            # blocks are ranges of hashes, so words in order are in order of blocks; most n-grams come once, and need no count
             once, word_counts = counts == 1, word_counts.astype(np.uint32)
             ones, more, counts = found[once], found[~once], counts[~once].astype(np.uint32)
             rows = [
-                (block, words[w].tobytes(), word_counts[w].tobytes(), rests(ones[a]).tobytes(), rests(more[b]).tobytes(), counts[b].tobytes())
-                for block, w, a, b in _by_block(n_blocks, words, ones, more)
+                (block, squeezed(words[w]), zstandard.compress(word_counts[w].tobytes(), 1), squeezed(rests(ones[a])), squeezed(rests(more[b])), zstandard.compress(counts[b].tobytes(), 1))
+                for block, w, a, b in _by_block(blocks_of(words, n_blocks), ones >> np.uint64(32), more >> np.uint64(32))
             ]
             names = ["block", "words", "word_counts", "ones", "more", "counts"]
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if n == "block" else pa.binary()) for n, x in zip(names, zip(*rows))], names=names)
@@ -233,10 +243,12 @@ def fit(docs: DataFrame, learn: Column, order: int = ORDER) -> Model:
 
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in groups(batches, ["block"]):
-            get = lambda name, kind, own=own: _array(own.column(own.schema.get_field_index(name)), kind)
-            words, word_counts = totals(get("words", np.uint64), get("word_counts", np.uint32).astype(np.int64))
-            ones, more = get("ones", np.uint32), get("more", np.uint32)
-            rest, counts = totals(np.concatenate([ones, more]), np.concatenate([np.ones(len(ones), np.int64), get("counts", np.uint32).astype(np.int64)]))
+            column = lambda name, own=own: own.column(own.schema.get_field_index(name)).to_pylist()
+            keys = lambda name, kind: np.concatenate([spread(x, kind) for x in column(name)])
+            numbers = lambda name: np.frombuffer(b"".join(map(zstandard.decompress, column(name))), np.uint32).astype(np.int64)
+            words, word_counts = totals(keys("words", np.uint64), numbers("word_counts"))
+            ones, more = keys("ones", np.uint32), keys("more", np.uint32)
+            rest, counts = totals(np.concatenate([ones, more]), np.concatenate([np.ones(len(ones), np.int64), numbers("counts")]))
             row = [own.column(0)[0].as_py(), words.tobytes(), word_counts.tobytes(), made_filter(rest, counts).tobytes(), len(words), int(word_counts.sum())]
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()))], names=["block", "words", "word_counts", "bits", "n_words", "n_tokens"])
         release()
@@ -282,16 +294,16 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", weight: floa
         ends = int(whole.word_counts(np.array([END]))[0])
         for batch in slices(batches, 1):
             bounds, found = tokens(batch.column(1))
-            levels = [whole.levels(grams(found, bounds, k)) for k in range(2, order + 1)]
+            levels = [whole.levels(placed(grams(found, bounds, k), whole.n_blocks)) for k in range(2, order + 1)]
             yield _result(batch.column(0), scores(found, bounds, _word_counts(found, whole.word_counts), ends, levels, n, v, weight))
 
     return rows.mapInArrow(run, schema)
 
 
-def _asked(found: np.ndarray, bounds: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words and n-grams of a pack in order of their hashes, so of their blocks, and where each token's stand among them."""
+def _asked(found: np.ndarray, bounds: np.ndarray, order: int, n_blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words and places of n-grams of a pack in order, so in order of blocks, and where each token's stand among them."""
     words, at_word = np.unique(found, return_inverse=True)
-    every = np.concatenate([np.zeros(0, np.uint64), *[grams(found, bounds, k) for k in range(2, order + 1)]])
+    every = np.concatenate([np.zeros(0, np.uint64), *[placed(grams(found, bounds, k), n_blocks) for k in range(2, order + 1)]])
     asked, at_gram = np.unique(every, return_inverse=True)
     return words, at_word, asked, at_gram
 
@@ -334,8 +346,8 @@ def _routed(rows: DataFrame, model: Model, weight: float, schema: str) -> DataFr
         for batch in batches:
             for row in batch.to_pylist():
                 found, bounds = opened(row["words"], row["sizes"])
-                words, _, asked, _ = _asked(found, bounds, order)
-                out = [(block, words[w].tobytes(), rests(asked[a]).tobytes()) for block, w, a in _by_block(n_blocks, words, asked)]
+                words, _, asked, _ = _asked(found, bounds, order, n_blocks)
+                out = [(block, squeezed(words[w]), squeezed(rests(asked[a]))) for block, w, a in _by_block(blocks_of(words, n_blocks), asked >> np.uint64(32))]
                 blocks, of_words, of_grams = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([row["pack"]] * len(out), pa.int64()), pa.array(of_words, pa.binary()), pa.array(of_grams, pa.binary())], names=["block", "pack", "words", "rest"])
         release()
@@ -355,11 +367,8 @@ def _routed(rows: DataFrame, model: Model, weight: float, schema: str) -> DataFr
                     continue
                 if at != row["block"]:  # nothing was learned that falls into this block
                     at, own = row["block"], _loaded([], n_blocks)
-                rest = np.frombuffer(row["rest"], np.uint32)
-                # any hash of this block with these last bits is read alike
-                high = np.uint64(-(-(row["block"] << 32) // n_blocks)) << np.uint64(32)
-                levels = own.levels(high | rest.astype(np.uint64))
-                counts = own.word_counts(np.frombuffer(row["words"], np.uint64))
+                levels = own.levels(np.uint64(row["block"] << 32) | spread(row["rest"], np.uint32).astype(np.uint64))
+                counts = own.word_counts(spread(row["words"], np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array([row["pack"]], pa.int64()), pa.array([row["block"]], pa.int32()), pa.array([zstandard.compress(counts.tobytes(), 3)], pa.binary()), pa.array([zstandard.compress(levels.tobytes(), 3)], pa.binary())], names=["pack", "block", "counts", "levels"])
 
     answers = both.mapInArrow(answering, "pack long, block int, counts binary, levels binary")
@@ -373,7 +382,7 @@ def _routed(rows: DataFrame, model: Model, weight: float, schema: str) -> DataFr
             ids, sizes, words = get("ids")[:1].flatten(), get("sizes")[0].as_py(), get("words")[0].as_py()
             found, bounds = opened(words, sizes)
             whole = lambda name, kind: np.frombuffer(b"".join(zstandard.decompress(x) for x in get(name)[1:].to_pylist()), kind)
-            _, at_word, _, at_gram = _asked(found, bounds, order)
+            _, at_word, _, at_gram = _asked(found, bounds, order, n_blocks)
             levels = whole("levels", np.uint8)[at_gram].reshape(order - 1, -1)
             yield _result(ids, scores(found, bounds, whole("counts", np.int64)[at_word], ends, list(levels), n, v, weight))
         release()

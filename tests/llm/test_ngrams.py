@@ -98,11 +98,20 @@ def test_filter_is_never_low_and_rarely_high():
     known, n_blocks = slice(0, 150_000), 7
     block = ngrams.blocks_of(hashes[known], n_blocks)
     bits = [ngrams.made_filter(ngrams.rests(hashes[known][block == k]), counts[known][block == k]) for k in range(n_blocks)]
-    found = ngrams.Filter(list(range(n_blocks)), bits, [], [], n_blocks).levels(hashes)
+    found = ngrams.Filter(list(range(n_blocks)), bits, [], [], n_blocks).levels(ngrams.placed(hashes, n_blocks))
     true = ngrams.levels_of(counts[known])
     assert (found[known] >= true).all() and (found[known] > true).mean() < 0.02 and (found[150_000:] > 0).mean() < 0.02
 
 
+def test_keys_are_squeezed():
+    rng = np.random.default_rng(6)
+    for kind in (np.uint32, np.uint64):
+        for n in (0, 1, 5000):
+            keys = np.sort(rng.integers(0, np.iinfo(kind).max, n, dtype=kind, endpoint=True))
+            assert (ngrams.spread(ngrams.squeezed(keys), kind) == keys).all()
+            assert n < 100 or len(ngrams.squeezed(keys)) < 0.85 * keys.nbytes
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.01"
     got = queries.op11_score(spark, sf).collect()
