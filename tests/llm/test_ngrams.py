@@ -109,7 +109,7 @@ def test_keys_are_squeezed():
         for n in (0, 1, 5000):
             keys = np.sort(rng.integers(0, np.iinfo(kind).max, n, dtype=kind, endpoint=True))
             assert (ngrams.spread(ngrams.squeezed(keys), kind) == keys).all()
-            assert n < 100 or len(ngrams.squeezed(keys)) < 0.85 * keys.nbytes
+            assert n < 100 or len(ngrams.squeezed(keys)) < 0.9 * keys.nbytes
 
 
 def test_query(spark):
