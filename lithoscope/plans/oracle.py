@@ -251,6 +251,14 @@ def oracle_sql() -> dict[str, str]:
         n AS (SELECT floor((lon-x0)/0.25+1e-9)::BIGINT AS x, floor((lat-y0)/0.25+1e-9)::BIGINT AS y, count(*) AS n FROM s, b GROUP BY ALL),
         g AS (SELECT x, y, floor((x1-x0)/0.25+1e-12)::BIGINT+1 AS nx FROM b, LATERAL (SELECT unnest(range(floor((x1-x0)/0.25+1e-12)::BIGINT+1)) AS x), LATERAL (SELECT unnest(range(floor((y1-y0)/0.25+1e-12)::BIGINT+1)) AS y))
         SELECT y*nx+x AS id, coalesce(n, 0) AS n FROM g LEFT JOIN n USING (x, y)"""
+    # of all triples of stations around a site, the one of least weighted mean squared distance is its triangle
+    out["gm_scattered"] = f"""WITH s AS ({SITES}), p AS (SELECT DISTINCT lon, lat FROM s),
+      n AS (SELECT lon, lat, avg(a) AS a, avg(b) AS b, row_number() OVER (ORDER BY lon, lat) AS i FROM (SELECT 12+s_suppkey*157%400/100.0::DOUBLE AS lon, 45+s_suppkey*211%300/100.0::DOUBLE AS lat, s_acctbal AS a, CASE WHEN s_suppkey%7<>0 THEN s_suppkey::DOUBLE END AS b FROM supplier) GROUP BY lon, lat),
+      t AS (SELECT u.lon AS x0, u.lat AS y0, v.lon AS x1, v.lat AS y1, w.lon AS x2, w.lat AS y2, u.a AS a0, v.a AS a1, w.a AS a2, u.b AS b0, v.b AS b1, w.b AS b2, (v.lon-u.lon)*(w.lat-u.lat)-(w.lon-u.lon)*(v.lat-u.lat) AS area FROM n u JOIN n v ON u.i<v.i JOIN n w ON v.i<w.i),
+      k AS (SELECT p.lon, p.lat, t.*, ((x1-p.lon)*(y2-p.lat)-(x2-p.lon)*(y1-p.lat))/area AS w0, ((x2-p.lon)*(y0-p.lat)-(x0-p.lon)*(y2-p.lat))/area AS w1 FROM p JOIN t ON abs(area)>1e-9 AND p.lon>=least(x0,x1,x2)-1e-9 AND p.lon<=greatest(x0,x1,x2)+1e-9 AND p.lat>=least(y0,y1,y2)-1e-9 AND p.lat<=greatest(y0,y1,y2)+1e-9),
+      c AS (SELECT *, 1-w0-w1 AS w2, {"+".join(f"{w}*((x{j}-lon)*(x{j}-lon)+(y{j}-lat)*(y{j}-lat)+1e-7*(x{j}-lon)*(y{j}-lat))" for j, w in enumerate(("w0", "w1", "(1-w0-w1)")))} AS q FROM k WHERE w0>=-1e-10 AND w1>=-1e-10 AND w0+w1<=1+1e-10),
+      f AS (SELECT lon, lat, arg_min({"+".join(f"CASE WHEN w{j}>1e-10 THEN a{j}*w{j} ELSE 0 END" for j in range(3))}, q) AS a, arg_min(struct_pack(v := {"+".join(f"CASE WHEN w{j}>1e-10 THEN b{j}*w{j} ELSE 0 END" for j in range(3))}), q).v AS b FROM c GROUP BY lon, lat)
+      SELECT asset_id, round(a,5) AS a, round(b,5) AS b FROM s LEFT JOIN f USING (lon, lat)"""
     out["grid_interpolation"] = f"""WITH l AS ({LOCS}), g AS (SELECT floor(lon*4+1e-9)::BIGINT AS x, floor(lat*4+1e-9)::BIGINT AS y, avg(depth) AS v FROM l GROUP BY ALL),
         p AS (SELECT asset_id, floor(lon/0.25+1e-9)::BIGINT AS x, floor(lat/0.25+1e-9)::BIGINT AS y, lon/0.25 AS a, lat/0.25 AS b FROM ({SITES}))
         SELECT asset_id, round((1-(a-p.x))*(1-(b-p.y))*g0.v+(a-p.x)*(1-(b-p.y))*g1.v+(1-(a-p.x))*(b-p.y)*g2.v+(a-p.x)*(b-p.y)*g3.v,6) AS value FROM p

@@ -14,7 +14,7 @@ from ..functions import geo, hazard, site, time
 from ..functions import ground_motion as gm
 from ..operators import catalogue as cat
 from ..operators import hazard as hz
-from ..operators import exposure, impact, mesh, noise, records, waveform
+from ..operators import exposure, impact, mesh, noise, records, scattered, waveform
 from ..streaming import streams
 from . import views
 
@@ -282,6 +282,13 @@ def grid_interpolation(spark, d):
     return mesh.grid_values(grid, views.sites(spark, d).drop("elevation"), (0.0, 0.0), 0.25).select("asset_id", r(F.col("value")).alias("value"))
 
 
+@query
+def gm_scattered(spark, d):
+    """Balances of suppliers as measurements at scattered stations, at the sites."""
+    found = scattered.scattered_values(views.stations(spark, d), views.sites(spark, d).drop("elevation"), ["a", "b"])
+    return found.select("asset_id", r(F.col("a"), 5).alias("a"), r(F.col("b"), 5).alias("b"))
+
+
 # exposure
 
 

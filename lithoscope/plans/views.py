@@ -50,6 +50,12 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as stations all over the map: lon, lat, two measured values (b is missing at every seventh)."""
+    key = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select((12 + key * 157 % 400 / 100).alias("lon"), (45 + key * 211 % 300 / 100).alias("lat"), F.col("s_acctbal").alias("a"), F.when(key % 7 != 0, key.cast("double")).alias("b"))
+
+
 def typologies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units of each building type (part brand) an asset holds: asset_id, taxonomy, n."""
     lines, orders, parts = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "part"))
