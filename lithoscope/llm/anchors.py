@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups, internal, partitions, release, slices, staged
+from .common import groups, internal, others, partitions, release, slices, staged
 from .words import mixed
 
 FILTER_BITS, SLICE = 1 << 26, 1 << 18
@@ -343,4 +343,4 @@ def with_spans(docs: DataFrame, searched: DataFrame, find: Callable[[DataFrame],
     hashed = F.xxhash64("doc_id", "text")
     found = find(searched.select(F.col("doc_id").cast("long").alias("doc_id"), "text", hashed.alias("row"))).select(F.col("doc_id").alias(own), F.col("row").alias(other), F.col("spans").alias(spans))
     keyed = docs.withColumn(row, hashed)
-    return keyed.join(found, (F.col(row) == F.col(other)) & F.col("doc_id").cast("long").eqNullSafe(F.col(own)), "left").select(*docs.columns, spans)
+    return keyed.join(found, (F.col(row) == F.col(other)) & F.col("doc_id").cast("long").eqNullSafe(F.col(own)), "left").select(*others(docs), spans)

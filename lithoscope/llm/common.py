@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,7 +80,8 @@ BATCH_BYTES, SLICE_BYTES = 8 << 20, 2 << 20
 def bounded_batches(spark: SparkSession) -> None:
     """Bound the bytes of an Arrow batch, as a row may hold a very long text; the session's own bound stays where it is lower."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = int(spark.conf.get(key, str(64 << 20)).rstrip("bB") or 0)
+    text = spark.conf.get(key, "64m").strip()
+    now = 0 if text.startswith("-") else spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(text)
     if now <= 0 or now > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
@@ -149,6 +151,22 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Re
         yield joined()
 
 
+def others(df: DataFrame, *without: str) -> list[Column]:
+    """The columns of ``df`` but those named (names count without case), whatever characters their names have."""
+    gone = {c.lower() for c in without}
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c.lower() not in gone]
+
+
+def mapped(df: DataFrame, run: Callable, more: str, keep: int | None = None) -> DataFrame:
+    """``df`` through ``run`` (by ``mapInArrow``), which gives its first ``keep`` columns (all) and those that ``more`` declares.
+
+    Within ``run`` columns go by place, as they have names there that need no quoting.
+    """
+    keep = len(df.columns) if keep is None else keep
+    plain, made = df.toDF(*[f"_{k}" for k in range(len(df.columns))]), StructType.fromDDL(more)
+    return plain.mapInArrow(run, StructType([*plain.schema.fields[:keep], *made])).toDF(*df.columns[:keep], *made.names)
+
+
 def internal(columns: list[str], name: str) -> str:
     """``name``, or what it must be prolonged to so that it clashes with none of ``columns`` (names count without case)."""
     taken = {c.lower() for c in columns}

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, internal, kept, slices, staged
+from .common import bounded_batches, internal, kept, mapped, others, slices, staged
 
 SIZE = 10
 MOST_BYTES = 4 << 20
@@ -110,7 +110,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, most_bytes: in
     total = found.agg(F.sum("bytes")).first()[0] or 0
     blocks = -(-total // most_bytes) or 1
     found = found.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(blocks)))
-    out = docs.select([c for c in docs.columns if c.lower() not in ("n_words", "spans", "items")])
+    out = docs.select(others(docs, "n_words", "spans", "items"))
     for b in range(blocks):
         block = [(bytes(r.window), r["items"]) for r in found.where(F.col("block") == b).select("window", "items").toLocalIterator()]
         out = _one_pass(out, block, first=b == 0)
@@ -133,8 +133,7 @@ def _one_pass(docs: DataFrame, pairs: list[tuple[bytes, list[str]]], first: bool
             made = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(_SPAN)), pa.array([r[2] for r in rows], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n_columns], *made], names=[*batch.schema.names[:n_columns], "n_words", "spans", "items"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:n_columns])
-    return docs.mapInArrow(run, f"{fields}, {HITS}")
+    return mapped(docs, run, HITS, n_columns)
 
 
 def joined(spans: list[dict]) -> list[dict]:
@@ -152,4 +151,4 @@ def joined(spans: list[dict]) -> list[dict]:
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     """The documents in which no window of the benchmark occurs, columns as they were."""
     row = internal(["text", "n_words", "spans", "items"], "_row")
-    return mark(docs.select("text", F.struct(*docs.columns).alias(row)), benchmark, size).where(F.size("spans") == 0).select(f"{row}.*")
+    return mark(docs.select("text", F.struct(*others(docs)).alias(row)), benchmark, size).where(F.size("spans") == 0).select(f"{row}.*")

@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import bit_filter
-from .common import Scratch, bounded_batches, groups, partitions, release, slices, staged
+from .common import Scratch, bounded_batches, groups, others, partitions, release, slices, staged
 from .components import components
 from .words import mixed, shingle_sets
 
@@ -80,9 +80,9 @@ class Bands:
         return self.words(band) - self.most_apart(size + largest)
 
     def of(self, size: int) -> list[int]:
-        """The bands a set of this size is sketched for: its own and, if it may link there, the next."""
-        own = int(np.searchsorted(self.edges, size, side="right")) - 1
-        return [b for b in (own, own + 1) if b >= 0 and (b == own or size * 100 // self.percent >= self.edges[b])]
+        """The bands a set of this size is sketched for: its own, and all that a larger set which it may link with lies in."""
+        own, last = (int(np.searchsorted(self.edges, s, side="right")) - 1 for s in (size, size * 100 // self.percent))
+        return list(range(max(own, 0), last + 1))
 
 
 def sketch(members: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -411,4 +411,4 @@ def keep_one(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """
     found = near_duplicates(docs.select("doc_id", "text"), size, percent)
     losers = found.where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(losers, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(losers, "doc_id", "left_anti").select(others(docs))

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, slices
+from .common import bounded_batches, mapped, others, slices
 from .words import text_bytes
 
 UNDETERMINED = "und"
@@ -253,7 +253,7 @@ def fit(docs: DataFrame, learn_from: Column, per_language: int = PER_LANGUAGE) -
 def predict(docs: DataFrame, net: Reader | None) -> DataFrame:
     """``docs`` with lang_pred and score."""
     bounded_batches(docs.sparkSession)
-    docs = docs.select([c for c in docs.columns if c.lower() not in ("lang_pred", "score")])
+    docs = docs.select(others(docs, "lang_pred", "score"))
     if net is None:
         return docs.withColumn("lang_pred", F.lit(UNDETERMINED)).withColumn("score", F.lit(0.0))
     sent, at = docs.sparkSession.sparkContext.broadcast(net), docs.columns.index("text")
@@ -264,5 +264,4 @@ def predict(docs: DataFrame, net: Reader | None) -> DataFrame:
             langs, score = memory.documents(batch.column(at))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return mapped(docs, run, "lang_pred string, score double")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, internal, partitions, slices, staged
+from .common import bounded_batches, internal, others, partitions, slices, staged
 from .encoding import ENCODER, encoder
 
 CAPACITY, UNITS, GAP, MOST_COLUMNS = 2048, 128, 5e-4, 6000
@@ -158,7 +158,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, units: int = UNITS) -> Dat
     """
     spark = pieces.sparkSession
     buckets = partitions(spark)
-    pieces = pieces.select([c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")])
+    pieces = pieces.select(others(pieces, "sequence_id", "offset"))
     kind, bucket, number, lowest, highest, each, sequence, before_it, place, rank = (
         internal(pieces.columns, f"_{c}") for c in ("class", "bucket", "number", "from", "to", "each", "sequence", "before", "place", "rank")
     )
@@ -173,9 +173,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, units: int = UNITS) -> Dat
         used += times
     lookup = spark.createDataFrame(ranges, f"{kind} int, {lowest} long, {highest} long, {each} int, {sequence} long")
     before = Window.partitionBy(kind).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    # rows alike in all of these are alike in what they show, so a stage that is run again places them alike
+    order = [c for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens") if c in pieces.columns]
     first = counted.withColumn(before_it, F.coalesce(F.sum(number).over(before), F.lit(0))).drop(number)
     ranked = (
-        rows.withColumn(place, F.row_number().over(Window.partitionBy(kind, bucket).orderBy("doc_id", "start")))
+        rows.withColumn(place, F.row_number().over(Window.partitionBy(kind, bucket).orderBy(*order)))
         .join(first, [kind, bucket])
         .withColumn(rank, F.col(before_it) + F.col(place) - 1)
     )
@@ -185,7 +187,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, units: int = UNITS) -> Dat
     return (
         placed.withColumn("sequence_id", F.col(sequence) + F.floor((F.col(rank) - F.col(lowest)) / F.col(each)))
         .withColumn("offset", F.coalesce(F.sum("length").over(within), F.lit(0)))
-        .select(*pieces.columns, "sequence_id", "offset")
+        .select(*others(pieces), "sequence_id", "offset")
     )
 
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, release, slices
+from .common import bounded_batches, mapped, others, release, slices
 
 PER_LABEL, COLUMNS, DIMS, NEIGHBOURS, POWER, SLICE = 2_000, 2_048, 48, 25, 8.0, 2 << 20
 
@@ -157,7 +157,7 @@ def score(docs: DataFrame, voters: Voters) -> DataFrame:
     """``docs`` with a column ``score`` (0 to 1, higher: label 1 is likelier)."""
     bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(voters)
-    docs = docs.select([c for c in docs.columns if c.lower() != "score"])
+    docs = docs.select(others(docs, "score"))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,5 +165,4 @@ def score(docs: DataFrame, voters: Voters) -> DataFrame:
             made = sent.value.score(part.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.float64())], names=[*part.schema.names, "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, score double")
+    return mapped(docs, run, "score double")

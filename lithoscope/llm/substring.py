@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .anchors import covered, recurring_windows, with_spans
-from .common import bounded_batches, slices
+from .common import bounded_batches, mapped, others, slices
 from .words import BLANKS, word_hashes
 
 SIZE, GRAM = 13, 4
@@ -113,7 +113,7 @@ def remove_repeats(docs: DataFrame, joined_words: bool = False) -> DataFrame:
     stays as it was, or with ``joined_words`` becomes its words joined so too.
     """
     bounded_batches(docs.sparkSession)
-    docs = docs.select([c for c in docs.columns if c.lower() not in ("n_words", "n_removed", "spans")])
+    docs = docs.select(others(docs, "n_words", "n_removed", "spans"))
     find = lambda sources: recurring_windows(sources, lambda texts: word_hashes(texts, BLANKS), lambda part: part.tobytes(), SIZE, GRAM, True, search)
     joined = with_spans(docs, docs.where("doc_id is not null"), find)
     at, kept = docs.columns.index("text"), len(docs.columns)
@@ -136,6 +136,5 @@ def remove_repeats(docs: DataFrame, joined_words: bool = False) -> DataFrame:
             arrays += [pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))]
             yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:kept], "n_words", "n_removed", "spans"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.mapInArrow(run, f"{fields}, n_words long, n_removed long, spans array<struct<first:long,last:long>>")
+    return mapped(joined, run, "n_words long, n_removed long, spans array<struct<first:long,last:long>>", kept)
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .anchors import _BYTES, covered, recurring_windows, with_spans
-from .common import bounded_batches, slices
+from .common import bounded_batches, mapped, others, slices
 from .words import mixed, text_bytes
 
 SIZE, GRAM, STEP = 200, 64, 40
@@ -140,7 +140,7 @@ def search(groups: Iterator[list[dict]]) -> Iterator[tuple[int, int, bytes]]:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, ...) with kept (bytes), n_bytes, n_removed and spans (begin, end of each removed run, in bytes)."""
     bounded_batches(docs.sparkSession)
-    docs = docs.select([c for c in docs.columns if c.lower() not in ("kept", "n_bytes", "n_removed", "spans")])
+    docs = docs.select(others(docs, "kept", "n_bytes", "n_removed", "spans"))
     joined = with_spans(docs, docs, lambda sources: recurring_windows(sources, text_bytes, lambda part: part.tobytes(), SIZE, GRAM, False, search))
     at, n_columns = docs.columns.index("text"), len(docs.columns)
 
@@ -159,5 +159,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             arrays = [batch.column(i) for i in range(n_columns)] + [pa.array([m[i] for m in made], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:n_columns], "kept", "n_bytes", "n_removed", "spans"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.mapInArrow(run, f"{fields}, kept binary, n_bytes long, n_removed long, spans array<struct<begin:long,end:long>>")
+    return mapped(joined, run, "kept binary, n_bytes long, n_removed long, spans array<struct<begin:long,end:long>>", n_columns)

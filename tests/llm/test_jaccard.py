@@ -46,7 +46,7 @@ def test_query_is_brute_force(spark):
     assert sorted(map(tuple, queries.op5_jaccard(spark, sf).collect())) == brute(docs, 3, 90)
 
 
-@pytest.mark.parametrize(("size", "percent", "seed"), [(3, 90, 1), (5, 80, 2), (1, 50, 3)])
+@pytest.mark.parametrize(("size", "percent", "seed"), [(3, 90, 1), (5, 80, 2), (1, 50, 3), (1, 40, 4)])
 def test_planted_families(spark, size, percent, seed, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 4)
     rng, docs = random.Random(seed), []
@@ -97,3 +97,17 @@ def test_words_of_sliced_batches():
     texts = pa.array(["skip", "A b\tC", None, " é  x\n"]).slice(1)
     bounds, hashes = words.word_hashes(texts, words.BLANKS_LOWER)
     assert bounds.tolist() == [0, 3, 3, 5] and len(set(hashes.tolist())) == 5
+
+
+@pytest.mark.parametrize("percent", [40, 50, 60, 66, 80, 90])
+def test_no_sizes_are_too_far_apart(spark, percent):
+    """A set and parts of it, from the smallest that links with it on: their sizes differ by as much as the threshold allows."""
+    docs = []
+    for n in (3, 20, 100, 150):
+        base = [f"{n}w{k}" for k in range(n)]
+        least = -(-n * percent // 100)
+        for size in {least - 1, least, least + 1, (least + n) // 2, n}:
+            docs.append((len(docs), " ".join(base[:size])))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted(map(tuple, jaccard.near_duplicates(df, 1, percent).select("doc_id", "n_shingles", "component_id").collect()))
+    assert got == brute(docs, 1, percent)
