@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithoscope.llm import decontaminate, jaccard, packing, substring
-from lithoscope.llm.common import staged, table
+from lithoscope.llm.common import others, staged, table
 from lithoscope.llm.encoding import tokenizer_path
 from lithoscope.llm.queries import GOOD, quality_scores
 
@@ -20,7 +20,7 @@ SHINGLE, PERCENT = 5, 80
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes as good."""
-    return quality_scores(docs, spark, sf_dir).where(F.col("score") >= GOOD).select(docs.columns)
+    return quality_scores(docs, spark, sf_dir).where(F.col("score") >= GOOD).select(others(docs))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """All documents, without passages that a document of smaller doc_id has too; n_chars follows the text."""
     left = substring.remove_repeats(docs)
     length = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return left.withColumn("n_chars", length).select(docs.columns)
+    return left.withColumn("n_chars", length).select(others(docs))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
