@@ -14,7 +14,7 @@ from ..functions import geo, hazard, site, time
 from ..functions import ground_motion as gm
 from ..operators import catalogue as cat
 from ..operators import hazard as hz
-from ..operators import exposure, impact, mesh, noise, records, scattered, waveform
+from ..operators import exposure, impact, layered, mesh, noise, records, scattered, waveform
 from ..streaming import streams
 from . import views
 
@@ -574,6 +574,37 @@ def site_sh_transfer(spark, d):
     return records.apply(stacked, kernel, amplitude="array<double>").drop("delta")
 
 
+def _layers(spark, d):
+    """Profiles in km and km/s."""
+    part = lambda x: F.struct((x["hl"] / 1000).alias("hl"), (x["vs"] / 1000).alias("vs"), (x["dn"] / 1000).alias("dn"), x["qs"].alias("qs"))
+    return views.profiles(spark, d).select("site", F.transform("layers", part).alias("layers"))
+
+
+@query
+def site_dispersion(spark, d):
+    """Phase and group velocities of the first two modes of Rayleigh and Love waves."""
+    found = layered.dispersion(_layers(spark, d), [0.1, 0.3, 1.0], modes=2)
+    return found.select("site", "wave", "mode", "period", r(F.col("phase")).alias("phase"), r(F.col("grp"), 4).alias("grp"))
+
+
+@query
+def site_kernels(spark, d):
+    """The layer of each profile whose shear velocity the fundamental Rayleigh mode follows most, by period."""
+    slopes = layered.sensitivity(_layers(spark, d), [0.1, 0.5], waves=["rayleigh"]).where("parameter = 'vs' and slope is not null")
+    most = F.max(F.struct(F.abs("slope").alias("size"), F.col("layer"), F.col("slope")))
+    return slopes.groupBy("site", "period").agg(most.alias("m"), F.sum("slope").alias("total")).select("site", "period", "m.layer", r(F.col("m.slope"), 4).alias("slope"), r(F.col("total"), 4).alias("total"))
+
+
+@query
+def site_incident_waves(spark, d):
+    """Motion at the surface and at half the first layer for P, SV and SH waves from below."""
+    out = None
+    for wave, angle, depth in (("p", 0.3, 0.0), ("sv", 0.3, 0.0), ("sh", 0.0, 0.0), ("sh", 0.0, 0.005)):
+        one = layered.response(_layers(spark, d), [1.0, 5.0], wave, angle, depth).select("site", F.lit(wave).alias("wave"), F.lit(depth).alias("depth"), "freq", r(F.col("horizontal"), 5).alias("horizontal"), r(F.col("vertical"), 5).alias("vertical"))
+        out = one if out is None else out.union(one)
+    return out
+
+
 # streams
 
 
