@@ -49,12 +49,22 @@ def _integral(df: DataFrame, value: Column, delta: float) -> DataFrame:
     return cumulative_trapezoid(df, value, delta, "cum")
 
 
+def _area(value: Column, delta: float) -> Column:
+    """Integral of a source's values by trapezoids, as an aggregate.
+
+    All values count whole but the two at the ends.  They are added as decimals of
+    ten places, so their order does not matter and Spark adds parts before it shuffles.
+    """
+    ends = F.min_by(value, "i") + F.max_by(value, "i")
+    return (F.sum(value.cast("decimal(28,10)")).cast("double") - ends / 2) * delta
+
+
 def arias_intensity(df: DataFrame, delta: float) -> DataFrame:
-    return _integral(df, F.col("v") * F.col("v"), delta).groupBy("sid").agg((F.max_by("cum", "i") * math.pi / (2 * GRAVITY)).alias("arias"))
+    return df.groupBy("sid").agg((_area(F.col("v") * F.col("v"), delta) * math.pi / (2 * GRAVITY)).alias("arias"))
 
 
 def cumulative_absolute_velocity(df: DataFrame, delta: float) -> DataFrame:
-    return _integral(df, F.abs("v"), delta).groupBy("sid").agg(F.max_by("cum", "i").alias("cav"))
+    return df.groupBy("sid").agg(_area(F.abs("v"), delta).alias("cav"))
 
 
 def significant_duration(df: DataFrame, delta: float, low: float = 0.05, high: float = 0.95) -> DataFrame:
@@ -71,8 +81,7 @@ def bracketed_duration(df: DataFrame, threshold: float, delta: float) -> DataFra
 
 
 def root_mean_square(df: DataFrame, delta: float) -> DataFrame:
-    energy = _integral(df, F.col("v") * F.col("v"), delta)
-    return energy.groupBy("sid").agg(F.sqrt(F.max_by("cum", "i") / ((F.count("*") - 1) * delta)).alias("rms"))
+    return df.groupBy("sid").agg(F.sqrt(_area(F.col("v") * F.col("v"), delta) / F.nullif((F.count("*") - 1) * delta, F.lit(0.0))).alias("rms"))
 
 
 def moving_rms(df: DataFrame, half: int) -> DataFrame:

@@ -41,6 +41,30 @@ CAT = f"""WITH m AS ({MAGS}), l AS ({LOCS}), p AS (
 WAVE = """WITH w AS (SELECT user_id AS sid, row_number() OVER (PARTITION BY user_id ORDER BY ts)-1 AS i, epoch_us(ts)/1e6 AS t, value-245 AS v FROM events)"""
 
 
+def _area(value: str) -> str:
+    return f"((sum(({value})::DECIMAL(28,10))::DOUBLE-(min_by({value},i)+max_by({value},i))/2)*0.01::DOUBLE)"
+
+
+def _oscillators() -> str:
+    """Newmark's steps, one sample after the other."""
+    return f"""WITH RECURSIVE w AS ({WAVE.removeprefix("WITH w AS (")[:-1]}),
+      o AS (SELECT p, 4*pi()*0.05::DOUBLE/p AS c, pow(2*pi()/p,2) AS k FROM (SELECT unnest([0.1,0.5,1.0])::DOUBLE AS p)),
+      z(sid, p, c, k, i, d, v, a) AS (SELECT sid, p, c, k, i, 0.0::DOUBLE, 0.0::DOUBLE, -v::DOUBLE FROM w, o WHERE i=0
+        UNION ALL SELECT sid, p, c, k, i, nd, 2*(nd-d)/0.01::DOUBLE-v, 4*(nd-d-v*0.01::DOUBLE)/0.0001::DOUBLE-a FROM (
+          SELECT z.sid, p, c, k, w.i, d, z.v, a, (-w.v+d*(40000+2*c/0.01::DOUBLE)+z.v*(400+c)+a)/(k+2*c/0.01::DOUBLE+40000) AS nd FROM z JOIN w ON w.sid=z.sid AND w.i=z.i+1))
+      SELECT sid, p AS period, round(max(abs(d)),5) AS sd, round(max(abs(v)),5) AS sv, round(max(abs(c*v+k*d)),5) AS sa, round(2*pi()/p*max(abs(d)),5) AS psv, round(pow(2*pi()/p,2)*max(abs(d)),5) AS psa FROM z GROUP BY sid, p"""
+
+
+def _low_pass() -> str:
+    """A filter of second order as its difference equation."""
+    t = "tan(pi()*10*0.01::DOUBLE)"
+    return f"""WITH RECURSIVE w AS ({WAVE.removeprefix("WITH w AS (")[:-1]}),
+      q AS (SELECT t*t/n AS b, 2*(t*t-1)/n AS a1, (1-sqrt(2)*t+t*t)/n AS a2 FROM (SELECT {t} AS t, 1+sqrt(2)*{t}+{t}*{t} AS n)),
+      z(sid, i, x1, x2, y1, y2) AS (SELECT sid, i, v::DOUBLE, 0.0::DOUBLE, b*v, 0.0::DOUBLE FROM w, q WHERE i=0
+        UNION ALL SELECT z.sid, w.i, w.v, x1, b*(w.v+2*x1+x2)-a1*y1-a2*y2, y1 FROM z JOIN w ON w.sid=z.sid AND w.i=z.i+1, q)
+      SELECT sid, i AS k, round(y1,6) AS y FROM z"""
+
+
 def _gm(km: str) -> str:
     c = gm.BRAGATO_SLEJKO_PGA
     return f"(({c['a']}+({c['b']}+({c['c']})*5.5)*5.5+({c['d']}+{c['e']}*5.5*5.5*5.5)*log10(sqrt({km}*{km}+{c['h']}*{c['h']})))*{LN10})"
@@ -229,8 +253,8 @@ def oracle_sql() -> dict[str, str]:
         "sig_integral": f"{WAVE}, {_cum('v', 0.5)} SELECT sid, i, round(cum,4) AS integral FROM c",
         "sig_gradient": f"{WAVE} SELECT sid, i, round((CASE WHEN pv IS NULL THEN nv-v WHEN nv IS NULL THEN v-pv ELSE (nv-pv)/2 END)/0.5,6) AS slope FROM (SELECT *, lag(v) OVER o AS pv, lead(v) OVER o AS nv FROM w WINDOW o AS (PARTITION BY sid ORDER BY i))",
         "sig_peak": f"{WAVE} SELECT sid, round(a,6) AS peak, i FROM (SELECT sid, i, abs(v) AS a, row_number() OVER (PARTITION BY sid ORDER BY abs(v) DESC, i) AS n FROM w) WHERE n=1",
-        "sig_intensity": f"""{WAVE}, {_cum('v*v', 0.01)}, d AS (SELECT sid, max_by(cum,i) AS e, count(*) AS n FROM c GROUP BY sid), {_cum('abs(v)', 0.01).replace('c AS', 'k AS', 1)}
-            SELECT sid, round(e*pi()/(2*{gm.GRAVITY}),1) AS arias, round(max_by(k.cum,k.i),1) AS cav, round(sqrt(e/((n-1)*0.01)),1) AS rms FROM d JOIN k USING (sid) GROUP BY sid, e, n""",
+        "sig_intensity": f"""{WAVE}, x AS (SELECT sid, count(*) AS n, {_area("v*v")} AS e, {_area("abs(v)")} AS c FROM w GROUP BY sid)
+            SELECT sid, round(e*pi()/(2*{gm.GRAVITY}),2) AS arias, round(c,3) AS cav, round(sqrt(e/nullif((n-1)*0.01::DOUBLE,0)),3) AS rms FROM x""",
         "sig_durations": f"""{WAVE}, {_cum('v*v', 0.01)}, t AS (SELECT *, max(cum) OVER (PARTITION BY sid) AS total FROM c), s AS (SELECT sid, min(i) FILTER (WHERE cum>=0.95*total)-min(i) FILTER (WHERE cum>=0.05*total) AS d FROM t WHERE total>0 GROUP BY sid)
             SELECT sid, round(any_value(d)*0.01::DOUBLE,6) AS significant, round(coalesce(max(i) FILTER (WHERE abs(v)>=200)-min(i) FILTER (WHERE abs(v)>=200),0)*0.01::DOUBLE,6) AS bracketed FROM w JOIN s USING (sid) GROUP BY sid""",
         "sig_moving_rms": f"{WAVE} SELECT sid, i, round(sqrt(sum(v*v) OVER (PARTITION BY sid ORDER BY i ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)/7),4) AS rms FROM w",
@@ -267,8 +291,10 @@ def oracle_sql() -> dict[str, str]:
         count(*)>1 OR max(p_size%3)>1 AS aggregated, count(*) AS n, max_by(p_type, p_partkey) AS last FROM part GROUP BY p_brand"""
     out["exposure_taxonomies"] = "SELECT DISTINCT p_brand AS taxonomy FROM lineitem JOIN part ON l_partkey=p_partkey JOIN orders ON l_orderkey=o_orderkey"
     out["exposure_branches"] = impact("n", """SELECT taxonomy, model_id, count(*) AS assets, sum(k)::BIGINT AS units FROM (SELECT taxonomy, model_id, floor(n*weight+1e-9)::BIGINT AS k FROM ty JOIN tm USING (taxonomy)) WHERE k>0 GROUP BY ALL""")
-    tone = lambda k: f"round((pow(sum(v*cos(2*pi()*{k}*i/n)),2)+pow(sum(v*sin(2*pi()*{k}*i/n)),2))*0.25,3) AS p{k}"
-    out["sig_spectrum"] = f"{WAVE}, d AS (SELECT sid, i, v-avg(v) OVER o AS v, count(*) OVER o AS n FROM w WINDOW o AS (PARTITION BY sid)) SELECT sid, {tone(1)}, {tone(2)}, {tone(3)} FROM d WHERE n>=8 GROUP BY sid"
+    tone = lambda k: f"CASE WHEN max(n)>={2 * k} THEN round((pow(sum(v*cos(2*pi()*{k}*i/n)),2)+pow(sum(v*sin(2*pi()*{k}*i/n)),2))*0.25,3) END AS p{k}"
+    out["sig_spectrum"] = f"{WAVE}, d AS (SELECT sid, i, v-avg(v) OVER o AS v, count(*) OVER o AS n FROM w WINDOW o AS (PARTITION BY sid)) SELECT sid, {tone(1)}, {tone(2)}, {tone(3)} FROM d GROUP BY sid"
+    out["sig_response_spectrum"] = _oscillators()
+    out["sig_causal_filter"] = _low_pass()
     out["stream_tumbling"] = "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS \"begin\", user_id AS sid, count(*) AS n, round(sum(value),4) AS total FROM events GROUP BY ALL"
     out["stream_sliding"] = "SELECT time_bucket(INTERVAL 1 HOUR, ts)-k*INTERVAL 1 HOUR AS \"begin\", user_id AS sid, count(*) AS n, round(sum(value),4) AS total FROM events, (SELECT unnest([0,1]) AS k) GROUP BY ALL"
     out["stream_segments"] = """WITH g AS (SELECT user_id AS sid, ts, CASE WHEN lag(ts) OVER o IS NULL OR ts-lag(ts) OVER o>INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS nw FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts)),

@@ -14,7 +14,7 @@ from ..functions import geo, hazard, site, time
 from ..functions import ground_motion as gm
 from ..operators import catalogue as cat
 from ..operators import hazard as hz
-from ..operators import exposure, impact, layered, mesh, noise, records, scattered, waveform
+from ..operators import exposure, impact, layered, mesh, noise, records, recursive, scattered, waveform
 from ..streaming import streams
 from . import views
 
@@ -409,7 +409,7 @@ def sig_peak(spark, d):
 def sig_intensity(spark, d):
     w = _w(spark, d)
     out = waveform.arias_intensity(w, 0.01).join(waveform.cumulative_absolute_velocity(w, 0.01), "sid").join(waveform.root_mean_square(w, 0.01), "sid")
-    return out.select("sid", r(F.col("arias"), 1).alias("arias"), r(F.col("cav"), 1).alias("cav"), r(F.col("rms"), 1).alias("rms"))
+    return out.select("sid", r(F.col("arias"), 2).alias("arias"), r(F.col("cav"), 3).alias("cav"), r(F.col("rms"), 3).alias("rms"))
 
 
 @query
@@ -532,23 +532,30 @@ def noise_directions(spark, d):
 
 @query
 def sig_spectrum(spark, d):
-    """Power at the first frequencies of each source's record."""
-
-    def kernel(x, delta):
-        power = np.abs(records.spectrum(x - x.mean(), delta)[1]) ** 2
-        return {"p1": power[1], "p2": power[2], "p3": power[3]}
-
-    long = records.from_samples(_w(spark, d), 0.5).where(F.size("data") >= 8)
-    out = records.apply(long, kernel, p1="double", p2="double", p3="double")
-    return out.select(F.col("sid").cast("long").alias("sid"), *(r(F.col(c), 3).alias(c) for c in ("p1", "p2", "p3")))
+    """Power at the first three frequencies of each source's record; none where the record is too short to have them."""
+    w = _w(spark, d)
+    whole = w.groupBy("sid").agg(F.count("*").alias("n"), F.avg("v").alias("mean"))
+    turn = lambda k: 2 * np.pi * k * F.col("i") / F.col("n")
+    v = F.col("v") - F.col("mean")
+    sums = [f(v * g(turn(k))) for k in (1, 2, 3) for f, g in ((F.sum, F.cos), (F.sum, F.sin))]
+    # the sums are added up in parts before the shuffle, so a source's record never lies in one task
+    rows = w.join(whole, "sid").groupBy("sid", "n").agg(*[x.alias(f"x{j}") for j, x in enumerate(sums)])
+    power = lambda k: F.when(F.col("n") >= 2 * k, (F.col(f"x{2 * k - 2}") ** 2 + F.col(f"x{2 * k - 1}") ** 2) * 0.25)
+    return rows.select("sid", *(r(power(k), 3).alias(f"p{k}") for k in (1, 2, 3)))
 
 
 @query
 def sig_response_spectrum(spark, d):
-    def kernel(x, delta):
-        return {k: v.tolist() for k, v in records.response_spectrum(x, delta, np.array([0.1, 0.5, 1.0])).items()}
+    """Peaks of oscillators of three periods under each source's record."""
+    found = recursive.response_spectrum(_w(spark, d), 0.01, [0.1, 0.5, 1.0])
+    return found.select("sid", "period", *(r(F.col(c), 5).alias(c) for c in ("sd", "sv", "sa", "psv", "psa")))
+
 
-    return records.apply(records.from_samples(_w(spark, d), 0.01), kernel, sd="array<double>", sv="array<double>", sa="array<double>", psv="array<double>", psa="array<double>")
+@query
+def sig_causal_filter(spark, d):
+    """Each source's record through a causal low-pass filter of second order."""
+    found = recursive.filtered(_w(spark, d), recursive.butterworth(0.01, lowpass=10.0, order=2))
+    return found.select("sid", "k", r(F.col("y")).alias("y"))
 
 
 @query
