@@ -2,8 +2,9 @@
 
 A profile is an array of layers (hl, vs, dn, and vp or a ratio to vs; the last one
 is the half-space); velocities, thickness and density may be in any units that fit
-each other.  Each profile is worked on for all periods, trial velocities and modes
-at once, over Arrow batches, without a shuffle.
+each other.  Profiles with equally
+many layers are worked on together, for all periods, trial velocities and modes at
+once, over Arrow batches.
 
 Rayleigh waves: depth is counted in wavelengths (times 2 pi), so that the matrix of
 motion and stress holds the phase velocity alone.  Its 2 x 2 minors obey a system
@@ -33,7 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-STEPS, HALVINGS, OFF, NUDGE = 400, 48, 0.025, 1e-5
+STEPS, HALVINGS, OFF, NUDGE = 400, 45, 0.025, 1e-5
+#: Trial velocities that are worked on together.
+TOGETHER = 1 << 17
 PARAMETERS = ("hl", "vp", "vs", "dn")
 
 
@@ -44,6 +47,14 @@ class Layers:
     vs: np.ndarray
     dn: np.ndarray
 
+    def alone(self) -> Layers:
+        """As the only one of several profiles."""
+        return Layers(*(x[:, None] for x in (self.hl, self.vp, self.vs, self.dn)))
+
+    def at(self, profiles: np.ndarray, more: tuple[int, ...] = ()) -> Layers:
+        """Of several profiles, the values for each of ``profiles``, with further axes."""
+        return Layers(*(x[:, profiles].reshape(len(x), len(profiles), *more) for x in (self.hl, self.vp, self.vs, self.dn)))
+
     @classmethod
     def of(cls, layers: list[dict], vp_ratio: float) -> Layers | None:
         get = lambda k: np.array([np.nan if x.get(k) is None else x[k] for x in layers], float)
@@ -124,36 +135,53 @@ def secular(wave: str, c: np.ndarray, period: np.ndarray, m: Layers) -> np.ndarr
     return WAVES[wave](c, lambda j: 2 * np.pi * m.hl[j] / (period * c), m)
 
 
-def phase_velocity(wave: str, periods: Sequence[float], m: Layers, modes: int = 1, steps: int = STEPS) -> np.ndarray:
-    """Velocities, periods by modes; nan where a mode does not exist."""
-    t, out = np.asarray(periods, float), np.full((len(periods), modes), np.nan)
+def _every_phase(wave: str, t: np.ndarray, m: Layers, modes: int, steps: int) -> np.ndarray:
+    """Velocities of profiles with equally many layers (values are layers by profiles): profiles by periods by modes."""
+    out = np.full((m.vs.shape[1], len(t), modes), np.nan)
+    low, high = m.vs.min(0) * (0.8 if wave == "rayleigh" else 1), m.vs[-1]
+    some = np.flatnonzero(low < high)
     if wave == "love" and len(m.vs) < 2:
         return out
-    low, high = m.vs.min() * (0.8 if wave == "rayleigh" else 1), m.vs[-1]
-    if not low < high:
-        return out
-    c = low * (high / low) ** ((np.arange(steps) + 0.5) / steps)
-    f = secular(wave, np.broadcast_to(c, (len(t), steps)).copy(), np.broadcast_to(t[:, None], (len(t), steps)), m)
-    rows, at = np.nonzero(f[:, :-1] * f[:, 1:] < 0)
-    mode = np.arange(len(rows)) - np.searchsorted(rows, rows)
-    rows, at, mode = (v[mode < modes] for v in (rows, at, mode))
-    a, b, fa = c[at], c[at + 1], f[rows, at]
-    for _ in range(HALVINGS if len(rows) else 0):
-        mid = (a + b) / 2
-        fm = secular(wave, mid, t[rows], m)
-        same = fa * fm > 0
-        a, b = np.where(same, mid, a), np.where(same, b, mid)
-    out[rows, mode] = (a + b) / 2
+    width = max(1, TOGETHER // (len(t) * steps))
+    for own in (some[k : k + width] for k in range(0, len(some), width)):
+        c = low[own, None, None] * ((high / low)[own, None, None] ** ((np.arange(steps) + 0.5) / steps))
+        c = np.broadcast_to(c, (len(own), len(t), steps)).copy()
+        f = secular(wave, c, t[:, None], m.at(own, (1, 1)))
+        profile, row, at = np.nonzero(f[:, :, :-1] * f[:, :, 1:] < 0)
+        key = profile * len(t) + row
+        mode = np.arange(len(key)) - np.searchsorted(key, key)
+        profile, row, at, mode = (v[mode < modes] for v in (profile, row, at, mode))
+        if len(profile):
+            ends = [(c[profile, row, k], f[profile, row, k]) for k in (at, at + 1)]
+            out[own[profile], row, mode] = _root(lambda x, t=t[row], m=m.at(own[profile]): secular(wave, x, t, m), *ends)
     return out
 
 
-def group_velocity(wave: str, periods: Sequence[float], m: Layers, modes: int = 1, steps: int = STEPS) -> np.ndarray:
-    t = np.asarray(periods, float)
+def _root(f: Callable[[np.ndarray], np.ndarray], one: tuple, two: tuple) -> np.ndarray:
+    """Roots between pairs of places (and values of other signs), by halving."""
+    (a, fa), (b, _) = one, two
+    for _ in range(HALVINGS):
+        middle = (a + b) / 2
+        same = f(middle) * fa > 0
+        a, b = np.where(same, middle, a), np.where(same, b, middle)
+    return (a + b) / 2
+
+
+def phase_velocity(wave: str, periods: Sequence[float], m: Layers, modes: int = 1, steps: int = STEPS) -> np.ndarray:
+    """Velocities, periods by modes; nan where a mode does not exist."""
+    return _every_phase(wave, np.asarray(periods, float), m.alone(), modes, steps)[0]
+
+
+def _every_group(wave: str, t: np.ndarray, m: Layers, modes: int, steps: int = STEPS) -> np.ndarray:
     one, two = t / (1 + OFF), t / (1 - OFF)
-    a, b = (phase_velocity(wave, x, m, modes, steps) for x in (one, two))
+    a, b = (_every_phase(wave, x, m, modes, steps) for x in (one, two))
     return (1 / one - 1 / two)[:, None] / (1 / (one[:, None] * a) - 1 / (two[:, None] * b))
 
 
+def group_velocity(wave: str, periods: Sequence[float], m: Layers, modes: int = 1, steps: int = STEPS) -> np.ndarray:
+    return _every_group(wave, np.asarray(periods, float), m.alone(), modes, steps)[0]
+
+
 def _slope(wave: str, c: np.ndarray, t: np.ndarray, m: Layers, name: str, j: int) -> np.ndarray:
     """Derivative of roots by one layer's parameter."""
     value = getattr(m, name)
@@ -168,20 +196,20 @@ def _slope(wave: str, c: np.ndarray, t: np.ndarray, m: Layers, name: str, j: int
     return -by_p / by_c
 
 
-def kernels(wave: str, periods: Sequence[float], m: Layers, modes: int = 1, group: bool = False) -> np.ndarray:
-    """Derivatives of velocities: periods by modes by PARAMETERS by layers (nan where a mode does not exist)."""
-    t = np.asarray(periods, float)
-    out = np.full((len(t), modes, len(PARAMETERS), len(m.vs)), np.nan)
+def _every_kernel(wave: str, t: np.ndarray, m: Layers, modes: int, group: bool) -> np.ndarray:
+    """Profiles by periods by modes by PARAMETERS by layers."""
+    out = np.full((m.vs.shape[1], len(t), modes, len(PARAMETERS), len(m.vs)), np.nan)
     times = (t / (1 + OFF), t / (1 - OFF)) if group else (t,)
-    found = [phase_velocity(wave, x, m, modes) for x in times]
+    found = [_every_phase(wave, x, m, modes, STEPS) for x in times]
     some = ~np.isnan(found).any(0)
-    grid = [np.broadcast_to(x[:, None], some.shape)[some] for x in times]
+    profile, row, _ = np.nonzero(some)
+    grid, own = [x[row] for x in times], m.at(profile)
     for i, name in enumerate(PARAMETERS):
         for j in range(len(m.vs)):
             if (name == "hl" and j == len(m.vs) - 1) or (name == "vp" and wave == "love"):
                 out[some, i, j] = 0.0
                 continue
-            slopes = [_slope(wave, c[some], x, m, name, j) for c, x in zip(found, grid)]
+            slopes = [_slope(wave, c[some], x, own, name, j) for c, x in zip(found, grid)]
             if group:
                 # U = (f1 - f2) / (f1 / c1 - f2 / c2)
                 (c1, c2), (t1, t2) = (c[some] for c in found), grid
@@ -191,6 +219,11 @@ def kernels(wave: str, periods: Sequence[float], m: Layers, modes: int = 1, grou
     return out
 
 
+def kernels(wave: str, periods: Sequence[float], m: Layers, modes: int = 1, group: bool = False) -> np.ndarray:
+    """Derivatives of velocities: periods by modes by PARAMETERS by layers (nan where a mode does not exist)."""
+    return _every_kernel(wave, np.asarray(periods, float), m.alone(), modes, group)[0]
+
+
 # waves from below
 
 
@@ -274,41 +307,57 @@ def sh_at_depth(freq: np.ndarray, hl: np.ndarray, vs: np.ndarray, dn: np.ndarray
 # frames
 
 
-def _over_profiles(profiles: DataFrame, schema: str, work: Callable[[list[dict]], list[tuple]]) -> DataFrame:
-    """Rows that ``work`` makes of the layers of each profile (site, layers)."""
+def _over_profiles(profiles: DataFrame, schema: str, work: Callable[[list[list[dict]]], list[list[tuple]]]) -> DataFrame:
+    """Rows that ``work`` makes of the layers of each profile (site, layers), dealt out to all tasks as they are few and dear."""
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(site, *r) for site, layers in zip(*(c.to_pylist() for c in batch.columns)) for r in work(layers or [])]
-            kinds = [batch.schema.field(0).type, *(pa.string() if x.split()[1] == "string" else pa.int32() if x.split()[1] == "int" else pa.float64() for x in schema.split(", "))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind, from_pandas=True) for k, kind in enumerate(kinds)], names=["site", *names])
+        for whole in batches:
+            for k in range(0, whole.num_rows, 256):
+                sites, layers = (c.to_pylist() for c in whole.slice(k, 256).columns)
+                rows = [(site, *r) for site, own in zip(sites, work([x or [] for x in layers])) for r in own]
+                kinds = [whole.schema.field(0).type, *({"string": pa.string(), "int": pa.int32(), "double": pa.float64()}[x.split()[1]] for x in schema.split(", "))]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind, from_pandas=True) for i, kind in enumerate(kinds)], names=["site", *names])
+
+    kind, spark = profiles.schema["site"].dataType.simpleString(), profiles.sparkSession
+    dealt = profiles.select("site", "layers").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.mapInArrow(run, f"site {kind}, {schema}")
+
 
-    kind = profiles.schema["site"].dataType.simpleString()
-    return profiles.select("site", "layers").mapInArrow(run, f"site {kind}, {schema}")
+def _alike(profiles: list[list[dict]], vp_ratio: float) -> Iterator[tuple[list[int], Layers]]:
+    """The valid ones of profiles by their number of layers: places and values, layers by profiles."""
+    found: dict[int, list[tuple[int, Layers]]] = {}
+    for k, layers in enumerate(profiles):
+        if (m := Layers.of(layers, vp_ratio)) is not None:
+            found.setdefault(len(layers), []).append((k, m))
+    for own in found.values():
+        yield [k for k, _ in own], Layers(*(np.stack([getattr(m, n) for _, m in own], 1) for n in ("hl", "vp", "vs", "dn")))
 
 
 def dispersion(profiles: DataFrame, periods: Sequence[float], waves: Sequence[str] = ("rayleigh", "love"), modes: int = 1, vp_ratio: float = 3**0.5) -> DataFrame:
     """site, wave, mode, period, phase, grp (velocities, null beyond a cut-off): a row for each of them, of profiles (site, layers)."""
+    t = np.asarray(periods, float)
 
-    def work(layers: list[dict]) -> list[tuple]:
-        m, out = Layers.of(layers, vp_ratio), []
-        for wave in waves:
-            both = [f(wave, periods, m, modes) if m else np.full((len(periods), modes), np.nan) for f in (phase_velocity, group_velocity)]
-            out += [(wave, k, float(t), float(both[0][i, k]), float(both[1][i, k])) for i, t in enumerate(periods) for k in range(modes)]
-        return out
+    def work(own: list[list[dict]]) -> list[list[tuple]]:
+        both = np.full((2, len(waves), len(own), len(t), modes), np.nan)
+        for at, m in _alike(own, vp_ratio):
+            for w, wave in enumerate(waves):
+                both[0, w, at], both[1, w, at] = _every_phase(wave, t, m, modes, STEPS), _every_group(wave, t, m, modes)
+        return [[(wave, k, float(t[i]), float(both[0, w, p, i, k]), float(both[1, w, p, i, k])) for w, wave in enumerate(waves) for i in range(len(t)) for k in range(modes)] for p in range(len(own))]
 
     return _over_profiles(profiles, "wave string, mode int, period double, phase double, grp double", work)
 
 
 def sensitivity(profiles: DataFrame, periods: Sequence[float], waves: Sequence[str] = ("rayleigh", "love"), modes: int = 1, group: bool = False, vp_ratio: float = 3**0.5) -> DataFrame:
     """site, wave, mode, period, parameter, layer (from 1), slope: how velocities follow each parameter of each layer."""
+    t = np.asarray(periods, float)
 
-    def work(layers: list[dict]) -> list[tuple]:
-        m, out = Layers.of(layers, vp_ratio), []
-        for wave in waves if m else ():
-            k = kernels(wave, periods, m, modes, group)
-            out += [(wave, i, float(t), name, j + 1, float(k[a, i, b, j])) for a, t in enumerate(periods) for i in range(modes) for b, name in enumerate(PARAMETERS) for j in range(len(layers))]
+    def work(own: list[list[dict]]) -> list[list[tuple]]:
+        out: list[list[tuple]] = [[] for _ in own]
+        for at, m in _alike(own, vp_ratio):
+            for wave in waves:
+                for p, k in zip(at, _every_kernel(wave, t, m, modes, group)):
+                    out[p] += [(wave, i, float(t[a]), name, j + 1, float(k[a, i, b, j])) for a in range(len(t)) for i in range(modes) for b, name in enumerate(PARAMETERS) for j in range(k.shape[-1])]
         return out
 
     return _over_profiles(profiles, "wave string, mode int, period double, parameter string, layer int, slope double", work)
@@ -321,7 +370,7 @@ def response(profiles: DataFrame, freq: Sequence[float], wave: str = "sv", angle
     """
     freq = [float(f) for f in freq]
 
-    def work(layers: list[dict]) -> list[tuple]:
+    def one(layers: list[dict]) -> list[tuple]:
         m = Layers.of(layers, vp_ratio)
         if m is None:
             return [(f, np.nan, np.nan) for f in freq]
@@ -332,4 +381,4 @@ def response(profiles: DataFrame, freq: Sequence[float], wave: str = "sv", angle
             h, v = incident(np.array(freq), wave, angle, m, q("qp"), q("qs"), depth)
         return list(zip(freq, np.abs(h).tolist(), np.abs(v).tolist()))
 
-    return _over_profiles(profiles, "freq double, horizontal double, vertical double", work)
+    return _over_profiles(profiles, "freq double, horizontal double, vertical double", lambda own: [one(x) for x in own])
