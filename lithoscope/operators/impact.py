@@ -114,6 +114,41 @@ def asset_damage(damage: DataFrame, uniform: bool = False, typologies: DataFrame
     return mixed.select("asset_id", "n_units", "levels", weighted_mean(F.col("parts")).alias("p"), expected.alias("expected"))
 
 
+def scenario(assets: DataFrame, typologies: DataFrame, taxonomy_map: DataFrame, fragility: DataFrame, uniform: bool = False) -> DataFrame:
+    """What ``asset_damage`` makes of ``typology_damage``, with each model worked out once for an asset.
+
+    Mixing is linear, so the units that an asset's typologies give a model are added
+    up first; probabilities of a level are plain columns, in generated code.
+    Typologies without a model are left out, and weights that are not positive and
+    finite; models of one asset have levels alike.
+    """
+    usable = lambda w: (w > 0) & (w < float("inf"))
+    weighted = taxonomy_map.join(fragility.select("model_id").distinct(), "model_id", "left_semi").where(usable(F.col("weight")))
+    shares = weighted.join(weighted.groupBy("taxonomy").agg(F.sum("weight").alias("total")), "taxonomy").select("taxonomy", "model_id", (F.col("weight") / F.col("total")).alias("share"))
+    n = F.col("n").cast("double")
+    mixing = F.lit(1.0) if uniform else F.when(usable(n), n).otherwise(0.0)
+    held = typologies.join(shares, "taxonomy").groupBy("asset_id", "model_id").agg(F.sum(n * F.col("share")).alias("units"), F.sum(mixing * F.col("share")).alias("mix"))
+    # as many columns as a damage scale has levels
+    most = fragility.agg(F.max("level_ord")).first()[0] or 0
+    curves = fragility.groupBy("model_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("level_ord", "level"))), lambda x: x["level"]).alias("levels"), *[F.max(F.when(F.col("level_ord") == k + 1, F.col(c))).alias(f"{c}{k}") for k in range(most) for c in ("theta", "beta")])
+    rows = held.join(curves, "model_id").join(assets.select("asset_id", "median", "sigma"), "asset_id")
+    rows = rows.select("*", *[(F.log(F.col("median") / F.col(f"theta{k}")) / F.sqrt(F.col(f"beta{k}") * F.col(f"beta{k}") + F.col("sigma") * F.col("sigma"))).alias(f"z{k}") for k in range(most)])
+    rows = rows.select("asset_id", "units", "mix", "levels", *[F.when(F.col(f"theta{k}").isNotNull(), F.when(F.col("median") > 0, fr.norm_cdf(F.col(f"z{k}"))).otherwise(0.0)).alias(f"e{k}") for k in range(most)])
+    # exceedance never rises from one level to the next
+    rows = rows.select("asset_id", "units", "mix", "levels", *[F.least(*[F.col(f"e{j}") for j in range(k + 1)]).alias(f"e{k}") if k else F.col("e0") for k in range(most)])
+    edges = [F.lit(1.0), *[F.when(F.size("levels") > k, F.col(f"e{k}")).otherwise(0.0) for k in range(most)], F.lit(0.0)]
+    states = [edges[k] - edges[k + 1] for k in range(most + 1)]
+    done = rows.groupBy("asset_id").agg(
+        F.round(F.sum("units"), 9).alias("n_units"),
+        F.first("levels").alias("levels"),
+        F.sum("mix").alias("mix"),
+        *[F.sum(F.col(w) * p).alias(f"{w}{k}") for k, p in enumerate(states) for w in ("units", "mix")],
+    )
+    sums = lambda w: F.slice(F.array(*[F.col(f"{w}{k}") for k in range(most + 1)]), F.lit(1), F.size("levels") + 1)
+    mixed = F.when(F.col("mix") > 0, F.transform(sums("mix"), lambda x: x / F.col("mix")))
+    return done.select("asset_id", "n_units", "levels", mixed.alias("p"), sums("units").alias("expected"))
+
+
 def by_level(result: DataFrame) -> DataFrame:
     """One row for each asset and state: level (of what is not exceeded, and the tail), prob, expected."""
     names = F.concat("levels", F.array(F.lit(TAIL)))

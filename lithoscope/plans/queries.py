@@ -36,8 +36,7 @@ def r(x: Column, places: int = 6) -> Column:
 
 def _result(spark: SparkSession, d: str, uniform: bool = False) -> DataFrame:
     assets = impact.ground_motion(views.sites(spark, d), **EVENT)
-    damage = impact.typology_damage(assets, views.typologies(spark, d), views.taxonomy_map(spark, d), views.fragility(spark, d))
-    return impact.asset_damage(damage, uniform)
+    return impact.scenario(assets, views.typologies(spark, d), views.taxonomy_map(spark, d), views.fragility(spark, d), uniform)
 
 
 @query

@@ -66,3 +66,26 @@ def read_dyna(spark: SparkSession, path: str) -> DataFrame:
         head("SAMPLING_INTERVAL_S").cast("double").alias("delta"),
         F.transform(samples, lambda x: F.trim(x).cast("double")).alias("data"),
     )
+
+
+def parse_dyna(text: str) -> dict:
+    """One record of the format: sid, t0, delta, data."""
+    lines = text.replace("\r", "").split("\n")
+    head = dict(line.split(":", 1) for line in lines[:DYNA_HEADER] if ":" in line)
+    known = {key.strip(): value.strip() for key, value in head.items()}
+    start = None
+    for form in ("%Y%m%d_%H%M%S.%f", "%Y%m%d_%H%M%S"):
+        try:
+            start = datetime.strptime(known.get("DATE_TIME_FIRST_SAMPLE_YYYYMMDD_HHMMSS", ""), form)
+            break
+        except ValueError:
+            continue
+    sid = ".".join(known.get(key, "") for key in ("NETWORK", "STATION_CODE", "LOCATION", "STREAM"))
+    return {"sid": sid, "t0": start, "delta": float(known["SAMPLING_INTERVAL_S"]), "data": np.array([float(x) for x in lines[DYNA_HEADER:] if x.strip()])}
+
+
+def build_dyna(sid: str, t0: datetime, delta: float, values: np.ndarray) -> bytes:
+    network, station, location, stream = sid.split(".")
+    known = (("NETWORK", network), ("STATION_CODE", station), ("LOCATION", location), ("STREAM", stream), ("SAMPLING_INTERVAL_S", repr(float(delta))), ("DATE_TIME_FIRST_SAMPLE_YYYYMMDD_HHMMSS", f"{t0:%Y%m%d_%H%M%S.%f}"), ("NDATA", str(len(values))))
+    head = [f"{key}: {value}" for key, value in known]
+    return "\n".join([*head, *["USER:"] * (DYNA_HEADER - len(head)), *(repr(float(v)) for v in values)]).encode()
