@@ -36,6 +36,9 @@ def bounded_magnitude(u: Column, b: Column, smallest: Column, largest: Column) -
     return smallest - F.log10(1 - u * (1 - F.pow(F.lit(10.0), -b * (largest - smallest)))) / b
 
 
+# Fixed values of the next two: the standard formula of IASPEI (2011), and Hutton and Boore (1987).
+
+
 def ml_iaspei(amplitude_nm: Column, distance_km: Column) -> Column:
     return F.log10(amplitude_nm) + 1.11 * F.log10(distance_km) + 0.00189 * distance_km - 2.09
 

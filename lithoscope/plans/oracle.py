@@ -222,7 +222,9 @@ def oracle_sql() -> dict[str, str]:
         "cat_append_new": f"{CAT} SELECT event_id, count(*) AS n FROM m JOIN c USING (event_id) GROUP BY event_id",
         "cat_append_skipped": f"{CAT} SELECT event_id FROM c WHERE event_id%4=1",
         "cat_upsert": f"{CAT} SELECT event_id, count(*)*(CASE event_id%4 WHEN 1 THEN 2 ELSE 1 END) AS n, c.size FROM m JOIN c USING (event_id) GROUP BY event_id, c.size",
-        "cat_sort": f"{CAT} SELECT event_id, count(*) AS n, c.size FROM m JOIN c USING (event_id) GROUP BY event_id, c.size",
+        "cat_sort": f"{CAT}, s AS (SELECT event_id, count(*) AS n, c.size FROM m JOIN c USING (event_id) GROUP BY event_id, c.size) SELECT *, row_number() OVER (ORDER BY size NULLS FIRST, event_id)-1 AS place FROM s",
+        "haz_completeness_order": f"""WITH c AS ({completeness}), e AS (SELECT magnitude, year_start, year_end, round(completeness,9) AS completeness FROM c UNION ALL SELECT magnitude, year_start, year_start, round(completeness,9) FROM c WHERE magnitude=4.5)
+          SELECT *, row_number() OVER (ORDER BY magnitude, year_start, year_end, completeness)-1 AS place, 'magnitude' AS "by" FROM e UNION ALL SELECT *, row_number() OVER (ORDER BY year_start, magnitude, year_end, completeness)-1, 'year' FROM e""",
         "cat_remove": f"{CAT} SELECT event_id, count(*) AS n, c.size FROM m JOIN c USING (event_id) WHERE event_id%5<>0 GROUP BY event_id, c.size",
         "cat_get_event": f"{CAT} SELECT event_id, count(*) AS n, c.size FROM m JOIN c USING (event_id) WHERE event_id%5=0 GROUP BY event_id, c.size",
         "cat_add_magnitude": f"{CAT} SELECT event_id, count(*)+(event_id%5=0)::INT AS n, CASE event_id%5 WHEN 0 THEN 9.5 ELSE c.size END::DOUBLE AS size FROM m JOIN c USING (event_id) GROUP BY event_id, c.size",

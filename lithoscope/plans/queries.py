@@ -14,7 +14,7 @@ from ..functions import geo, hazard, site, time
 from ..functions import ground_motion as gm
 from ..operators import catalogue as cat
 from ..operators import hazard as hz
-from ..operators import exposure, impact, layered, mesh, noise, records, recursive, scattered, waveform
+from ..operators import exposure, impact, layered, mesh, noise, order, records, recursive, scattered, waveform
 from ..streaming import streams
 from . import views
 
@@ -175,7 +175,19 @@ def _magnitudes_left(df):
 
 @query
 def cat_sort(spark, d):
-    return _magnitudes_left(cat.sort_by(views.catalogue(spark, d), "size"))
+    """Events by the size of their preferred magnitude, with their place in that order."""
+    ordered = cat.sort_by(views.catalogue(spark, d), "size").select("event_id", F.size("magnitudes").cast("long").alias("n"), cat.prime(F.col("magnitudes"))["size"].alias("size"))
+    return order.placed(ordered)
+
+
+@query
+def haz_completeness_order(spark, d):
+    """The completeness table, its large magnitudes entered again with their first year, in order of magnitude and in order of year."""
+    table = _completeness(spark, d)
+    edited = hz.add_entries(table, hz.at_magnitude(table, 4.5).withColumn("year_end", F.col("year_start")))
+    columns = ["magnitude", "year_start", "year_end"]
+    both = [order.placed(f(edited).select(*columns, r(F.col("completeness"), 9).alias("completeness"))).withColumn("by", F.lit(name)) for name, f in (("magnitude", hz.by_magnitude), ("year", hz.by_year))]
+    return both[0].union(both[1])
 
 
 @query

@@ -69,7 +69,7 @@ def write_taxonomy(refs: DataFrame, path: str, mode: str = "errorifexists") -> N
 
 
 def write_geojson(shapes: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """A feature a line from id, kind, parts (rings of lon, lat); rings of polygons are closed, shapes without points are left out."""
+    """A feature a line from id, kind, parts (rings of lon, lat); rings of polygons are closed; a shape without points has no geometry, and other kinds raise."""
     pair = lambda p: F.array(p["lon"], p["lat"])
     places = lambda ring: F.transform(ring, pair)
     closed = lambda ring: places(F.when(ring[0] == F.element_at(ring, -1), ring).otherwise(F.concat(ring, F.slice(ring, 1, 1))))
@@ -78,12 +78,14 @@ def write_geojson(shapes: DataFrame, path: str, mode: str = "errorifexists") ->
         F.when(kind == "Point", F.to_json(pair(first[0])))
         .when(kind == "MultiPoint", F.to_json(places(first)))
         .when(kind == "Polygon", F.to_json(F.array(closed(first))))
-        .otherwise(F.to_json(F.transform("parts", lambda ring: F.array(closed(ring)))))
+        .when(kind == "MultiPolygon", F.to_json(F.transform("parts", lambda ring: F.array(closed(ring)))))
+        .otherwise(F.raise_error(F.concat(F.lit("no geometry of kind "), F.coalesce(kind, F.lit("null")))).cast("string"))
     )
     named = F.to_json(F.struct(F.lit("Feature").alias("type"), F.col("id").cast("string").alias("id")), {"ignoreNullFields": "false"})
-    feature = F.concat(F.expr("substring(named, 1, length(named) - 1)"), F.lit(',"geometry":{"type":"'), kind, F.lit('","coordinates":'), coordinates, F.lit("}}"))
-    kept = shapes.where((F.size("parts") > 0) & F.forall("parts", lambda ring: F.size(ring) > 0))
-    _write_lines(kept.withColumn("named", named), feature, path, mode)
+    whole = (F.size("parts") > 0) & F.forall("parts", lambda ring: F.size(ring) > 0)
+    geometry = F.when(F.coalesce(whole, F.lit(False)), F.concat(F.lit('{"type":"'), kind, F.lit('","coordinates":'), coordinates, F.lit("}"))).otherwise("null")
+    feature = F.concat(F.expr("substring(named, 1, length(named) - 1)"), F.lit(',"geometry":'), geometry, F.lit("}"))
+    _write_lines(shapes.withColumn("named", named), feature, path, mode)
 
 
 RESPONSE = "sid string, start timestamp_ntz, end timestamp_ntz, stage int, gain double, scale double, poles array<struct<Real:double,Imaginary:double>>, zeros array<struct<Real:double,Imaginary:double>>"

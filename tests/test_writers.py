@@ -51,7 +51,10 @@ def test_geojson_round_trip(spark, tmp_path):
         "id string, kind string, parts array<array<struct<lon:double,lat:double>>>",
     )
     writers.write_geojson(shapes, str(tmp_path / "g"))
-    got = {r.id: [[tuple(p) for p in ring] for ring in r.parts] for r in models.read_geojson(spark, str(tmp_path / "g"), lines=True).collect()}
+    got = {r.id: [[tuple(p) for p in ring] for ring in r.parts or []] for r in models.read_geojson(spark, str(tmp_path / "g"), lines=True).collect()}
+    assert got.pop("none") == [] and '"geometry":null' in "".join(x.value for x in spark.read.text(str(tmp_path / "g")).collect())
+    with pytest.raises(Exception, match="no geometry of kind LineString"):
+        writers.write_geojson(shapes.withColumn("kind", F.lit("LineString")), str(tmp_path / "bad"))
     assert got == {'a"q': [[(0, 0), (1, 0), (1, 1), (0, 0)]], "p": [[(3, 4)]], "m": [[(0, 0), (1, 0), (0, 0)], [(5, 5), (6, 5), (5, 5)]], "n": [[(1, 2), (3, 4)]]}
 
 
