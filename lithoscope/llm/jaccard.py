@@ -53,6 +53,8 @@ from .components import components
 from .words import mixed, shingle_sets
 
 RATIO, BLOCK, BLOOM_BITS, WORD_BITS, SPARE = 1.5, 2048, 1 << 23, 8, 0.25
+#: Searches by sketch before sets are looked at side by side, with how many forests each; bytes of the sets of a block.
+FORESTS, SET_BYTES = (1, 8), 16 << 20
 
 
 class Bands:
@@ -218,14 +220,14 @@ def may_link(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return joined.where(apart * (100 + percent) <= (F.col("a_n") + F.col("b_n")) * (100 - percent)).select("a", "b").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
-    """``pairs`` (a, b) with ``linked``, by the sets themselves.
+def sets_of(classes: DataFrame, docs: DataFrame, firsts: DataFrame, size: int, scratch: Scratch) -> DataFrame:
+    """fp, members of distinct ``classes`` (fp).
 
     Sets are made again from the texts of one document of each class concerned.
     A bit filter of fixed size keeps most other texts from being cut up; what it
     lets through in error falls to the join.
     """
-    ends = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct().join(firsts.select("fp", "doc_id"), "fp")
+    ends = classes.join(firsts.select("fp", "doc_id"), "fp")
     sent = _filter_of(ends, scratch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +239,12 @@ def verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, size: int, pe
     wanted = ends.select(F.col("fp").alias("end"), F.col("doc_id").alias("first_id"))
     made = _chosen(docs).mapInArrow(run, "doc_id long, fp binary, members array<long>")
     members = made.join(wanted, (F.col("fp") == F.col("end")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).dropDuplicates(["fp"]).select("fp", "members")
-    members = scratch.staged(members, "members")
+    return scratch.staged(members, "sets")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
+    """``pairs`` (a, b) with ``linked``, by the sets themselves."""
+    members = sets_of(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct(), docs, firsts, size, scratch)
     side = lambda p: members.select(F.col("fp").alias(p), F.col("members").alias(f"{p}_members"))
     common, both = F.size(F.array_intersect("a_members", "b_members")), F.size("a_members") + F.size("b_members")
     return scratch.staged(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", (100 * common >= percent * (both - common)).alias("linked")), "checked")
@@ -296,6 +303,42 @@ class _Group:
                 yield min(self.fps[a], self.fps[b]), max(self.fps[a], self.fps[b])
 
 
+    def settled(self, sets: pa.Array) -> Iterator[tuple[bytes, bytes]]:
+        """Links, checked by the sets at once, that join all components which links of this group join."""
+        values, ends = sets.flatten().to_numpy(), np.concatenate([[0], np.cumsum(sets.value_lengths().to_numpy())])
+        root = self.root.copy()
+        for k in range(len(self.fps)):
+            others = np.arange(k + 1, len(root)) if self.same else np.flatnonzero(self.side == 1) if self.side[k] == 0 else np.empty(0, int)
+            others = others[root[others] != root[k]]
+            if k in self.failed:
+                others = np.setdiff1d(others, self.failed[k])
+            apart = np.bitwise_count(self.bits[others] ^ self.bits[k]).sum(axis=1, dtype=np.int64)
+            both = self.n[others] + self.n[k]
+            near = apart * (100 + self.percent) <= both * (100 - self.percent)
+            others, likely, own = others[near], (apart / both)[near], values[ends[k] : ends[k + 1]]
+            for other in others[np.argsort(likely, kind="stable")].tolist():
+                if root[other] != root[k]:
+                    theirs = values[ends[other] : ends[other + 1]]
+                    common = len(np.intersect1d(own, theirs, assume_unique=True))
+                    if 100 * common >= self.percent * (len(own) + len(theirs) - common):
+                        root[root == root[other]] = root[k]
+                        yield min(self.fps[k], self.fps[other]), max(self.fps[k], self.fps[other])
+
+
+def settled_links(members: DataFrame, percent: int) -> DataFrame:
+    """a, b: links, checked, of groups as for ``spanning_pairs`` whose rows have their sets (``members``) beside them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in groups(batches, ["key", "i", "j"]):
+            found = list(_Group(rows, percent).settled(rows.column(rows.schema.get_field_index("members"))))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.binary()) for c in range(2)], schema=_SPANNING)
+        release()
+
+    dealt = members.repartition(partitions(members.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "fp")
+    return dealt.mapInArrow(run, SPANNING).distinct()
+
+
 def spanning_pairs(members: DataFrame, percent: int, forests: int) -> DataFrame:
     """a, b: of the pairs in a group that may link, enough to join all components that such pairs join.
 
@@ -325,12 +368,15 @@ def _ruled_out(failed: DataFrame) -> DataFrame:
     return held.groupBy("fp").agg(F.collect_set("other").alias("failed"))
 
 
-def _blocks(labelled: DataFrame) -> DataFrame:
+def _blocks(labelled: DataFrame, rows: Column | None = None) -> DataFrame:
     """key, band, fp, label, i, j, side: the members of groups of several components, once for each pair of blocks they are compared in.
 
+    A block has about ``rows`` members (BLOCK).
+
     The largest component's members have blocks of their own, which are compared
     with the others' blocks only.
     """
+    rows = F.lit(BLOCK) if rows is None else rows
     parts = labelled.groupBy("key", "band", "label").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("fp")).alias("who"))
     open_keys = (
         parts.groupBy("key", "band")
@@ -339,7 +385,7 @@ def _blocks(labelled: DataFrame) -> DataFrame:
         # those with the same members are searched once
         .groupBy("band", "total", "who")
         .agg(F.min_by(F.struct("key", "largest"), "key").alias("one"))
-        .select("band", "one.key", F.col("one.largest.label").alias("most"), F.ceil((F.col("total") - F.col("one.largest.size")) / BLOCK).cast("int").alias("few_blocks"), F.ceil(F.col("one.largest.size") / BLOCK).cast("int").alias("most_blocks"))
+        .select("band", "one.key", F.col("one.largest.label").alias("most"), F.ceil((F.col("total") - F.col("one.largest.size")) / rows).cast("int").alias("few_blocks"), F.ceil(F.col("one.largest.size") / rows).cast("int").alias("most_blocks"))
     )
     few, blocks = F.col("label") != F.col("most"), F.col("few_blocks") + F.col("most_blocks")
     own = F.when(few, F.pmod(F.xxhash64("fp"), F.col("few_blocks"))).otherwise(F.col("few_blocks") + F.pmod(F.xxhash64("fp"), F.col("most_blocks"))).cast("int")
@@ -359,15 +405,18 @@ def linked_classes(docs: DataFrame, firsts: DataFrame, sketches: DataFrame, size
     chosen = searched.join(leads, "key").groupBy("fp").agg(F.min("turn").alias("turn")).join(searched.select(F.col("fp").alias("lead"), turn).distinct(), "turn")
     stars = chosen.where("fp <> lead").select(F.least("fp", "lead").alias("a"), F.greatest("fp", "lead").alias("b")).distinct()
     checked = verified(scratch.staged(may_link(stars, sketches, percent), "pairs"), docs, firsts, size, percent, scratch)
-    forests = 1
     labels = components(checked.where("linked"), scratch)
-    while True:
+
+    def opened(rows: Column | None = None) -> DataFrame:
+        """Members of the groups that are still searched, with what is known of them."""
         labelled = searched.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("key", "band", "fp", F.coalesce("label", "fp").alias("label"))
         # sketches are looked up for members of open groups only, after these are known
-        members = scratch.staged(_blocks(labelled), "members")
+        members = scratch.staged(_blocks(labelled, rows), "members")
         own = sketches.select("fp", "band", "n", "bits").join(members.select("fp", "band").distinct(), ["fp", "band"]).dropDuplicates(["fp", "band"])
-        members = members.join(own, ["fp", "band"]).join(_ruled_out(checked.where("not linked").select("a", "b")), "fp", "left")
-        found = scratch.staged(spanning_pairs(members, percent, forests), "pairs")
+        return members.join(own, ["fp", "band"]).join(_ruled_out(checked.where("not linked").select("a", "b")), "fp", "left")
+
+    for forests in FORESTS:
+        found = scratch.staged(spanning_pairs(opened(), percent, forests), "pairs")
         if found.isEmpty():
             return labels
         fresh = verified(found, docs, firsts, size, percent, scratch)
@@ -378,10 +427,15 @@ def linked_classes(docs: DataFrame, firsts: DataFrame, sketches: DataFrame, size
         if wrong.isEmpty():
             return labels
         # a group is done once all pairs chosen in it hold; only those with one that does not are searched again, for more at a time
-        forests *= 8
         one, other = (searched.select("key", F.col("fp").alias(p)) for p in ("a", "b"))
         again = wrong.select("a", "b").join(one, "a").join(other, ["key", "b"]).select("key").distinct()
         searched = scratch.staged(searched.join(again, "key", "left_semi"), "words")
+    # in the groups that are left most pairs fail, so they are settled with the sets at hand, in blocks of as many as fit
+    largest = F.element_at(F.array(*[F.lit(e) for e in Bands(percent).edges]), F.col("band") + 2)
+    members = scratch.staged(opened(F.greatest(F.lit(16), F.least(F.lit(BLOCK), F.floor(SET_BYTES / 8 / largest)))), "open")
+    sets = sets_of(members.select("fp").distinct(), docs, firsts, size, scratch)
+    links = scratch.staged(settled_links(members.join(sets, "fp"), percent), "links")
+    return labels if links.isEmpty() else components(checked.where("linked").select("a", "b").union(links), scratch)
 
 
 def near_duplicates(docs: DataFrame, size: int, percent: int) -> DataFrame:

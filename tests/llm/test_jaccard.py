@@ -111,3 +111,21 @@ def test_no_sizes_are_too_far_apart(spark, percent):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = sorted(map(tuple, jaccard.near_duplicates(df, 1, percent).select("doc_id", "n_shingles", "component_id").collect()))
     assert got == brute(docs, 1, percent)
+
+
+def test_groups_are_settled_with_their_sets(spark, monkeypatch):
+    """Without any search by sketch before: chains and stars just above and below the threshold, in blocks of a few rows."""
+    monkeypatch.setattr(jaccard, "FORESTS", ())
+    monkeypatch.setattr(jaccard, "SET_BYTES", 1 << 14)
+    rng, docs = random.Random(9), []
+    for family in range(6):
+        base = [f"f{family}w{k}" for k in range(60)]
+        for _ in range(12):
+            own = list(base)
+            for k in rng.sample(range(60), rng.choice([3, 6, 8, 9, 12])):
+                own[k] = f"x{rng.randrange(40)}"
+            docs.append((len(docs), " ".join(own)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted(map(tuple, jaccard.near_duplicates(df, 1, 75).select("doc_id", "n_shingles", "component_id").collect()))
+    want = brute(docs, 1, 75)
+    assert got == want and 6 < len({c for _, _, c in want}) < len(docs)
