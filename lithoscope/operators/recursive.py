@@ -182,8 +182,10 @@ def _scan(maps: DataFrame, machine: Machine) -> DataFrame:
             state = through(int(n), state, np.array(add, float))
         return pd.DataFrame({"sid": own["sid"].iloc[:1], "seg": own["up"].iloc[:1], "n": [int(own["n"].sum())], "state": [state]})
 
-    rows = maps.withColumn("up", F.floor(F.col("seg") / FAN))
-    if (maps.agg(F.max("seg")).first()[0] or 0) < FAN:
+    rows, last = maps.withColumn("up", F.floor(F.col("seg") / FAN)), maps.agg(F.max("seg")).first()[0] or 0
+    if not last:  # nothing comes before a first segment
+        return maps.select("sid", "seg", F.array_repeat(F.lit(0.0), len(machine.a)).alias("state"))
+    if last < FAN:
         rows = rows.withColumn("entry", F.lit(None).cast("array<double>"))
     else:
         above = staged(rows.groupBy("sid", "up").applyInPandas(composed, f"sid {kind}, seg long, n long, state array<double>"), "maps")
