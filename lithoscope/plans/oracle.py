@@ -291,6 +291,10 @@ def oracle_sql() -> dict[str, str]:
         LEFT JOIN g g0 ON g0.x=p.x AND g0.y=p.y LEFT JOIN g g1 ON g1.x=p.x+1 AND g1.y=p.y LEFT JOIN g g2 ON g2.x=p.x AND g2.y=p.y+1 LEFT JOIN g g3 ON g3.x=p.x+1 AND g3.y=p.y+1"""
     out["exposure_group_by"] = """SELECT p_brand AS asset_id, min_by(p_size/10, p_partkey) FILTER (WHERE p_size>10) AS lon, min_by(p_size/5, p_partkey) FILTER (WHERE p_size>10) AS lat,
         count(*)>1 OR max(p_size%3)>1 AS aggregated, count(*) AS n, max_by(p_type, p_partkey) AS last FROM part GROUP BY p_brand"""
+    keys = list(gm.BRAGATO_SLEJKO_PGA)
+    known = ",".join("(" + ",".join([f"'{imt}'", *(f"{c[k]!r}::DOUBLE" for k in keys)]) + ")" for imt, c in gm.BRAGATO_SLEJKO_EPICENTRAL.items())
+    out["gm_measures"] = f"""WITH t(imt,{','.join(keys)}) AS (VALUES {known}), x AS (SELECT asset_id, {KM} AS km FROM ({SITES}))
+      SELECT asset_id, imt, round((a+(b+c*5.5)*5.5+(d+e*pow(5.5,3))*log10(sqrt(km*km+h*h)))*{LN10}-CASE WHEN imt='PGV' THEN ln(100.0) ELSE 0.0 END,7) AS ln_mean, round(s*{LN10},7) AS sigma FROM x, t"""
     out["exposure_taxonomies"] = "SELECT DISTINCT p_brand AS taxonomy FROM lineitem JOIN part ON l_partkey=p_partkey JOIN orders ON l_orderkey=o_orderkey"
     out["exposure_branches"] = impact("n", """SELECT taxonomy, model_id, count(*) AS assets, sum(k)::BIGINT AS units FROM (SELECT taxonomy, model_id, floor(n*weight+1e-9)::BIGINT AS k FROM ty JOIN tm USING (taxonomy)) WHERE k>0 GROUP BY ALL""")
     tone = lambda k: f"CASE WHEN max(n)>={2 * k} THEN round((pow(sum(v*cos(2*pi()*{k}*i/n)),2)+pow(sum(v*sin(2*pi()*{k}*i/n)),2))*0.25,3) END AS p{k}"

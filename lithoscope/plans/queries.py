@@ -14,7 +14,7 @@ from ..functions import geo, hazard, site, time
 from ..functions import ground_motion as gm
 from ..operators import catalogue as cat
 from ..operators import hazard as hz
-from ..operators import exposure, impact, layered, mesh, noise, order, records, recursive, scattered, waveform
+from ..operators import exposure, impact, layered, mesh, motion, noise, order, records, recursive, scattered, waveform
 from ..streaming import streams
 from . import views
 
@@ -83,6 +83,14 @@ def gm_assets(spark, d):
     return impact.ground_motion(views.sites(spark, d), **EVENT).select("asset_id", r(F.col("median"), 9).alias("median"), r(F.col("sigma"), 9).alias("sigma"))
 
 
+@query
+def gm_measures(spark, d):
+    """Four measures of a registered model at every site, in one plan."""
+    table = motion.coefficients(spark, {"epicentral": gm.BRAGATO_SLEJKO_EPICENTRAL})
+    found = motion.ground_motion(views.sites(spark, d), table, "BS2005", EVENT, gm.BRAGATO_SLEJKO_EPICENTRAL)
+    return found.select("asset_id", "imt", r(F.col("ln_mean"), 7).alias("ln_mean"), r(F.col("sigma"), 7).alias("sigma"))
+
+
 @query
 def gm_events_near_sites(spark, d):
     """Events and sites meet once for each of their places, so pairs do not grow with the tables where places recur."""
