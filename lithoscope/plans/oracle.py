@@ -291,6 +291,7 @@ def oracle_sql() -> dict[str, str]:
         LEFT JOIN g g0 ON g0.x=p.x AND g0.y=p.y LEFT JOIN g g1 ON g1.x=p.x+1 AND g1.y=p.y LEFT JOIN g g2 ON g2.x=p.x AND g2.y=p.y+1 LEFT JOIN g g3 ON g3.x=p.x+1 AND g3.y=p.y+1"""
     out["exposure_group_by"] = """SELECT p_brand AS asset_id, min_by(p_size/10, p_partkey) FILTER (WHERE p_size>10) AS lon, min_by(p_size/5, p_partkey) FILTER (WHERE p_size>10) AS lat,
         count(*)>1 OR max(p_size%3)>1 AS aggregated, count(*) AS n, max_by(p_type, p_partkey) AS last FROM part GROUP BY p_brand"""
+    out["geo_polygon_samples"] = f"SELECT asset_id, asset_id%40+1 AS n, asset_id%40+1 AS \"within\", 0 AS in_hole FROM ({SITES})"
     keys = list(gm.BRAGATO_SLEJKO_PGA)
     known = ",".join("(" + ",".join([f"'{imt}'", *(f"{c[k]!r}::DOUBLE" for k in keys)]) + ")" for imt, c in gm.BRAGATO_SLEJKO_EPICENTRAL.items())
     out["gm_measures"] = f"""WITH t(imt,{','.join(keys)}) AS (VALUES {known}), x AS (SELECT asset_id, {KM} AS km FROM ({SITES}))

@@ -14,7 +14,7 @@ from ..functions import geo, hazard, site, time
 from ..functions import ground_motion as gm
 from ..operators import catalogue as cat
 from ..operators import hazard as hz
-from ..operators import exposure, impact, layered, mesh, motion, noise, order, records, recursive, scattered, waveform
+from ..operators import exposure, impact, layered, mesh, motion, noise, order, records, recursive, sampling, scattered, waveform
 from ..streaming import streams
 from . import views
 
@@ -283,6 +283,20 @@ def geo_in_polygon(spark, d):
     return views.sites(spark, d).where(geo.in_ring(ring, F.col("lon"), F.col("lat"))).select("asset_id", r(geo.polygon_area(ring) / 1e6, 3).alias("area"))
 
 
+@query
+def geo_polygon_samples(spark, d):
+    """Points drawn around every site, from a square with a hole: all of them lie in it, none in the hole."""
+    ring = lambda h: F.array(*(F.struct((F.col("lon") + x * h).alias("lon"), (F.col("lat") + y * h).alias("lat")) for x, y in ((-1, -1), (1, -1), (1, 1), (-1, 1))))
+    sites = views.sites(spark, d)
+    points = sampling.on_sphere(sites.select(F.col("asset_id").alias("id"), F.array(F.array(ring(0.1), ring(0.05))).alias("parts"), (F.col("asset_id") % 40 + 1).alias("n")), seed=1)
+    off_lat = F.abs(F.col("p_lat") - F.col("lat"))
+    # sides between equal longitudes are straight in the projection, and bend by less than 1e-4 degrees on the map
+    off_lon = F.abs(F.col("p_lon") - F.col("lon"))
+    joined = points.select(F.col("id").alias("asset_id"), "k", F.col("lon").alias("p_lon"), F.col("lat").alias("p_lat")).join(sites, "asset_id")
+    within, hole = (off_lon < 0.1 + 1e-4) & (off_lat < 0.1 + 1e-9), (off_lon < 0.05 - 1e-4) & (off_lat < 0.05 - 1e-9)
+    return joined.groupBy("asset_id").agg(F.count_distinct("k").alias("n"), F.count_if(within).alias("within"), F.count_if(hole).alias("in_hole"))
+
+
 @query
 def mesh_cells(spark, d):
     """Sites by cell of a regular mesh over all of them."""
