@@ -5,10 +5,11 @@ Rows: sid, t0, delta, data, encoding.  Register it first: ``spark.dataSource.reg
 A MiniSEED file is cut into byte ranges, so that one large file is many tasks.
 Records start at multiples of 128 bytes; a task looks for the first header in its
 range that is followed by another one (or by the end), and reads every record that
-starts in the range, the last one beyond it where it ends there.  SAC and DYNA
-files are one record and one task each.
+starts in the range, the last one beyond it where it ends there.  A TDMS file is cut
+into ranges too, of samples (``tdms``).  SAC and DYNA files are one record and one
+task each.
 
-Options: ``waveform`` (mseed, sac, dyna; by the extension of each file if not
+Options: ``waveform`` (mseed, sac, dyna, tdms; by the extension of each file if not
 given), ``split`` (bytes of a range), and for writing ``waveform`` (mseed),
 ``encoding`` and ``length``.  Paths are files, folders or patterns on any store
 that Arrow reads (local, HDFS, object stores).
@@ -33,10 +34,11 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from . import mseed, waveforms
+from . import mseed, tdms, waveforms
 
 #: Extensions by format.
-EXTENSIONS = {"mseed": "mseed", "ms": "mseed", "miniseed": "mseed", "msd": "mseed", "sac": "sac", "asc": "dyna", "dyna": "dyna"}
+EXTENSIONS = {"mseed": "mseed", "ms": "mseed", "miniseed": "mseed", "msd": "mseed", "sac": "sac", "asc": "dyna", "dyna": "dyna", "tdms": "tdms"}
+RANGED = ("mseed", "tdms")
 SPLIT, STEP, LONGEST = 32 << 20, 128, 1 << 20
 _HEAD = re.compile(rb"[0-9 \x00]{6}[DRQM][ \x00]")
 _FIELDS = pa.schema([("sid", pa.string()), ("t0", pa.timestamp("us")), ("delta", pa.float64()), ("data", pa.list_(pa.float64())), ("encoding", pa.int32())])
@@ -45,7 +47,7 @@ _FIELDS = pa.schema([("sid", pa.string()), ("t0", pa.timestamp("us")), ("delta",
 def format_of(path: str, given: str | None = None) -> str | None:
     """A file's format: the given one, else that of its extension."""
     if given and given.lower() not in EXTENSIONS.values():
-        raise ValueError(f"{given} is no format of waveforms: mseed, sac, dyna")
+        raise ValueError(f"{given} is no format of waveforms: mseed, sac, dyna, tdms")
     return given.lower() if given else EXTENSIONS.get(path.rpartition(".")[2].lower())
 
 
@@ -109,13 +111,15 @@ class WaveformReader(DataSourceReader):
         if not files:
             raise FileNotFoundError(self.path)
         step = max(self.split // STEP, 1) * STEP
-        return [Range(path, kind, a, min(a + step, size), size) for path, size, kind in files if kind for a in range(0, size, step if kind == "mseed" else size)]
+        return [Range(path, kind, a, min(a + step, size) if kind in RANGED else size, size) for path, size, kind in files if kind for a in range(0, size, step if kind in RANGED else size)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         store, _ = _store(self.path)
         with store.open_input_file(partition.path) as f:
             if partition.kind == "mseed":
                 rows = self._records(f, partition)
+            elif partition.kind == "tdms":
+                rows = tdms.rows(f.read_at, partition.size, partition.begin, partition.end)
             else:
                 content = f.read_at(partition.size, 0)
                 rows = iter([(waveforms.parse_sac(content) if partition.kind == "sac" else waveforms.parse_dyna(content.decode("latin-1"))) | {"encoding": None}])
@@ -146,6 +150,8 @@ class Written(WriterCommitMessage):
 class WaveformWriter(DataSourceWriter):
     def __init__(self, options: dict[str, str], overwrite: bool):
         self.path, self.kind = options["path"], format_of("", options.get("waveform", "mseed"))
+        if self.kind == "tdms":
+            raise ValueError("TDMS files are only read")
         self.encoding, self.length, self.overwrite = int(options.get("encoding", mseed.STEIM2)), int(options.get("length", 512)), overwrite
 
     def _put(self, name: str, content: list[bytes]) -> tuple[str, str]:
