@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .responses import whole_filter
+
 EXPOSURE = """metadata string, schema_version string, assets array<struct<id:string,name:string,aggregated:boolean,critical:boolean,
   reference_location:struct<longitude:double,latitude:double,elevation:double>,reference_geology:struct<vs30:double,soil_class:string>,
   typologies array<struct<taxonomy:string,count:double,usage:string,stories:int,replacement_cost:double,occupants:struct<day:double,night:double>>>>>""".replace("typologies array", "typologies:array")
@@ -84,14 +86,28 @@ def read_geojson(spark: SparkSession, path: str, lines: bool = False) -> DataFra
 
 STATIONXML = """_code string, Station array<struct<_code:string,Channel:array<struct<_code:string,_locationCode:string,_startDate:string,_endDate:string,
   Response:struct<Stage:array<struct<_number:int,StageGain:struct<Value:double,Frequency:double>,PolesZeros:struct<NormalizationFactor:double,
-  Zero:array<struct<Real:double,Imaginary:double>>,Pole:array<struct<Real:double,Imaginary:double>>>>>>>>>>"""
+  Zero:array<struct<Real:double,Imaginary:double>>,Pole:array<struct<Real:double,Imaginary:double>>>,Coefficients:struct<Numerator:array<struct<_VALUE:double>>,
+  Denominator:array<struct<_VALUE:double>>>,FIR:struct<Symmetry:string,NumeratorCoefficient:array<struct<_VALUE:double>>>,Polynomial:struct<Coefficient:array<struct<_VALUE:double>>>,
+  Decimation:struct<InputSampleRate:double,Factor:int>>>>>>>>"""
 
 
 def read_stationxml(spark: SparkSession, path: str) -> DataFrame:
-    """sid, start, end, stage, gain, scale, poles, zeros: a row for each stage of each epoch."""
+    """sid, start, end, stage, gain, scale, poles, zeros, kind, numerators, denominators, rate, factor: a row for each stage of each epoch.
+
+    What a stage has not is null; a stage with poles and zeros has both, empty where none is given.
+    """
     nets = spark.read.format("xml").option("rowTag", "Network").schema(STATIONXML).load(path)
     channels = nets.select(F.col("_code").alias("net"), F.explode("Station").alias("s")).select("net", F.col("s._code").alias("sta"), F.explode("s.Channel").alias("c"))
     sid = F.concat_ws(".", "net", "sta", F.coalesce("c._locationCode", F.lit("")), "c._code")
     date = lambda c: F.try_to_timestamp(F.col(c)).cast("timestamp_ntz")
     stages = channels.select(sid.alias("sid"), date("c._startDate").alias("start"), date("c._endDate").alias("end"), F.explode("c.Response.Stage").alias("g"))
-    return stages.select("sid", "start", "end", F.col("g._number").alias("stage"), F.col("g.StageGain.Value").alias("gain"), F.col("g.PolesZeros.NormalizationFactor").alias("scale"), F.col("g.PolesZeros.Pole").alias("poles"), F.col("g.PolesZeros.Zero").alias("zeros"))
+    g = F.col("g")
+    kind = F.when(g["PolesZeros"].isNotNull(), "paz").when(g["FIR"].isNotNull(), "fir").when(g["Polynomial"].isNotNull(), "polynomial").when(g["Coefficients"].isNotNull(), "coefficients")
+    values = lambda c: F.coalesce(F.transform(c, lambda x: x["_VALUE"]), F.array().cast("array<double>"))
+    roots = lambda name: F.when(kind == "paz", F.coalesce(g["PolesZeros"][name], F.array().cast("array<struct<Real:double,Imaginary:double>>")))
+    fir = whole_filter(F.lower(F.coalesce(g["FIR"]["Symmetry"], F.lit("none"))), values(g["FIR"]["NumeratorCoefficient"]))
+    numerators = F.when(kind == "fir", fir).when(kind == "polynomial", values(g["Polynomial"]["Coefficient"])).when(kind == "coefficients", values(g["Coefficients"]["Numerator"]))
+    return stages.select(
+        "sid", "start", "end", g["_number"].alias("stage"), g["StageGain"]["Value"].alias("gain"), g["PolesZeros"]["NormalizationFactor"].alias("scale"), roots("Pole").alias("poles"), roots("Zero").alias("zeros"),
+        kind.alias("kind"), numerators.alias("numerators"), F.when(kind == "coefficients", values(g["Coefficients"]["Denominator"])).alias("denominators"), g["Decimation"]["InputSampleRate"].alias("rate"), g["Decimation"]["Factor"].alias("factor"),
+    )
