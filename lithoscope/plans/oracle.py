@@ -292,6 +292,9 @@ def oracle_sql() -> dict[str, str]:
     out["exposure_group_by"] = """SELECT p_brand AS asset_id, min_by(p_size/10, p_partkey) FILTER (WHERE p_size>10) AS lon, min_by(p_size/5, p_partkey) FILTER (WHERE p_size>10) AS lat,
         count(*)>1 OR max(p_size%3)>1 AS aggregated, count(*) AS n, max_by(p_type, p_partkey) AS last FROM part GROUP BY p_brand"""
     out["geo_polygon_samples"] = f"SELECT asset_id, asset_id%40+1 AS n, asset_id%40+1 AS \"within\", 0 AS in_hole FROM ({SITES})"
+    out["resp_transfer"] = """WITH x AS (SELECT s_suppkey AS sid, f AS freq, 2*pi()*f AS w, 2.0*(100+s_nationkey) AS g, 1.0+s_suppkey%50/10.0 AS pr, s_suppkey%7/2.0 AS pi_, 2*pi()*f/(20+s_suppkey%5) AS th FROM supplier, (SELECT unnest([0.5,2.0,10.0])::DOUBLE AS f)),
+      y AS (SELECT sid, freq, g/sqrt(pr*pr+(w-pi_)*(w-pi_))*sqrt(pow(0.75+0.25*cos(th),2)+pow(0.25*sin(th),2)) AS a, atan2(-0.25*sin(th),0.75+0.25*cos(th))-atan2(w-pi_,pr) AS ph FROM x)
+      SELECT sid, freq, round(a,9) AS amplitude, round(CASE WHEN ph<=-pi() THEN ph+2*pi() WHEN ph>pi() THEN ph-2*pi() ELSE ph END,9) AS phase FROM y"""
     keys = list(gm.BRAGATO_SLEJKO_PGA)
     known = ",".join("(" + ",".join([f"'{imt}'", *(f"{c[k]!r}::DOUBLE" for k in keys)]) + ")" for imt, c in gm.BRAGATO_SLEJKO_EPICENTRAL.items())
     out["gm_measures"] = f"""WITH t(imt,{','.join(keys)}) AS (VALUES {known}), x AS (SELECT asset_id, {KM} AS km FROM ({SITES}))

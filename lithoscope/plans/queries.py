@@ -14,7 +14,7 @@ from ..functions import geo, hazard, site, time
 from ..functions import ground_motion as gm
 from ..operators import catalogue as cat
 from ..operators import hazard as hz
-from ..operators import exposure, impact, layered, mesh, motion, noise, order, records, recursive, sampling, scattered, waveform
+from ..operators import exposure, impact, instruments, layered, mesh, motion, noise, order, records, recursive, sampling, scattered, waveform
 from ..streaming import streams
 from . import views
 
@@ -501,6 +501,13 @@ def resp_epoch_join(spark, d):
 # sites
 
 
+@query
+def resp_transfer(spark, d):
+    """A pole and a two-point filter for each supplier, at three frequencies."""
+    found = instruments.channel_response(views.instruments(spark, d), (0.5, 2.0, 10.0))
+    return found.select("sid", "freq", r(F.col("amplitude"), 9).alias("amplitude"), r(F.col("phase"), 9).alias("phase"))
+
+
 @query
 def site_parameters(spark, d):
     layers = F.col("layers")

@@ -95,3 +95,14 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     layer = F.struct("k", F.col("p_size").cast("double").alias("hl"), (100 + F.col("p_retailprice") / 4).alias("vs"), (10.0 + F.col("k")).alias("qs"), (1800.0 + 50 * F.col("k")).alias("dn"))
     cut = rows.groupBy("p_brand", F.expr("n div 6").alias("number")).agg(F.array_sort(F.collect_list(layer)).alias("layers"))
     return cut.select(F.concat("p_brand", F.lit("/"), "number").alias("site"), "layers")
+
+
+def instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as channels of two stages, a pole and a filter of two points: as ``read_resp`` gives."""
+    key = F.col("s_suppkey")
+    root = F.array(F.struct((-1.0 - key % 50 / 10).alias("Real"), (key % 7 / 2).alias("Imaginary")))
+    none = F.lit(None)
+    paz = F.struct(F.lit(1).alias("stage"), (100.0 + F.col("s_nationkey")).alias("gain"), F.lit(2.0).alias("scale"), root.alias("poles"), F.lit("paz").alias("kind"), none.cast("array<double>").alias("numerators"), none.cast("double").alias("rate"))
+    fir = F.struct(F.lit(2).alias("stage"), F.lit(1.0).alias("gain"), none.cast("double").alias("scale"), none.cast(root_type := "array<struct<Real:double,Imaginary:double>>").alias("poles"), F.lit("fir").alias("kind"), F.array(F.lit(0.75), F.lit(0.25)).alias("numerators"), (20.0 + key % 5).alias("rate"))
+    rows = table(spark, sf_dir, "supplier").select(key.alias("sid"), F.explode(F.array(paz, fir)).alias("x")).select("sid", "x.*")
+    return rows.withColumns({"start": none.cast("timestamp_ntz"), "end": none.cast("timestamp_ntz"), "zeros": none.cast(root_type), "denominators": none.cast("array<double>")})
