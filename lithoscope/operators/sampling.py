@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from ..functions import geo
 
-BLOCK = 4096
+BLOCK, AT_ONCE = 4096, 1 << 16
 
 
 def _turn(p, q, r) -> float:
@@ -134,10 +134,15 @@ def triangulated(polygons: DataFrame, names: tuple[str, str] = ("x", "y")) -> Da
             flat = pa.array([_cut(p.as_py(), names).ravel() for p in batch.column("parts")], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), flat], ["id", "n", "flat"])
 
-    used = polygons.select("id", F.col("n").cast("long").alias("n"), "parts")
+    # small in bytes but long in work, so dealt to a fixed number of tasks
+    used = polygons.select("id", F.col("n").cast("long").alias("n"), "parts").repartition(_tasks(polygons))
     return used.mapInArrow(cut, _fields(polygons, "n bigint, flat array<double>"))
 
 
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _fields(polygons: DataFrame, others: str) -> T.StructType:
     return T.StructType([T.StructField("id", polygons.schema["id"].dataType), *T.StructType.fromDDL(others)])
 
@@ -164,17 +169,20 @@ def in_plane(polygons: DataFrame, seed: int = 0, block: int = BLOCK) -> DataFram
     kept = cut.where((F.col("n") > 0) & (F.size("flat") > 0))
     blocks = kept.select("id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / block).cast("long"))).alias("b"), "n", "flat")
     # a polygon with many draws is dealt over all tasks
-    dealt = blocks.repartition(F.xxhash64("id", "b")).select("*", F.coalesce(F.col("id").cast("string"), F.lit("")).alias("name"))
+    dealt = blocks.repartition(_tasks(polygons), F.xxhash64("id", "b")).select("*", F.coalesce(F.col("id").cast("string"), F.lit("")).alias("name"))
 
     def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             name, b, n, flat = (batch.column(c) for c in ("name", "b", "n", "flat"))
-            for i in range(batch.num_rows):
-                first = b[i].as_py() * block
-                count = min(block, n[i].as_py() - first)
-                xy = drawn(flat[i].values.to_numpy(zero_copy_only=False), count, _seed(seed, name[i].as_py(), b[i].as_py()))
-                own = batch.column("id").take(pa.array(np.full(count, i)))
-                yield pa.RecordBatch.from_arrays([own, pa.array(first + np.arange(count)), pa.array(xy[:, 0]), pa.array(xy[:, 1])], ["id", "k", "x", "y"])
+            first = b.to_numpy() * block
+            count = np.minimum(block, n.to_numpy() - first)
+            # as many rows at once as make up a bounded number of points
+            group = np.cumsum(count) // AT_ONCE
+            for rows in np.split(np.arange(len(count)), np.flatnonzero(np.diff(group)) + 1):
+                xy = np.concatenate([drawn(flat[i].values.to_numpy(zero_copy_only=False), count[i], _seed(seed, name[i].as_py(), b[i].as_py())) for i in rows])
+                k = np.concatenate([first[i] + np.arange(count[i]) for i in rows])
+                own = batch.column("id").take(pa.array(np.repeat(rows, count[rows])))
+                yield pa.RecordBatch.from_arrays([own, pa.array(k), pa.array(xy[:, 0]), pa.array(xy[:, 1])], ["id", "k", "x", "y"])
 
     return dealt.mapInArrow(points, _fields(polygons, "k bigint, x double, y double"))
 
