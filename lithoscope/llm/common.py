@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -65,6 +66,11 @@ class Scratch:
         self.sent.append(self.spark.sparkContext.broadcast(value))
         return self.sent[-1]
 
+    def tidy(self) -> None:
+        """Let go of what finished jobs left: plans and statuses in the driver, and shuffle files, which stay until it collects its garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def clear(self) -> None:
         """Delete the tables and release what was broadcast; nothing that reads them may run afterwards."""
         for one in self.sent:

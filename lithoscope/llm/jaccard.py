@@ -24,8 +24,11 @@ The join runs in these steps, none of which lists all pairs of a group:
    blocks of at most ``BLOCK`` members: the classes of a group's largest component
    are compared with the others, not with each other.  Of all pairs whose sketches
    do not rule out a link only those are kept that join two components.  They are
-   checked exactly; where some fail, the search is repeated without them.  When
-   none fails, every pair that could link is linked or in one component.
+   checked exactly; in groups where some fail, the search is repeated without
+   them.  When none fails, every pair that could link is linked or in one component.
+5. Groups left then are settled with the sets of their members at hand.  Near
+   copies meet in nearly as many groups as they have words, so groups that have
+   members in common are settled as one pool where that takes fewer rows.
 
 So the links found connect the same documents as all links would.
 
@@ -250,8 +253,13 @@ def verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, size: int, pe
     return scratch.staged(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", (100 * common >= percent * (both - common)).alias("linked")), "checked")
 
 
-SPANNING = "a binary, b binary"
-_SPANNING = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+SPANNING = "key long, a binary, b binary"
+
+
+def _spanning(rows: pa.RecordBatch, found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    """The pairs ``found`` among ``rows`` of one group."""
+    key = rows.column(rows.schema.get_field_index("key"))[0].as_py()
+    return pa.RecordBatch.from_arrays([pa.array([key] * len(found), pa.int64()), *(pa.array([f[c] for f in found], pa.binary()) for c in range(2))], names=["key", "a", "b"])
 
 
 class _Group:
@@ -332,15 +340,15 @@ def settled_links(members: DataFrame, percent: int) -> DataFrame:
         for rows in groups(batches, ["key", "i", "j"]):
             found = list(_Group(rows, percent).settled(rows.column(rows.schema.get_field_index("members"))))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.binary()) for c in range(2)], schema=_SPANNING)
+                yield _spanning(rows, found)
         release()
 
     dealt = members.repartition(partitions(members.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "fp")
-    return dealt.mapInArrow(run, SPANNING).distinct()
+    return dealt.mapInArrow(run, SPANNING).select("a", "b").distinct()
 
 
 def spanning_pairs(members: DataFrame, percent: int, forests: int) -> DataFrame:
-    """a, b: of the pairs in a group that may link, enough to join all components that such pairs join.
+    """key, a, b: of the pairs in a group that may link, enough to join all components that such pairs join.
 
     ``members``: key, i, j, side (0: in block i, 1: in block j), fp, label, n,
     bits, failed (partners already ruled out).  Rows of one (key, i, j) are read
@@ -351,12 +359,12 @@ def spanning_pairs(members: DataFrame, percent: int, forests: int) -> DataFrame:
         for rows in groups(batches, ["key", "i", "j"]):
             found = list(_Group(rows, percent).search(forests))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.binary()) for c in range(2)], schema=_SPANNING)
+                yield _spanning(rows, found)
         release()
 
     order = ["key", "i", "j", "fp"]
     dealt = members.repartition(partitions(members.sparkSession), "key", "i", "j").sortWithinPartitions(*order)
-    return dealt.mapInArrow(run, SPANNING).distinct()
+    return dealt.mapInArrow(run, SPANNING)
 
 
 def _ruled_out(failed: DataFrame) -> DataFrame:
@@ -397,6 +405,24 @@ def _blocks(labelled: DataFrame, rows: Column | None = None) -> DataFrame:
     )
 
 
+def pooled(searched: DataFrame, rows: Column, scratch: Scratch) -> DataFrame:
+    """key, band, fp: groups (``searched``) that have members in common, directly or through others, as one, unless that takes more rows.
+
+    ``rows``: about as many members make a block, and every member is needed once
+    for each block that it is compared with.
+    """
+    node = F.concat("fp", F.encode(F.col("band").cast("string"), "utf-8"))
+    nodes = searched.select("key", "band", "fp", node.alias("node"))
+    tops = nodes.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("size"))
+    pools = components(nodes.join(tops, "key").select("a", F.col("node").alias("b")).distinct(), scratch)
+    placed = scratch.staged(nodes.join(pools, "node", "left").join(tops.select("key", "size"), "key").select("key", "band", "fp", F.coalesce("label", "node").alias("pool"), "size"), "pools")
+    alone = placed.groupBy("pool", "band").agg(F.sum(F.ceil(F.col("size") / rows)).alias("alone"))
+    whole = placed.select("pool", "band", "fp").distinct().groupBy("pool", "band").agg(F.count("*").alias("members"))
+    fewer = whole.join(alone, ["pool", "band"]).select("pool", (F.col("members") * F.ceil(F.col("members") / rows) <= F.col("alone")).alias("fewer"))
+    own = F.when(F.col("fewer"), F.xxhash64("pool")).otherwise(F.col("key"))
+    return placed.join(fewer, "pool").select(own.alias("key"), "band", "fp").distinct()
+
+
 def linked_classes(docs: DataFrame, firsts: DataFrame, sketches: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
     """node, label: the component of every fingerprint that is linked with another."""
     searched = recurring(sketches, scratch)
@@ -406,6 +432,7 @@ def linked_classes(docs: DataFrame, firsts: DataFrame, sketches: DataFrame, size
     stars = chosen.where("fp <> lead").select(F.least("fp", "lead").alias("a"), F.greatest("fp", "lead").alias("b")).distinct()
     checked = verified(scratch.staged(may_link(stars, sketches, percent), "pairs"), docs, firsts, size, percent, scratch)
     labels = components(checked.where("linked"), scratch)
+    scratch.tidy()
 
     def opened(rows: Column | None = None) -> DataFrame:
         """Members of the groups that are still searched, with what is known of them."""
@@ -416,10 +443,11 @@ def linked_classes(docs: DataFrame, firsts: DataFrame, sketches: DataFrame, size
         return members.join(own, ["fp", "band"]).join(_ruled_out(checked.where("not linked").select("a", "b")), "fp", "left")
 
     for forests in FORESTS:
-        found = scratch.staged(spanning_pairs(opened(), percent, forests), "pairs")
+        found = scratch.staged(spanning_pairs(opened(), percent, forests), "found")
         if found.isEmpty():
             return labels
-        fresh = verified(found, docs, firsts, size, percent, scratch)
+        scratch.tidy()
+        fresh = verified(scratch.staged(found.select("a", "b").distinct(), "pairs"), docs, firsts, size, percent, scratch)
         checked = checked.union(fresh)
         if not fresh.where("linked").isEmpty():
             labels = components(checked.where("linked"), scratch)
@@ -427,14 +455,18 @@ def linked_classes(docs: DataFrame, firsts: DataFrame, sketches: DataFrame, size
         if wrong.isEmpty():
             return labels
         # a group is done once all pairs chosen in it hold; only those with one that does not are searched again, for more at a time
-        one, other = (searched.select("key", F.col("fp").alias(p)) for p in ("a", "b"))
-        again = wrong.select("a", "b").join(one, "a").join(other, ["key", "b"]).select("key").distinct()
+        again = found.join(wrong.select("a", "b"), ["a", "b"], "left_semi").select("key").distinct()
         searched = scratch.staged(searched.join(again, "key", "left_semi"), "words")
+        scratch.tidy()
     # in the groups that are left most pairs fail, so they are settled with the sets at hand, in blocks of as many as fit
     largest = F.element_at(F.array(*[F.lit(e) for e in Bands(percent).edges]), F.col("band") + 2)
-    members = scratch.staged(opened(F.greatest(F.lit(16), F.least(F.lit(BLOCK), F.floor(SET_BYTES / 8 / largest)))), "open")
+    rows = F.greatest(F.lit(16), F.least(F.lit(BLOCK), F.floor(SET_BYTES / 8 / largest)))
+    searched = scratch.staged(pooled(searched, rows, scratch), "words")
+    scratch.tidy()
+    members = scratch.staged(opened(rows), "open")
     sets = sets_of(members.select("fp").distinct(), docs, firsts, size, scratch)
     links = scratch.staged(settled_links(members.join(sets, "fp"), percent), "links")
+    scratch.tidy()
     return labels if links.isEmpty() else components(checked.where("linked").select("a", "b").union(links), scratch)
 
 

@@ -12,7 +12,8 @@ nearest vote with their labels, weighted by a power of the cosine.
 Bounds: the labelled vectors come from at most ``per_label`` rows of each label,
 those with the smallest hashes of their ids (of several texts with one id, the one
 with the smallest counts), so what is broadcast has a fixed
-size (2 x per_label x dims single-precision numbers).  Whole texts are counted;
+size (2 x per_label x dims single-precision numbers).  The space is worked out in
+a task, so that only what is broadcast passes the driver.  Whole texts are counted;
 a batch of texts is cut into slices of about ``SLICE`` bytes so that memory does
 not grow with it.
 
@@ -25,6 +26,7 @@ further columns pass through ``score`` unchanged.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -140,17 +142,21 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, per_label: int =
             made = [_packed(x) for x in counts(batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], names=["doc_id", "quality", "counts"])
 
-    # 2 x per_label ids at most, so they can be sent to every task; only their counts come back
+    def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((d, q, c) for batch in batches for d, q, c in zip(*(x.to_pylist() for x in batch.columns)))
+        found = np.zeros((len(rows), COLUMNS), np.float32)
+        for row, (_, _, packed) in zip(found, rows):
+            _unpack(packed, row)
+        made = pickle.dumps(Voters(found, [q for _, q, _ in rows]))
+        del rows, found
+        release()
+        yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], names=["voters"])
+
+    # 2 x per_label ids at most, so they can be sent to every task, and their counts fit into one
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("quality").cast("int"), "text")
-    rows = texts.mapInArrow(run, "doc_id long, quality int, counts binary").groupBy("doc_id", "quality").agg(F.min("counts").alias("counts")).collect()
-    rows.sort(key=lambda r: (r.doc_id, r.quality))
-    found = np.zeros((len(rows), COLUMNS), np.float32)
-    for row, r in zip(found, rows):
-        _unpack(r.counts, row)
-    voters = Voters(found, [r.quality for r in rows])
-    del rows, found
-    release()
-    return voters
+    counted = texts.mapInArrow(run, "doc_id long, quality int, counts binary").groupBy("doc_id", "quality").agg(F.min("counts").alias("counts"))
+    made = counted.repartition(1).mapInArrow(learned, "voters binary").collect()
+    return pickle.loads(made[0].voters) if made else Voters(np.zeros((0, COLUMNS), np.float32), [])
 
 
 def score(docs: DataFrame, voters: Voters) -> DataFrame:

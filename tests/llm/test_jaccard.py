@@ -129,3 +129,33 @@ def test_groups_are_settled_with_their_sets(spark, monkeypatch):
     got = sorted(map(tuple, jaccard.near_duplicates(df, 1, 75).select("doc_id", "n_shingles", "component_id").collect()))
     want = brute(docs, 1, 75)
     assert got == want and 6 < len({c for _, _, c in want}) < len(docs)
+
+
+def test_near_copies_are_settled_in_one_pool(spark, monkeypatch):
+    """Near copies that meet in many groups come to the last step with their sets once or so, not once for each group."""
+    monkeypatch.setattr(jaccard, "FORESTS", ())
+    settle, seen = jaccard.settled_links, []
+    monkeypatch.setattr(jaccard, "settled_links", lambda members, percent: seen.append(members.count()) or settle(members, percent))
+    rng, docs = random.Random(5), []
+    base = [f"w{k}" for k in range(120)]
+    for _ in range(60):
+        own = list(base)
+        for k in rng.sample(range(120), 15):
+            own[k] = f"x{rng.randrange(10**6)}"
+        docs.append((len(docs), " ".join(own)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted(map(tuple, jaccard.near_duplicates(df, 1, 80).select("doc_id", "n_shingles", "component_id").collect()))
+    assert got == brute(docs, 1, 80) and 0 < seen[0] <= 3 * len(docs)
+
+
+def test_pools_take_no_more_rows_than_their_groups(spark):
+    from pyspark.sql import functions as F
+
+    from lithoscope.llm.common import Scratch
+
+    family = [(key, 2, f"f{m}") for key in range(30) for m in range(12) if (key + m) % 5]
+    chain = [(100 + key, 2, f"c{key + m:03}") for key in range(200) for m in range(2)]
+    searched = spark.createDataFrame(family + chain, "key long, band int, fp string").withColumn("fp", F.encode("fp", "utf-8"))
+    rows = [(r.key, bytes(r.fp).decode()) for r in jaccard.pooled(searched, F.lit(16), Scratch(spark, "pools")).collect()]
+    assert sorted(fp for key, fp in rows if fp[0] == "f") == sorted(f"f{m}" for m in range(12)) and len({key for key, fp in rows if fp[0] == "f"}) == 1
+    assert sorted(row for row in rows if row[1][0] == "c") == sorted((key, fp) for key, _, fp in chain)

@@ -63,3 +63,16 @@ def test_votes_are_brute_force():
 def test_other_scripts_count():
     found = quality.counts(["\u65e5\u672c\u8a9e \u3067\u3059", "\u00fcber", "uber", ""])
     assert found[0].any() and (found[1] == found[2]).all() and not found[3].any()
+
+
+def test_the_space_is_worked_out_in_a_task(spark, monkeypatch):
+    """What the driver gets is what it sends to the tasks; decompositions take more memory than it has."""
+
+    def refused(*_):
+        raise AssertionError("in the driver")
+
+    docs = spark.createDataFrame([(i, "Plain words, here. " * (i % 3 + 1) if i % 2 else "BAD!! | |" * (i % 3 + 1)) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    monkeypatch.setattr(np.linalg, "eigh", refused)
+    voters = quality.fit(docs, labels, fold("doc_id", 5) != 0)
+    assert voters.vectors.shape == (len(voters.labels), quality.DIMS) and 0 < voters.labels.sum() < len(voters.labels)
