@@ -1,6 +1,7 @@
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,3 +148,99 @@ def test_frames(spark):
     assert lw.response(profiles, [1.0], "p").where("site = 'a'").first().horizontal == pytest.approx(0, abs=1e-12)
     assert lw.response(profiles, [1.0], "sh").where(F.col("site").isNull()).first().horizontal == pytest.approx(2, abs=1e-9)
     assert lw.dispersion(profiles.limit(0), [1.0]).count() == 0
+
+
+def soils(number, layers=6):
+    """Profiles of soft soils, layers by profiles."""
+    rng = np.random.default_rng(1)
+    vs = rng.uniform(0.32, 0.35, (layers, number))
+    return lw.Layers(rng.uniform(0.001, 0.05, vs.shape), vs * 3**0.5, vs, rng.uniform(1.8, 2.1, vs.shape))
+
+
+@pytest.mark.parametrize("wave", ["rayleigh", "love"])
+def test_few_velocities_are_tried_for_a_root(wave, monkeypatch):
+    tried, plain = [], lw.WAVES[wave]
+    monkeypatch.setitem(lw.WAVES, wave, lambda c, *more: (tried.append(c.size), plain(c, *more))[1])
+    found = lw._every_phase(wave, np.array([0.1, 0.3, 1.0]), soils(50), 2, lw.STEPS)
+    assert sum(tried) < 30 * found.size
+
+
+def test_modes_just_below_the_half_space_are_found():
+    m = lw.Layers(np.array([10.0, 0.0]), np.array([6.0, 8.0]), np.array([3.0, 4.5]), np.array([2.7, 3.3]))
+    cut_off = 20 * np.sqrt(1 / 3.0**2 - 1 / 4.5**2)
+    below, above = lw.phase_velocity("love", [cut_off * 0.999, cut_off * 1.001], m, 2)[:, 1]
+    assert 4.4999 < below < 4.5 and np.isnan(above)
+
+
+def test_modes_close_to_each_other_are_found():
+    """A soft layer at the surface, and one of twice its thickness far below, guide Love waves alike."""
+    m = lw.Layers(np.array([1.0, 10.0, 2.0, 0.0]), np.full(4, 3.5), np.array([1.0, 1.9, 1.0, 1.9]), np.full(4, 2.0))
+    alone = lw.Layers(*(x[:2] for x in (m.hl, m.vp, m.vs, m.dn)))
+    one, two = lw.phase_velocity("love", [1.0], m, 2)[0]
+    assert one == pytest.approx(lw.phase_velocity("love", [1.0], alone)[0, 0], abs=1e-9) and two == pytest.approx(one, abs=1e-9)
+
+
+@pytest.mark.parametrize("wave", ["rayleigh", "love"])
+def test_counts_are_numbers_of_changes_of_sign(wave):
+    """Thin, thick, stiff and soft layers; a half-space up to twice as fast as the slowest one."""
+    rng, most = np.random.default_rng(2), 0
+    for _ in range(60):
+        n = rng.integers(2, 8)
+        vs = 0.3 * rng.choice([1.9, 20.0]) ** rng.random(n)
+        vs[-1] = vs[:-1].min() * rng.uniform(1.05, 2)
+        m = lw.Layers(10 ** rng.uniform(-6, -1, n), vs * rng.uniform(1.3, 3, n), vs, rng.uniform(1, 3, n)).alone()
+        c = np.linspace(vs.min() * (0.8 if wave == "rayleigh" else 1), vs[-1], 4000)
+        f, below = lw._passed(wave, c, 10 ** rng.uniform(-1.5, 0), m)
+        changes = np.cumsum(np.sign(f[1:]) != np.sign(f[:-1]))
+        # two roots within one of these steps change the count, not the sign
+        assert ((below[1:] - below[0] - changes) % 2 == 0).all() and (np.diff(below) >= 0).all()
+        if (np.diff(below) < 2).all():
+            assert (below[1:] - below[0] == changes).all()
+        most = max(most, below[-1])
+    assert most > 3
+
+
+def test_modes_that_run_backwards_are_found():
+    """On a base that is 20 times as fast, a count would fall with velocity."""
+    vs = np.array([1.0, 20.0])
+    m = lw.Layers(np.array([1.0, 0.0]), vs * 1.62, vs, np.array([1.0, 2.0]))
+    c, periods = np.linspace(0.8, 20, 40001), np.linspace(0.4, 4, 80)
+    fell = 0
+    for t, found in zip(periods, lw.phase_velocity("rayleigh", periods, m, 6, 4000)):
+        f, below = lw._passed("rayleigh", c, t, m.alone())
+        roots = c[1:][np.sign(f[1:]) != np.sign(f[:-1])][:6]
+        fell += (np.diff(below) < 0).any()
+        assert found[: len(roots)] == pytest.approx(roots, abs=1e-3) and np.isnan(found[len(roots) :]).all()
+    assert fell
+
+
+def test_stiff_layers_keep_precision():
+    """A slab on soft soil moves like the same slab in pieces, and as with more digits."""
+    slab = lw.Layers(np.array([0.02, 0.3, 0.0]), np.array([4.0, 0.35, 0.4]), np.array([2.4, 0.15, 0.2]), np.array([2.4, 1.8, 1.9]))
+    pieces = lw.Layers(*(np.concatenate([np.full(4, x[0] / q), x[1:]]) for x, q in ((slab.hl, 4), (slab.vp, 1), (slab.vs, 1), (slab.dn, 1))))
+    more = lw.Layers(*(x.astype(np.longdouble) for x in (slab.hl, slab.vp, slab.vs, slab.dn)))
+    found = lw.phase_velocity("rayleigh", [0.1, 0.5, 2.0], slab)
+    assert found == pytest.approx(lw.phase_velocity("rayleigh", [0.1, 0.5, 2.0], pieces), rel=1e-11, nan_ok=True) and not np.isnan(found).all()
+    assert found == pytest.approx(lw.phase_velocity("rayleigh", [0.1, 0.5, 2.0], more), rel=1e-11, nan_ok=True)
+
+
+def test_profiles_of_columns():
+    """As of rows: other numbers of layers, nulls, other kinds of numbers, and a part of a column."""
+    kind = pa.list_(pa.struct([("hl", pa.decimal128(6, 2)), ("vs", pa.float32()), ("dn", pa.int32())]))
+    rows = [[(9, 9, 9)], [(5, 2.5, 2), (None, 4.5, 3)], None, [(5, 2.5, 2), None], [], [(1, 2, 2), (3, 3, 3), (0, 4, 3)], [(-1, 2, 2), (3, 3, 3), (0, 4, 3)], [(None, 3, 2)], [(7, 3.5, 2), (1, 4.5, 3)]]
+    column = pa.array([own and [x and dict(zip(("hl", "vs", "dn"), x)) for x in own] for own in rows], kind)
+    got = {int(k): [x[:, i] for x in (m.hl, m.vs, m.vp, m.dn)] for at, m in lw._alike(column.slice(1), 2.0) for i, k in enumerate(at)}
+    assert sorted(got) == [0, 4, 6, 7]
+    for k, (hl, vs, vp, dn) in got.items():
+        want = lw.Layers.of([dict(zip(("hl", "vs", "dn"), x)) for x in rows[k + 1]], 2.0)
+        assert vs == pytest.approx(want.vs) and vp == pytest.approx(want.vp) and dn == pytest.approx(want.dn) and hl == pytest.approx(want.hl, nan_ok=True)
+
+
+def test_a_count_is_not_trusted_where_it_is_lost_in_rounding():
+    hl, vs = np.array([0.02, 0.5, 0.0]), np.array([600.0, 0.15, 0.2])
+    m = lw.Layers(hl, vs * 2, vs, np.array([2.4, 1.8, 1.9]))
+    c = np.minimum(0.12 * (0.2 / 0.12) ** (np.arange(401) / 400), 0.2)
+    for t, found in zip([0.3, 1.0], lw.phase_velocity("rayleigh", [0.3, 1.0], m, 3)):
+        f = lw.secular("rayleigh", c, t, m.alone())
+        at = np.flatnonzero(f[:-1] * f[1:] < 0)[:3]
+        assert len(at) == (~np.isnan(found)).sum() and ((c[at] <= found[: len(at)]) & (found[: len(at)] <= c[at + 1])).all()
